@@ -12,48 +12,29 @@ an empty table gives an empty result; ties within a length are broken by ``doc_i
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_map, shuffle_width, stored
 
 LIMIT = 2048
-#: Characters whose classes ``re`` and the tokenizer's splitting pattern are known to agree on.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-_UNSAFE = re.compile(f"[^\\t\\n\\r\\x20-\\x7e{_LETTER}]")
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^ \\t\\n\\r{_LETTER}0-9]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
-_GAPS = re.compile(r" [ \t\n\r]|<\|")
-_CACHED = 400_000
-
-
-class _Recent(dict):
-    """Values by key, computed when missing; two generations bound the memory."""
-
-    def __init__(self, compute, most: int = _CACHED):
-        super().__init__()
-        self.compute, self.most, self.older = compute, most, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+#: The tokenizer's splitting pattern, and the characters for whose classes all regular-expression engines agree.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_UNSAFE = re.compile("[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ɏ]|<\\|")
 
 
 class ByteEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's own.
 
-    A text of well-known characters splits at each single space, where the tokenizer's pattern always splits
-    too, and every chunk and word is encoded once per worker; any other text goes through the library whole.
+    Where the file's merges are in the order of their ids, merging by rank gives the same ids, and a rank encoder
+    built from that file takes the texts of common characters; any other text goes through the library.
     """
 
     def __init__(self, path: str):
@@ -63,25 +44,36 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = _Recent(self.whole)
-        self.chunks = _Recent(self.chunk)
+        with open(path, encoding="utf-8") as f:
+            self.ranked = _rank_encoder(json.load(f))
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    def chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, _PIECES.findall(" " + chunk)))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _GAPS.search(text) or not text.isascii() and _UNSAFE.search(text) or text.isascii() and _UNSAFE.search(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        if rest and not rest[-1]:
+        if self.ranked is None or _UNSAFE.search(text):
             return self.whole(text)
-        return b"".join(map(self.words.__getitem__, _PIECES.findall(first))) + b"".join(map(self.chunks.__getitem__, rest))
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False).tobytes()
+
+
+def _rank_encoder(spec: dict):
+    """A rank encoder of a byte-level BPE file, or None where ranks could give other ids than the merges."""
+    import tiktoken
+
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    model, split = spec["model"], spec["pre_tokenizer"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    vocab = {t: i for t, i in model["vocab"].items() if t not in added}
+    in_order = [vocab.get(a + b) for a, b in merges] == list(range(256, 256 + len(merges)))
+    if not in_order or len(vocab) != 256 + len(merges) or spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
+        return None
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items()}
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
