@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, media, packing, secrets, simhash
+from . import bpe, exact, media, packing, secrets, simhash, suffix
 from .common import documents
 
 
@@ -39,6 +39,10 @@ def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_words": op5_bpe_words,
     "op6_media_tiff": op6_media_tiff,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
