@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,9 @@ from .common import arrow_schema, shuffle_width, stored
 
 BLOCK_CHARS = 12_000_000
 _SPACES = str.maketrans("\t\n\r", "   ")
-_BLOCKS = "block string, doc_ids binary, nulls binary, lengths binary, indexes binary, words array<struct<bucket:int, words:binary, positions:binary>>"
+_COLUMNS = "block string, doc_ids binary, nulls binary, lengths binary, indexes array<binary>, buckets binary"
+_BLOCKS = _COLUMNS + ", words array<struct<bucket:int, words:binary>>"
+_CODED = "block string, bucket int, counts binary, ids binary"
 
 
 def _tokenizer(path: str, cache: dict = {}):  # noqa: B006  one per worker
@@ -41,34 +44,69 @@ def _tokenizer(path: str, cache: dict = {}):  # noqa: B006  one per worker
     return cache[path]
 
 
+def _small(raw: bytes | np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(raw if isinstance(raw, bytes) else np.ascontiguousarray(raw).tobytes())
+
+
+def _large(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def _planes(numbers: np.ndarray) -> list[bytes]:
+    """Word numbers as one byte each, 255 announcing three more in planes of their own; all compressed."""
+    more = (numbers[numbers >= 255] - 255).astype(np.uint32)
+    return [_small(np.minimum(numbers, 255).astype(np.uint8)), *(_small((more >> 8 * k & 255).astype(np.uint8)) for k in range(3))]
+
+
+def _unplaned(planes: list[bytes]) -> np.ndarray:
+    first, *more = (_large(p, np.uint8) for p in planes)
+    numbers = first.astype(np.uint32)
+    numbers[first == 255] += sum(p.astype(np.uint32) << 8 * k for k, p in enumerate(more))
+    return numbers
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         self[word] = n = len(self)
         return n
 
 
-def _block(ids: list, texts: list, buckets: int) -> dict:
-    numbers = _Numbers()
-    number = numbers.__getitem__
-    lengths, indexes = [], []
-    for words in texts:
-        found = np.fromiter(map(number, words), np.uint32, len(words))
-        lengths.append(len(found))
-        indexes.append(found)
-    dealt: list[tuple[list, list]] = [([], []) for _ in range(buckets)]
-    for word, n in numbers.items():
-        raw = word.encode("utf-8", "surrogatepass")
-        words, positions = dealt[zlib.crc32(raw) % buckets]
-        words.append(raw)
-        positions.append(n)
-    return {
-        "block": uuid.uuid4().hex,
-        "doc_ids": np.array([0 if i is None else i for i in ids], np.int64).tobytes(),
-        "nulls": bytes(i is None for i in ids),
-        "lengths": np.array(lengths, np.uint32).tobytes(),
-        "indexes": zlib.compress(np.concatenate(indexes).tobytes() if indexes else b"", 1),
-        "words": [{"bucket": b, "words": b"\n".join(w), "positions": np.array(p, np.uint32).tobytes()} for b, (w, p) in enumerate(dealt) if w],
-    }
+class _Block:
+    """Documents as word numbers; the numbers are dealt anew by frequency when the block closes."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.size = buckets, 0
+        self.ids: list = []
+        self.found: list[np.ndarray] = []
+        self.numbers = _Numbers()
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        words = text.translate(_SPACES).split(" ")
+        self.ids.append(doc_id)
+        self.found.append(np.fromiter(map(self.numbers.__getitem__, filter(None, words)), np.uint32))
+        self.size += len(text) + 1
+
+    def row(self) -> dict:
+        flat = np.concatenate(self.found)
+        order = np.argsort(-np.bincount(flat, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words = list(self.numbers)
+        dealt: list[list] = [[] for _ in range(self.buckets)]
+        own = np.zeros(len(words), np.uint16)
+        for n, at in enumerate(order.tolist()):
+            raw = words[at].encode("utf-8", "surrogatepass")
+            own[n] = bucket = zlib.crc32(raw) % self.buckets
+            dealt[bucket].append(raw)
+        return {
+            "block": uuid.uuid4().hex,
+            "doc_ids": _small(np.array([0 if i is None else i for i in self.ids], np.int64)),
+            "nulls": _small(bytes(i is None for i in self.ids)),
+            "lengths": _small(np.array([len(f) for f in self.found], np.uint32)),
+            "indexes": _planes(rank[flat]),
+            "buckets": _small(own),
+            "words": [{"bucket": b, "words": _small(b"\n".join(w))} for b, w in enumerate(dealt) if w],
+        }
 
 
 def blocks(docs: DataFrame, buckets: int) -> DataFrame:
@@ -76,80 +114,90 @@ def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     schema = arrow_schema(docs.sparkSession, _BLOCKS)
 
     def run(batches):
-        ids, texts, size = [], [], 0
+        block = _Block(buckets)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                ids.append(doc_id)
-                texts.append([w for w in text.translate(_SPACES).split(" ") if w])
-                size += len(text)
-                if size >= BLOCK_CHARS:
-                    yield pa.RecordBatch.from_pylist([_block(ids, texts, buckets)], schema)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield pa.RecordBatch.from_pylist([_block(ids, texts, buckets)], schema)
+                block.add(doc_id, text.as_py() or "")
+                if block.size >= BLOCK_CHARS:
+                    yield pa.RecordBatch.from_pylist([block.row()], schema)
+                    block = _Block(buckets)
+        if block.ids:
+            yield pa.RecordBatch.from_pylist([block.row()], schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, _BLOCKS)
 
 
 def word_ids(parts: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Encode each distinct word of a bucket once: ``block, positions, counts, ids`` per incoming row."""
-    schema = arrow_schema(parts.sparkSession, "block string, positions binary, counts binary, ids binary")
+    """Encode each distinct word of a bucket once: ``block, bucket, counts, ids`` for each row ``block, bucket, words``."""
+    schema = arrow_schema(parts.sparkSession, _CODED)
 
     def run(batches):
         tokenizer, table = _tokenizer(tokenizer_path), {}
         for batch in batches:
-            for block, raw, positions in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = raw.split(b"\n")
+            for block, bucket, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
                 fresh = [w for w in words if w not in table]
                 for word, got in zip(fresh, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in fresh], add_special_tokens=False), strict=True):
                     table[word] = np.array(got.ids, np.uint32).tobytes()
                 coded = [table[w] for w in words]
                 counts = np.fromiter(map(len, coded), np.uint32, len(coded)) // 4
-                yield pa.RecordBatch.from_pylist([{"block": block, "positions": positions, "counts": counts.tobytes(), "ids": b"".join(coded)}], schema)
+                yield pa.RecordBatch.from_pylist([{"block": block, "bucket": bucket, "counts": _small(counts), "ids": _small(b"".join(coded))}], schema)
+
+    return parts.mapInArrow(run, _CODED)
 
-    return parts.mapInArrow(run, "block string, positions binary, counts binary, ids binary")
+
+def _pieces(path: str, cache: dict = {}) -> list[bytes]:  # noqa: B006  one per worker
+    if path not in cache:
+        tokenizer = _tokenizer(path)
+        cache[path] = [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size())]
+    return cache[path]
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, texts: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, with ``texts`` also ``ids`` (the
     little-endian unsigned 32-bit bytes) and ``decoded``."""
-    buckets = shuffle_width(docs.sparkSession)
+    buckets = min(shuffle_width(docs.sparkSession), 65_535)
     table = stored(blocks(docs, buckets))
-    parts = table.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.words", "w.positions")
-    # every bucket is one hash partition of the distinct words
-    coded = word_ids(parts.repartition(buckets, "bucket").select("block", "words", "positions"), tokenizer_path)
+    parts = table.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.words")
+    # every bucket is one part of the distinct words and stays in one task
+    coded = word_ids(parts.repartition(buckets, "bucket"), tokenizer_path)
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if texts else "")
     schema = arrow_schema(docs.sparkSession, ddl)
 
     def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokenizer = _tokenizer(tokenizer_path)
-        pieces = [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size())]
-        ids: dict[int, bytes] = {}
-        for positions, counts, raw in zip(*(right[c].to_pylist() for c in ("positions", "counts", "ids")), strict=True):
-            ends = np.cumsum(np.frombuffer(counts, np.uint32), dtype=np.int64) * 4
-            start = 0
-            for n, end in zip(np.frombuffer(positions, np.uint32).tolist(), ends.tolist(), strict=True):
-                ids[n], start = raw[start:end], end
-        coded = [ids[n] for n in range(len(ids))]  # a block that lost a bucket fails here
-        del ids
-        decoded = [b" ".join([pieces[i] for i in np.frombuffer(c, np.uint32).tolist()]) for c in coded]
+        pieces = _pieces(tokenizer_path)
+        (row,) = left.to_pylist()
+        places = np.argsort(_large(row["buckets"], np.uint16), kind="stable").tolist()
+        coded: list[bytes] = [b""] * len(places)
+        decoded: list[bytes] = [b""] * len(places)
+        at = 0
+        for _, counts, raw in sorted(zip(*(right[c].to_pylist() for c in ("bucket", "counts", "ids")), strict=True)):
+            ids = _large(raw, np.uint32)
+            shown = list(map(pieces.__getitem__, ids.tolist()))
+            raw, start = ids.tobytes(), 0
+            for n in _large(counts, np.uint32).tolist():
+                coded[places[at]] = raw[4 * start : 4 * (start + n)]
+                decoded[places[at]] = b" ".join(shown[start : start + n])
+                start += n
+                at += 1
+        if at != len(places):
+            raise RuntimeError("a block lost words")
+        silent = not all(decoded)  # words of characters that the tokenizer drops
+        numbers, start = _unplaned(row["indexes"]), 0
         out: dict[str, list] = {f.name: [] for f in schema}
-        for row in left.to_pylist():
-            numbers = np.frombuffer(zlib.decompress(row["indexes"]), np.uint32)
-            start = 0
-            for doc_id, null, length in zip(np.frombuffer(row["doc_ids"], np.int64).tolist(), row["nulls"], np.frombuffer(row["lengths"], np.uint32).tolist(), strict=True):
-                own = numbers[start : start + length].tolist()
-                start += length
-                raw = b"".join(map(coded.__getitem__, own))
-                text = b" ".join([t for t in map(decoded.__getitem__, own) if t])
-                out["doc_id"].append(None if null else doc_id)
-                out["n_tokens"].append(len(raw) // 4)
-                out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
-                if texts:
-                    out["ids"].append(raw)
-                    out["decoded"].append(text.decode())
+        for doc_id, null, length in zip(_large(row["doc_ids"], np.int64).tolist(), zstandard.ZstdDecompressor().decompress(row["nulls"]), _large(row["lengths"], np.uint32).tolist(), strict=True):
+            own = numbers[start : start + length].tolist()
+            start += length
+            raw = b"".join(map(coded.__getitem__, own))
+            text = b" ".join(filter(None, map(decoded.__getitem__, own)) if silent else map(decoded.__getitem__, own))
+            out["doc_id"].append(None if null else doc_id)
+            out["n_tokens"].append(len(raw) // 4)
+            out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
+            if texts:
+                out["ids"].append(raw)
+                out["decoded"].append(text.decode())
         return pa.Table.from_pydict(out, schema)
 
-    return table.select("block", "doc_ids", "nulls", "lengths", "indexes").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, ddl)
+    documents = table.select("block", "doc_ids", "nulls", "lengths", "indexes", "buckets")
+    return documents.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, ddl)
