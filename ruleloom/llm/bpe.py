@@ -15,22 +15,22 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import arrow_schema, shuffle_width, stored
+from .common import arrow_schema, shuffle_width
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 32_000_000
 _SPACES = str.maketrans("\t\n\r", "   ")
-_COLUMNS = "block string, doc_ids binary, nulls binary, lengths binary, indexes array<binary>, buckets binary"
-_BLOCKS = _COLUMNS + ", words array<struct<bucket:int, words:binary>>"
-_CODED = "block string, bucket int, counts binary, ids binary"
+_DOCS = "doc_ids: binary, nulls: binary, lengths: binary, indexes: array<binary>, buckets: binary"
+_BLOCKS = f"route int, block string, bucket int, words binary, docs struct<{_DOCS}>"
+_CODED = f"block string, bucket int, counts binary, ids binary, docs struct<{_DOCS}>"
 
 
 def _tokenizer(path: str, cache: dict = {}):  # noqa: B006  one per worker
@@ -74,8 +74,8 @@ class _Numbers(dict):
 class _Block:
     """Documents as word numbers; the numbers are dealt anew by frequency when the block closes."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.size = buckets, 0
+    def __init__(self, buckets: int, serial: int):
+        self.buckets, self.serial, self.size = buckets, serial, 0
         self.ids: list = []
         self.found: list[np.ndarray] = []
         self.numbers = _Numbers()
@@ -86,7 +86,8 @@ class _Block:
         self.found.append(np.fromiter(map(self.numbers.__getitem__, filter(None, words)), np.uint32))
         self.size += len(text) + 1
 
-    def row(self) -> dict:
+    def rows(self) -> list[dict]:
+        """The documents, and a row of words for each bucket; named by content, so that a recomputed block is the same."""
         flat = np.concatenate(self.found)
         order = np.argsort(-np.bincount(flat, minlength=len(self.numbers)), kind="stable")
         rank = np.empty(len(order), np.uint32)
@@ -98,50 +99,57 @@ class _Block:
             raw = words[at].encode("utf-8", "surrogatepass")
             own[n] = bucket = zlib.crc32(raw) % self.buckets
             dealt[bucket].append(raw)
-        return {
-            "block": uuid.uuid4().hex,
+        docs = {
             "doc_ids": _small(np.array([0 if i is None else i for i in self.ids], np.int64)),
             "nulls": _small(bytes(i is None for i in self.ids)),
             "lengths": _small(np.array([len(f) for f in self.found], np.uint32)),
             "indexes": _planes(rank[flat]),
             "buckets": _small(own),
-            "words": [{"bucket": b, "words": _small(b"\n".join(w))} for b, w in enumerate(dealt) if w],
         }
+        name = xxhash.xxh3_128_hexdigest(b"".join([docs["doc_ids"], docs["lengths"], *docs["indexes"], *(b"\n".join(w) for w in dealt)]))
+        name += f"-{TaskContext.get().partitionId() if TaskContext.get() else 0}-{self.serial}"
+        out = [{"route": int(name[:7], 16) % self.buckets, "block": name, "docs": docs}]
+        return out + [{"route": b, "block": name, "bucket": b, "words": _small(b"\n".join(w))} for b, w in enumerate(dealt) if w]
 
 
 def blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Word blocks of ``docs(doc_id, text)``: the block's distinct words by bucket and the documents as word numbers."""
+    """Word blocks of ``docs(doc_id, text)``: a row of documents as word numbers and a row per bucket of distinct words."""
     schema = arrow_schema(docs.sparkSession, _BLOCKS)
 
     def run(batches):
-        block = _Block(buckets)
+        block = _Block(buckets, 0)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 block.add(doc_id, text.as_py() or "")
                 if block.size >= BLOCK_CHARS:
-                    yield pa.RecordBatch.from_pylist([block.row()], schema)
-                    block = _Block(buckets)
+                    yield pa.RecordBatch.from_pylist(block.rows(), schema)
+                    block = _Block(buckets, block.serial + 1)
         if block.ids:
-            yield pa.RecordBatch.from_pylist([block.row()], schema)
+            yield pa.RecordBatch.from_pylist(block.rows(), schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, _BLOCKS)
 
 
 def word_ids(parts: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Encode each distinct word of a bucket once: ``block, bucket, counts, ids`` for each row ``block, bucket, words``."""
+    """Encode each distinct word of a bucket once: ``counts, ids`` in place of ``words``; rows of documents pass."""
     schema = arrow_schema(parts.sparkSession, _CODED)
 
     def run(batches):
         tokenizer, table = _tokenizer(tokenizer_path), {}
         for batch in batches:
-            for block, bucket, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for row in batch.to_pylist():
+                out = {"block": row["block"], "bucket": row["bucket"], "docs": row["docs"]}
+                if row["words"] is None:
+                    yield pa.RecordBatch.from_pylist([out], schema)
+                    continue
+                raw = row["words"]
                 words = zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
                 fresh = [w for w in words if w not in table]
                 for word, got in zip(fresh, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in fresh], add_special_tokens=False), strict=True):
                     table[word] = np.array(got.ids, np.uint32).tobytes()
                 coded = [table[w] for w in words]
                 counts = np.fromiter(map(len, coded), np.uint32, len(coded)) // 4
-                yield pa.RecordBatch.from_pylist([{"block": block, "bucket": bucket, "counts": _small(counts), "ids": _small(b"".join(coded))}], schema)
+                yield pa.RecordBatch.from_pylist([out | {"counts": _small(counts), "ids": _small(b"".join(coded))}], schema)
 
     return parts.mapInArrow(run, _CODED)
 
@@ -157,21 +165,20 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, texts: bool = False) ->
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, with ``texts`` also ``ids`` (the
     little-endian unsigned 32-bit bytes) and ``decoded``."""
     buckets = min(shuffle_width(docs.sparkSession), 65_535)
-    table = stored(blocks(docs, buckets))
-    parts = table.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.words")
-    # every bucket is one part of the distinct words and stays in one task
-    coded = word_ids(parts.repartition(buckets, "bucket"), tokenizer_path)
+    # a bucket is one part of the distinct words and is read by one task
+    coded = word_ids(blocks(docs, buckets).repartition(buckets, "route"), tokenizer_path)
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if texts else "")
     schema = arrow_schema(docs.sparkSession, ddl)
 
-    def join_back(left: pa.Table, right: pa.Table) -> pa.Table:
+    def join_back(block: pa.Table) -> pa.Table:
         pieces = _pieces(tokenizer_path)
-        (row,) = left.to_pylist()
+        rows = block.to_pylist()
+        (row,) = (r["docs"] for r in rows if r["docs"] is not None)
         places = np.argsort(_large(row["buckets"], np.uint16), kind="stable").tolist()
         coded: list[bytes] = [b""] * len(places)
         decoded: list[bytes] = [b""] * len(places)
         at = 0
-        for _, counts, raw in sorted(zip(*(right[c].to_pylist() for c in ("bucket", "counts", "ids")), strict=True)):
+        for _, counts, raw in sorted((r["bucket"], r["counts"], r["ids"]) for r in rows if r["docs"] is None):
             ids = _large(raw, np.uint32)
             shown = list(map(pieces.__getitem__, ids.tolist()))
             raw, start = ids.tobytes(), 0
@@ -199,5 +206,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, texts: bool = False) ->
                 out["decoded"].append(text.decode())
         return pa.Table.from_pydict(out, schema)
 
-    documents = table.select("block", "doc_ids", "nulls", "lengths", "indexes", "buckets")
-    return documents.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join_back, ddl)
+    return coded.groupBy("block").applyInArrow(join_back, ddl)
