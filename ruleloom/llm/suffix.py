@@ -294,11 +294,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with ``texts`` also the bytes ``kept``."""
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     every = stored(contexts(keyed))
-    known = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # small tables are written first: joins of two scans can be split at a frequent anchor
+    known = stored(every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     shared = stored(every.join(known, "h"))
     distinct = stored(shared.groupBy("h", "ch").agg(F.count("*").alias("count"), F.min(F.struct("key", "a", "off", "n")).alias("rep")))
     whole = shared.join(distinct.where("count > 1").select("h", "ch"), ["h", "ch"]).select("key", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + WINDOW).alias("e"))
-    mixed = distinct.groupBy("h").agg(F.count("*").alias("d"), F.min("count").alias("least")).where("d > 1 AND least = 1").select("h")
+    mixed = stored(distinct.groupBy("h").agg(F.count("*").alias("d"), F.min("count").alias("least")).where("d > 1 AND least = 1").select("h"))
     wanted = distinct.join(mixed, "h").select("h", "count", "rep.*").groupBy("key").agg(F.collect_list(F.struct("h", "count", "a", "off", "n")).alias("wanted"))
     packed = batch_map(keyed.select("doc_id", "key", "text"), _packed, "doc_id long, key long, raw binary")
     reps = _bodies(packed.select("key", "raw").join(wanted, "key"))
