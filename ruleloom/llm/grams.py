@@ -51,7 +51,7 @@ def bounded_sample(rows: DataFrame, group: str, most: int) -> list:
     # one row per label value: a handful
     thin = rows.join(F.broadcast(counts.select(group, share.alias("_share"))), group).withColumn("_at", place).where("_at < _share")
     found: dict = {}
-    for row in sorted(thin.collect(), key=lambda r: (r["_at"], r["doc_id"], r["text"])):
+    for row in sorted(thin.collect(), key=lambda r: (r["_at"], *map(str, r))):
         own = found.setdefault(row[group], [])
         if len(own) < most:
             own.append(row)
