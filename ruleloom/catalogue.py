@@ -5,6 +5,590 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ruleloom.functions.scalar import items_text, kl_bernoulli, powerset, uniform
+from ruleloom.operators import bicluster, evaluation, graph, rules, sampling, sets
+from ruleloom.plans import greedy
+from ruleloom.sources import relations
+from ruleloom.sources.relations import docs
+from ruleloom.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The documents as relations, in SQL: tok, vocab, x, names, vocab_y, y and n.
+DOCS = """
+tok AS (SELECT doc_id AS rid, unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'))) AS token FROM documents),
+vocab AS (SELECT token AS name, CAST(row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS INT) AS item FROM tok WHERE token <> '' GROUP BY token ORDER BY count(*) DESC, token LIMIT 60),
+x AS (SELECT rid, item FROM tok JOIN vocab ON token = name),
+names AS (SELECT doc_id AS rid, 'lang=' || lang AS name FROM documents WHERE lang IS NOT NULL UNION SELECT doc_id, 'quality=' || quality FROM labels WHERE quality IS NOT NULL UNION SELECT doc_id, 'toxic=' || toxic FROM labels WHERE toxic IS NOT NULL),
+vocab_y AS (SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS INT) AS item FROM (SELECT DISTINCT name FROM names)),
+y AS (SELECT DISTINCT rid, item FROM names JOIN vocab_y USING (name)),
+n AS (SELECT count(*) AS n FROM documents)"""
+#: Rules of one token and one label.
+PAIRS = DOCS + """,
+hs AS (SELECT item AS h, count(*) AS head_support FROM x GROUP BY 1),
+ts AS (SELECT item AS t, count(*) AS tail_support FROM y GROUP BY 1),
+counted AS (SELECT x.item AS h, y.item AS t, count(*) AS support FROM x JOIN y USING (rid) GROUP BY 1, 2),
+shares AS (SELECT h, t, support, head_support, tail_support, support / head_support AS p, support / tail_support AS r, tail_support / n AS q FROM counted JOIN hs USING (h) JOIN ts USING (t), n),
+stats AS (SELECT *, CASE WHEN p <= q THEN 0 ELSE p * ln(p / q) + CASE WHEN p >= 1 THEN 0 ELSE (1 - p) * ln((1 - p) / (1 - q)) END END AS kl FROM shares)"""
+#: Confidence and connectivity graphs of the labels.
+GRAPH = DOCS + """,
+fy AS (SELECT item, count(*) AS freq FROM y GROUP BY 1),
+dir AS (SELECT a.item AS u, b.item AS v, count(*) AS c, count(*) / any_value(freq) AS proba FROM y a JOIN y b USING (rid) JOIN fy ON fy.item = a.item WHERE a.item <> b.item GROUP BY 1, 2),
+und AS (SELECT a.u, a.v, 1 - (1 - a.proba) * (1 - b.proba) AS proba FROM dir a JOIN dir b ON a.u = b.v AND a.v = b.u WHERE a.u < a.v)"""
+#: Label sets with edges of at least one half, the rows that contain them, and the space's numbers.
+SPACE = GRAPH + """,
+clq(items, last, proba) AS (SELECT [item], item, CAST(1 AS DOUBLE) FROM vocab_y UNION ALL
+  SELECT list_append(items, v), v, proba * f FROM (SELECT c.items, c.proba, e.v, (SELECT coalesce(product(w.proba), 0) * CAST(count(*) = len(c.items) AS INT) FROM und w WHERE w.v = e.v AND list_contains(c.items, w.u)) AS f FROM clq c JOIN und e ON e.u = c.last) WHERE proba * f >= 0.3),
+space AS (SELECT CAST(row_number() OVER (ORDER BY items) - 1 AS INT) AS sid, items, len(items) AS len, proba FROM clq),
+ex AS (SELECT sid, len, unnest(items) AS item FROM space),
+assign AS (SELECT rid, sid FROM y JOIN ex USING (item) GROUP BY rid, sid, len HAVING count(*) = len)"""
+LEAST = 0.3
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = ("WITH RECURSIVE " if "clq" in sql else "WITH ") + sql.strip() if not sql.lstrip().startswith("SELECT") else sql.strip()
+        return fn
+
+    return add
+
+
+def _space(spark: SparkSession, sf_dir: str, cache: dict = {}):  # noqa: B006  kept for the session
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in cache:
+        d = docs(spark, sf_dir)
+        space = stored(graph.sample_space(d.y, d.vocab_y, LEAST))
+        cache[key] = d, space, stored(sets.containment_division(d.y, space))
+    return cache[key]
+
+
+def _covered(d) -> DataFrame:
+    """A fixed coverage state: label 0 of all its rows."""
+    return d.y.where("item = 0")
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = docs(spark, sf_dir)
+    return rules.pair_statistics(d.x, d.y, d.n)
+
+
+def _top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The best ``k`` single-item rules as a rule table, numbered by rank."""
+    from pyspark.sql import Window
+
+    order = Window.orderBy(F.desc("score"), "h", "t")
+    top = _pairs(spark, sf_dir).select("h", "t", F.round(F.col("kl") * F.col("area"), 6).alias("score")).orderBy(F.desc("score"), "h", "t").limit(k)
+    return top.select((F.row_number().over(order) - 1).cast("long").alias("rule_id"), F.array("h").alias("head"), F.array("t").alias("tail"))
+
+
+TOP = PAIRS + """,
+top AS (SELECT row_number() OVER (ORDER BY score DESC, h, t) - 1 AS rule_id, h, t FROM (SELECT h, t, round(kl * support, 6) AS score FROM stats) ORDER BY score DESC, h, t LIMIT 20),
+cells AS (SELECT rule_id, x.rid, y.item FROM top JOIN x ON x.item = h JOIN y ON y.rid = x.rid AND y.item = t)"""
+
+
+@query(PAIRS + " SELECT v.name AS head, w.name AS tail, support, round(p, 6) AS precision, round(r, 6) AS recall, round(q, 6) AS base_rate, round(kl, 6) AS kl, support AS area FROM stats JOIN vocab v ON v.item = h JOIN vocab_y w ON w.item = t")
+def rule_stats(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    named = _pairs(spark, sf_dir).join(d.vocab_x.select(F.col("item").alias("h"), F.col("name").alias("head")), "h").join(d.vocab_y.select(F.col("item").alias("t"), F.col("name").alias("tail")), "t")
+    return named.select("head", "tail", "support", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "base_rate", "kl")), F.col("area").cast("long").alias("area"))
+
+
+@query(PAIRS + " SELECT v.name AS head, w.name AS tail, support, round(kl * support, 6) AS score FROM stats JOIN vocab v ON v.item = h JOIN vocab_y w ON w.item = t ORDER BY score DESC, h, t LIMIT 20")
+def rule_topk(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    top = _pairs(spark, sf_dir).select("h", "t", "support", F.round(F.col("kl") * F.col("area"), 6).alias("score")).orderBy(F.desc("score"), "h", "t").limit(20)
+    named = top.join(d.vocab_x.select(F.col("item").alias("h"), F.col("name").alias("head")), "h").join(d.vocab_y.select(F.col("item").alias("t"), F.col("name").alias("tail")), "t")
+    return named.select("head", "tail", "support", "score")
+
+
+@query(DOCS + " SELECT name, count(*) AS freq FROM x JOIN vocab USING (item) GROUP BY 1")
+def item_frequency(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return sets.frequency(d.x).join(d.vocab_x, "item").select("name", "freq")
+
+
+@query(DOCS + " SELECT name, count(*) AS freq FROM y JOIN vocab_y USING (item) GROUP BY 1")
+def label_frequency(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return sets.frequency(d.y).join(d.vocab_y, "item").select("name", "freq")
+
+
+@query(DOCS + " SELECT item, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS rids FROM y GROUP BY 1")
+def inverted_index(spark, sf_dir):
+    return sets.inverted_index(docs(spark, sf_dir).y).select("item", F.array_join(F.transform("rids", lambda r: r.cast("string")), ",").alias("rids"))
+
+
+@query(DOCS + " SELECT rid, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, count(*) AS n FROM x GROUP BY 1")
+def rows_as_sets(spark, sf_dir):
+    return sets.rows_as_sets(docs(spark, sf_dir).x).select("rid", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), F.size("items").cast("long").alias("n"))
+
+
+@query(DOCS + " SELECT rid, count(*) AS n FROM x WHERE rid IN (SELECT rid FROM y) GROUP BY 1")
+def filter_rows_with_labels(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return sets.labelled_rows(d.x, d.y).groupBy("rid").agg(F.count("*").alias("n"))
+
+
+@query(DOCS + " SELECT rid FROM x WHERE item IN (3, 5) GROUP BY 1 HAVING count(*) = 2")
+def conjunctive_filter(spark, sf_dir):
+    return sets.having_all(docs(spark, sf_dir).x, [3, 5])
+
+
+@query(DOCS + " SELECT n AS n_rows, (SELECT count(*) FROM vocab) AS n_features, (SELECT count(*) FROM vocab_y) AS n_labels, (SELECT count(*) FROM x) AS nnz_x, (SELECT count(*) FROM y) AS nnz_y FROM n")
+def dataset_shape(spark, sf_dir):
+    return docs(spark, sf_dir).shape()
+
+
+@query("SELECT rid, name FROM (SELECT p_partkey AS rid, unnest([{'name': 'p_size', 'one': p_size > (SELECT quantile_cont(p_size, 0.9) FROM part)}, {'name': 'p_retailprice', 'one': p_retailprice > (SELECT quantile_cont(p_retailprice, 0.9) FROM part)}], recursive := true) FROM part) WHERE one")
+def quantile_binarise(spark, sf_dir):
+    return relations.quantile_cells(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey", ["p_size", "p_retailprice"], 0.9)
+
+
+@query("SELECT c_custkey AS rid, 'c_mktsegment=' || c_mktsegment AS name FROM customer UNION SELECT c_custkey, 'c_nationkey=' || c_nationkey FROM customer")
+def onehot_categories(spark, sf_dir):
+    return relations.category_cells(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", ["c_mktsegment", "c_nationkey"])
+
+
+@query("SELECT o_orderkey AS rid, 'o_orderstatus=' || o_orderstatus AS name, 'feature' AS kind FROM orders WHERE (SELECT count(DISTINCT o_orderstatus) FROM orders) BETWEEN 3 AND 14 UNION ALL SELECT o_orderkey, 'o_orderpriority=' || o_orderpriority, 'feature' FROM orders WHERE (SELECT count(DISTINCT o_orderpriority) FROM orders) BETWEEN 3 AND 14 UNION ALL SELECT o_orderkey, 'o_orderstatus=' || o_orderstatus, 'label' FROM orders WHERE (SELECT count(DISTINCT o_orderstatus) FROM orders) < 3")
+def csv_classification(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
+    x, y = relations.csv_cells(table, "o_orderkey")
+    return x.withColumn("kind", F.lit("feature")).unionByName(y.withColumn("kind", F.lit("label")))
+
+
+U32 = "(CAST('0x' || substr(md5({}), 1, 8) AS UBIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+
+
+@query("SELECT doc_id AS rid, CASE WHEN " + U32.format("'1234|' || doc_id") + " < 0.7 THEN 'train' ELSE 'test' END AS split FROM documents")
+def hash_split(spark, sf_dir):
+    return relations.hash_split(docs(spark, sf_dir).rows, 0.7)
+
+
+@query("r AS (SELECT i AS rid FROM range(500) t(i)), k AS (SELECT * FROM (VALUES (0, [0, 1], [0]), (1, [2, 3], [1]), (2, [0, 4], [2])) v(k, head, tail)), c AS (SELECT rid, head FROM r, k WHERE " + U32.format("'1|r|' || rid || '|' || k") + " < 0.5), ones AS (SELECT DISTINCT rid, unnest(head) AS item FROM c), f AS (SELECT rid, item FROM r, range(5) t(item) WHERE " + U32.format("'1|x|' || rid || '|' || item") + " < 0.05) SELECT rid, CAST(item AS INT) AS item FROM (SELECT rid, item FROM ones EXCEPT SELECT rid, item FROM f) UNION ALL SELECT rid, CAST(item AS INT) FROM (SELECT rid, item FROM f EXCEPT SELECT rid, item FROM ones)")
+def synthetic_rules(spark, sf_dir):
+    return relations.synthetic_rules(spark, 500, [([0, 1], [0]), ([2, 3], [1]), ([0, 4], [2])], 0.05)[0]
+
+
+@query(GRAPH + " SELECT u, v, c, round(proba, 6) AS proba FROM dir")
+def confidence_graph(spark, sf_dir):
+    return graph.confidence_graph(docs(spark, sf_dir).y).select("u", "v", "c", F.round("proba", 6).alias("proba"))
+
+
+@query(GRAPH + " SELECT u, v, round(proba, 6) AS proba FROM und")
+def connectivity_graph(spark, sf_dir):
+    return graph.connectivity_graph(graph.confidence_graph(docs(spark, sf_dir).y)).select("u", "v", F.round("proba", 6).alias("proba"))
+
+
+@query(GRAPH + " SELECT u, v, round(proba, 6) AS proba FROM und WHERE proba >= 0.3")
+def pruned_edges(spark, sf_dir):
+    return graph.prune(graph.connectivity_graph(graph.confidence_graph(docs(spark, sf_dir).y)), 0.3).select("u", "v", F.round("proba", 6).alias("proba"))
+
+
+@query(GRAPH + " SELECT u, v, a.name AS u_name, b.name AS v_name, fa.freq AS u_freq, fb.freq AS v_freq FROM dir JOIN vocab_y a ON a.item = u JOIN vocab_y b ON b.item = v JOIN fy fa ON fa.item = u JOIN fy fb ON fb.item = v WHERE u IN (0, 1, 4, 5) AND v IN (0, 1, 4, 5)")
+def named_subgraph(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return graph.named_subgraph(graph.confidence_graph(d.y), graph.nodes(d.y, d.vocab_y), [0, 1, 4, 5]).select("u", "v", "u_name", "v_name", "u_freq", "v_freq")
+
+
+@query(DOCS + " SELECT 'label' AS kind, a.item AS a, b.item AS b, count(*) AS n FROM y a JOIN y b USING (rid) GROUP BY 2, 3 UNION ALL SELECT 'feature', a.item, b.item, count(*) FROM x a JOIN x b USING (rid) GROUP BY 2, 3 UNION ALL SELECT 'mixed', a.item, b.item, count(*) FROM y a JOIN x b USING (rid) GROUP BY 2, 3")
+def cooccurrence_tables(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    kinds = (("label", d.y, d.y), ("feature", d.x, d.x), ("mixed", d.y, d.x))
+    parts = [graph.cooccurrence(a, b).select(F.lit(k).alias("kind"), "a", "b", "n") for k, a, b in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(SPACE + " SELECT array_to_string(items, ',') AS items, CAST(len AS INT) AS len, round(proba, 6) AS proba FROM space")
+def probable_cliques(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    edges = graph.connectivity_graph(graph.confidence_graph(d.y))
+    return graph.probable_cliques(d.vocab_y.select(F.col("item").alias("id")), edges, LEAST).select(items_text().alias("items"), "len", F.round("proba", 6).alias("proba"))
+
+
+@query(SPACE + " SELECT sid, array_to_string(items, ',') AS items, CAST(len AS INT) AS len FROM space")
+def sample_space(spark, sf_dir):
+    return _space(spark, sf_dir)[1].select("sid", items_text().alias("items"), "len")
+
+
+@query(SPACE + ", parts AS (SELECT a.sid, a.item AS u, b.item AS v FROM ex a JOIN ex b USING (sid) WHERE a.item <> b.item) SELECT sid, CAST(any_value(len) AS INT) AS size, round(coalesce(sum(proba), 0) / any_value(len), 6) AS density, count(proba) = any_value(len) * (any_value(len) - 1) AS is_clique FROM space LEFT JOIN parts USING (sid) LEFT JOIN (SELECT u, v, proba AS proba FROM dir) d USING (u, v) GROUP BY sid".replace("coalesce(sum(proba)", "coalesce(sum(d.proba)").replace("count(proba)", "count(d.proba)"))
+def subgraph_stats(spark, sf_dir):
+    d, space, _ = _space(spark, sf_dir)
+    return graph.subgraph_stats(graph.confidence_graph(d.y), space).select("sid", "size", F.round("density", 6).alias("density"), "is_clique")
+
+
+@query(SPACE + " SELECT rid, sid FROM assign")
+def containment_join_division(spark, sf_dir):
+    d, space, _ = _space(spark, sf_dir)
+    return sets.containment_division(d.y, space)
+
+
+@query(SPACE + " SELECT rid, sid FROM assign")
+def containment_join_loop(spark, sf_dir):
+    d, space, _ = _space(spark, sf_dir)
+    return sets.containment_loop(sets.rows_as_sets(d.y), space.select("sid", "items"))
+
+
+@query(SPACE + " SELECT sid FROM space WHERE list_sort(items) = [3, 5]")
+def set_search_exact(spark, sf_dir):
+    return sets.search_exact(_space(spark, sf_dir)[1], [5, 3])
+
+
+@query(SPACE + " SELECT sid FROM space WHERE list_has_all(items, [5])")
+def set_search_supersets(spark, sf_dir):
+    return sets.search_supersets(_space(spark, sf_dir)[1], [5])
+
+
+@query(SPACE + " SELECT sid FROM space WHERE list_has_all([0, 1, 5, 6], items)")
+def set_search_subsets(spark, sf_dir):
+    return sets.search_subsets(_space(spark, sf_dir)[1], [0, 1, 5, 6])
+
+
+def _rounded(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.col("w").cast("double").alias("w"), F.round("proba", 6).alias("proba"))
+
+
+SUPP = SPACE + ", supp AS (SELECT sid, any_value(len) AS len, any_value(items) AS items, count(rid) AS supp FROM space LEFT JOIN assign USING (sid) GROUP BY sid)"
+
+
+@query(SUPP + " SELECT sid, CAST(supp * len AS DOUBLE) AS w, round(supp * len / sum(supp * len) OVER (), 6) AS proba FROM supp")
+def tail_area_distribution(spark, sf_dir):
+    _, space, assign = _space(spark, sf_dir)
+    return _rounded(sampling.support_distribution(assign, space, area=True), "sid")
+
+
+@query(SUPP + " SELECT sid, CAST(supp AS DOUBLE) AS w, round(supp / sum(supp) OVER (), 6) AS proba FROM supp")
+def tail_freq_distribution(spark, sf_dir):
+    _, space, assign = _space(spark, sf_dir)
+    return _rounded(sampling.support_distribution(assign, space), "sid")
+
+
+UNC = SPACE + ", unc AS (SELECT rid, sid, item FROM assign JOIN ex USING (sid) WHERE item <> 0)"
+
+
+@query(UNC + ", a AS (SELECT sid, count(unc.rid) AS w FROM space LEFT JOIN unc USING (sid) GROUP BY 1) SELECT sid, CAST(w AS DOUBLE) AS w, round(w / sum(w) OVER (), 6) AS proba FROM a")
+def tail_uncovered_distribution(spark, sf_dir):
+    d, space, assign = _space(spark, sf_dir)
+    return _rounded(sampling.uncovered_area_distribution(assign, space, _covered(d)), "sid")
+
+
+@query(UNC + ", a AS (SELECT doc_id AS rid, count(unc.sid) AS w FROM documents LEFT JOIN unc ON rid = doc_id GROUP BY 1) SELECT rid, CAST(w AS DOUBLE) AS w, round(w / sum(w) OVER (), 6) AS proba FROM a")
+def covered_row_weights(spark, sf_dir):
+    d, space, assign = _space(spark, sf_dir)
+    return _rounded(sampling.row_weights(assign, space, _covered(d), d.rows), "rid")
+
+
+@query(SPACE + ", unc AS (SELECT rid, sid, item FROM assign JOIN ex USING (sid)), a AS (SELECT doc_id AS rid, count(unc.sid) AS w FROM documents LEFT JOIN unc ON rid = doc_id GROUP BY 1) SELECT rid, CAST(w AS DOUBLE) AS w, round(w / sum(w) OVER (), 6) AS proba FROM a")
+def row_weights(spark, sf_dir):
+    d, space, assign = _space(spark, sf_dir)
+    return _rounded(sampling.row_weights(assign, space, d.y.limit(0), d.rows), "rid")
+
+
+@query(UNC + " SELECT rid, item, count(*) AS cnt FROM unc GROUP BY 1, 2")
+def element_counters(spark, sf_dir):
+    d, space, assign = _space(spark, sf_dir)
+    return sampling.element_counters(assign, space, _covered(d))
+
+
+HEADS = DOCS + """,
+sx AS (SELECT item AS sid, count(*) AS supp FROM x GROUP BY 1),
+py AS (SELECT item AS tail, count(*) AS n_pos FROM y GROUP BY 1),
+plus AS (SELECT y.item AS tail, x.item AS sid, count(*) AS plus FROM x JOIN y USING (rid) GROUP BY 1, 2),
+w AS (SELECT tail, sid, CAST(plus * (n - n_pos - (supp - plus)) AS DOUBLE) AS w FROM plus JOIN sx USING (sid) JOIN py USING (tail), n WHERE n_pos < n)"""
+
+
+def _heads(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return sampling.head_distribution(d.x.withColumnRenamed("item", "sid"), d.y, d.n)
+
+
+@query(HEADS + " SELECT tail, sid, w, round(w / sum(w) OVER (PARTITION BY tail), 6) AS proba FROM w WHERE w > 0")
+def head_distribution(spark, sf_dir):
+    return _rounded(_heads(spark, sf_dir), "tail", "sid")
+
+
+@query(HEADS + ", d AS (SELECT CAST(i AS INT) AS draw FROM range(50) t(i)), s AS (SELECT tail, draw, sid, ln(w) - ln(-ln(" + U32.format("'7|' || draw || '|' || tail || '|' || sid") + ")) AS g FROM w, d WHERE w > 0) SELECT tail, draw, arg_max(sid, g) AS sid FROM s GROUP BY 1, 2")
+def draw_gumbel(spark, sf_dir):
+    return sampling.draw_per_group(_heads(spark, sf_dir).select("tail", "sid", "w"), 50, 7, "tail", "sid")
+
+
+@query(SUPP + ", p AS (SELECT sid, supp * len / sum(supp * len) OVER () AS proba FROM supp), c AS (SELECT sid, proba, sum(proba) OVER (ORDER BY sid) AS hi FROM p WHERE proba > 0), d AS (SELECT i AS draw, " + U32.format("'5|' || i") + " AS u FROM range(2000) t(i)) SELECT draw, sid FROM d JOIN c ON u >= hi - proba AND u < hi")
+def draw_inverse_cdf(spark, sf_dir):
+    _, space, assign = _space(spark, sf_dir)
+    return sampling.draw_inverse(sampling.support_distribution(assign, space, area=True).select("sid", "w"), 2000, 5, "sid")
+
+
+LINES = """s AS (SELECT l_orderkey AS rid, list_sort(list_distinct(list(CAST(l_partkey % 6 AS INT)))) AS items FROM lineitem GROUP BY 1),
+m AS (SELECT CAST(i AS INT) AS mask, [b FOR b IN range(6) IF (i >> b) & 1 = 1] AS items FROM range(1, 64) t(i)),
+a AS (SELECT rid, array_to_string(m.items, ',') AS items, len(m.items) AS len FROM s JOIN m ON list_has_all(s.items, m.items))"""
+
+
+def _orders(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return sets.rows_as_sets(table.select(F.col("l_orderkey").alias("rid"), (F.col("l_partkey") % 6).cast("int").alias("item")))
+
+
+@query(LINES + ", c AS (SELECT items, count(*) AS n FROM a GROUP BY 1) SELECT items, CAST(n AS DOUBLE) AS w, round(n / sum(n) OVER (), 6) AS proba FROM c")
+def boley_freq(spark, sf_dir):
+    return _rounded(sampling.powerset_distribution(_orders(spark, sf_dir)).withColumn("items", items_text()), "items")
+
+
+@query(LINES + ", c AS (SELECT items, count(*) * any_value(len) AS n FROM a GROUP BY 1) SELECT items, CAST(n AS DOUBLE) AS w, round(n / sum(n) OVER (), 6) AS proba FROM c")
+def boley_area(spark, sf_dir):
+    return _rounded(sampling.powerset_distribution(_orders(spark, sf_dir), area=True).withColumn("items", items_text()), "items")
+
+
+@query(LINES + ", t AS (SELECT rid, rid % 5 = 0 AS y FROM s), c AS (SELECT items, count(*) FILTER (y) * ((SELECT count(*) FROM t WHERE NOT y) - count(*) FILTER (NOT y)) AS n FROM a JOIN t USING (rid) GROUP BY 1) SELECT items, CAST(n AS DOUBLE) AS w, round(n / sum(n) OVER (), 6) AS proba FROM c WHERE n > 0")
+def boley_head_distribution(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    return _rounded(sampling.powerset_heads(rows, rows.where("rid % 5 = 0")).withColumn("items", items_text()), "items")
+
+
+PAIR = """t AS (SELECT DISTINCT c_nationkey AS rid, c_custkey % 4 AS item FROM customer WHERE c_custkey % 11 < 3), r AS (SELECT CAST(rid AS BIGINT) AS rid, list(CAST(item AS INT)) AS items FROM t GROUP BY 1),
+p AS (SELECT a.rid AS pos, b.rid AS neg, len(list_filter(a.items, lambda i: NOT list_contains(b.items, i))) AS d, len(list_intersect(a.items, b.items)) AS i FROM r a, r b WHERE a.rid < 8 AND b.rid >= 8)"""
+
+
+def _nations(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 11 < 3")
+    return sets.rows_as_sets(table.select(F.col("c_nationkey").cast("long").alias("rid"), (F.col("c_custkey") % 4).cast("int").alias("item")))
+
+
+@query(PAIR + " SELECT pos, neg, CAST(d AS DOUBLE) AS w, round(d / sum(d) OVER (), 6) AS proba FROM p WHERE d > 0")
+def pair_distribution(spark, sf_dir):
+    rows = _nations(spark, sf_dir)
+    return _rounded(sampling.pair_distribution(rows, rows.where("rid < 8")), "pos", "neg")
+
+
+@query(PAIR + ", q AS (SELECT pos, neg, (pow(2, d) - 1) * pow(2, i) AS w FROM p WHERE d > 0) SELECT pos, neg, CAST(w AS DOUBLE) AS w, round(w / sum(w) OVER (), 6) AS proba FROM q")
+def boley_pair_distribution(spark, sf_dir):
+    rows = _nations(spark, sf_dir)
+    return _rounded(sampling.pair_distribution(rows, rows.where("rid < 8"), full=True), "pos", "neg")
+
+
+@query(LINES + " SELECT rid, CASE WHEN rid % 5 = 0 THEN CAST(len(items) AS DOUBLE) ELSE 1 END AS tight, round(sqrt(CASE WHEN rid % 5 = 0 THEN len(items) ELSE 6 - len(items) END), 6) AS original FROM s")
+def proposal_weights(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    return sampling.proposal_weights(rows, rows.where("rid % 5 = 0"), 6).select("rid", "tight", F.round("original", 6).alias("original"))
+
+
+@query(LINES + " SELECT rid, round(len(items) * ln(2), 6) AS log_freq, round(ln(len(items)) + (len(items) - 1) * ln(2), 6) AS log_area FROM s")
+def row_pattern_weights(spark, sf_dir):
+    rows = _orders(spark, sf_dir)
+    both = sampling.row_pattern_log_weights(rows).join(sampling.row_pattern_log_weights(rows, True).withColumnRenamed("log_w", "log_area"), "rid")
+    return both.select("rid", F.round("log_w", 6).alias("log_freq"), F.round("log_area", 6).alias("log_area"))
+
+
+@query()
+def cftp_trace(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 200")
+    steps = events.select(F.col("event_id").cast("int").alias("step"), (F.col("event_id") % 13).cast("int").alias("pos"), (F.col("user_id") % 17).cast("int").alias("neg"), (F.col("event_id") % 5 + 1).alias("w"), (F.col("event_id") % 7 + 5).alias("bound"), uniform(F.lit(3), F.col("event_id")).alias("u"))
+    return sampling.chain_trace(steps)
+
+
+@query()
+def random_cliques(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    edges = graph.confidence_graph(d.x)
+    return graph.walk_cliques(edges, d.vocab_x.select(F.col("item").alias("id"))).select("start", items_text().alias("items"))
+
+
+@query(TOP + ", a AS (SELECT rule_id, count(*) AS a FROM cells GROUP BY 1), s AS (SELECT p.rule_id AS r1, q.rule_id AS r2, count(*) AS i FROM cells p JOIN cells q USING (rid, item) WHERE p.rule_id < q.rule_id GROUP BY 1, 2) SELECT p.rule_id AS r1, q.rule_id AS r2, round(1 - coalesce(i / (p.a + q.a - i), 0), 6) AS distance FROM a p JOIN a q ON p.rule_id < q.rule_id LEFT JOIN s ON r1 = p.rule_id AND r2 = q.rule_id")
+def rule_distance(spark, sf_dir):
+    d, top = docs(spark, sf_dir), _top(spark, sf_dir, 20)
+    return rules.distances(rules.rectangles(top, d.x, d.y), top).select("r1", "r2", F.round("distance", 6).alias("distance"))
+
+
+@query(TOP + " SELECT rule_id, count(*) FILTER (NOT EXISTS (SELECT 1 FROM cells c WHERE c.rule_id < 3 AND c.rid = o.rid AND c.item = o.item)) AS uncovered FROM cells o GROUP BY 1")
+def marginal_coverage(spark, sf_dir):
+    d, top = docs(spark, sf_dir), _top(spark, sf_dir, 20)
+    cells = rules.rectangles(top, d.x, d.y)
+    return rules.marginal_coverage(cells, cells.where("rule_id < 3"))
+
+
+@query(TOP + " SELECT round((SELECT count(*) FROM (SELECT DISTINCT rid, item FROM cells)) / (SELECT count(*) FROM y), 6) AS ratio")
+def coverage_ratio(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return rules.coverage_ratio(rules.rectangles(_top(spark, sf_dir, 20), d.x, d.y), d.y).select(F.round("ratio", 6).alias("ratio"))
+
+
+@query(TOP + " SELECT rule_id, support, head_support, tail_support, round(p, 6) AS precision, round(kl, 6) AS kl FROM top JOIN stats USING (h, t)")
+def bound_rules(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return rules.statistics(_top(spark, sf_dir, 20), d.x, d.y, d.n).select("rule_id", "support", "head_support", "tail_support", F.round("precision", 6).alias("precision"), F.round("kl", 6).alias("kl"))
+
+
+@query(TOP + " SELECT rule_id, v.name || ' -> ' || w.name AS text FROM top JOIN vocab v ON v.item = h JOIN vocab_y w ON w.item = t")
+def rule_summaries(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return rules.summary(_top(spark, sf_dir, 20), d.vocab_x, d.vocab_y)
+
+
+@query(TOP + " SELECT DISTINCT x.rid, t AS item FROM x JOIN top ON x.item = h")
+def predict(spark, sf_dir):
+    return greedy.predict(docs(spark, sf_dir).x, _top(spark, sf_dir, 20))
+
+
+METRIC = TOP + """,
+pred AS (SELECT DISTINCT x.rid, t AS item FROM x JOIN top ON x.item = h),
+b AS (SELECT rid, item, max(p) AS p, max(t) AS t FROM (SELECT rid, item, 1 AS p, 0 AS t FROM pred UNION ALL SELECT rid, item, 0, 1 FROM y) GROUP BY 1, 2),
+l AS (SELECT v.item, coalesce(sum(p * t), 0) AS tp, coalesce(sum(p * (1 - t)), 0) AS fp, coalesce(sum((1 - p) * t), 0) AS fn FROM vocab_y v LEFT JOIN b USING (item) GROUP BY 1),
+pr AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END AS pr, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS re FROM l),
+s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) AS l, avg(pr) AS macro_precision, avg(re) AS macro_recall, avg(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END) AS macro_f1 FROM pr),
+e AS (SELECT s.*, n, CASE WHEN tp + fp = 0 THEN 1 ELSE tp / (tp + fp) END AS mp, CASE WHEN tp + fn = 0 THEN 1 ELSE tp / (tp + fn) END AS mr, (SELECT count(DISTINCT rid) FROM b WHERE p <> t) AS wrong FROM s, n),
+r AS (SELECT round(1 - (fp + fn) / (n * l), 6) AS hamming_accuracy, round(1 - wrong / n, 6) AS subset_accuracy, round(mp, 6) AS micro_precision, round(mr, 6) AS micro_recall, round(CASE WHEN mp + mr = 0 THEN 0 ELSE 2 * mp * mr / (mp + mr) END, 6) AS micro_f1, round(macro_precision, 6) AS macro_precision, round(macro_recall, 6) AS macro_recall, round(macro_f1, 6) AS macro_f1 FROM e)"""
+
+
+def _report(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    found = evaluation.report(greedy.predict(d.x, _top(spark, sf_dir, 20)), d.y, d.vocab_y, d.n)
+    return found.select(*(F.round(m, 6).alias(m) for m in evaluation.METRICS))
+
+
+@query(METRIC + " SELECT * FROM r")
+def metrics_report(spark, sf_dir):
+    return _report(spark, sf_dir)
+
+
+@query(METRIC + " SELECT metric, CAST(score AS DOUBLE) AS score FROM (UNPIVOT r ON COLUMNS(*) INTO NAME metric VALUE score)")
+def metrics_long(spark, sf_dir):
+    return evaluation.melted(_report(spark, sf_dir), [], list(evaluation.METRICS))
+
+
+TAIL = SUPP + """, tot AS (SELECT sid, sum(d.proba) AS total FROM (SELECT a.sid, a.item AS u, b.item AS v FROM ex a JOIN ex b USING (sid) WHERE a.item <> b.item) JOIN dir d USING (u, v) GROUP BY 1),
+rep AS (SELECT sid, supp AS support_size, round(supp / n, 6) AS frequency, supp * len AS area, len AS length, round(coalesce(total, 0) / len, 6) AS edge_density, round(CASE WHEN len > 1 THEN coalesce(total, 0) / (len * (len - 1)) END, 6) AS edge_ratio FROM supp LEFT JOIN tot USING (sid), n)"""
+
+
+def _tails(spark, sf_dir):
+    d, space, assign = _space(spark, sf_dir)
+    found = evaluation.tail_report(space.select("sid", "items"), assign, graph.confidence_graph(d.y), d.n)
+    return found.select("sid", "support_size", F.round("frequency", 6).alias("frequency"), "area", "length", F.round("edge_density", 6).alias("edge_density"), F.round("edge_ratio", 6).alias("edge_ratio"))
+
+
+@query(TAIL + " SELECT * FROM rep")
+def tail_report(spark, sf_dir):
+    return _tails(spark, sf_dir)
+
+
+@query(TAIL + " SELECT sid, metric, CAST(score AS DOUBLE) AS score FROM (UNPIVOT (SELECT sid, CAST(support_size AS DOUBLE) AS support_size, CAST(area AS DOUBLE) AS area, edge_density FROM rep) ON support_size, area, edge_density INTO NAME metric VALUE score)")
+def tail_report_long(spark, sf_dir):
+    return evaluation.melted(_tails(spark, sf_dir), ["sid"], ["support_size", "area", "edge_density"])
+
+
+def _described(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "count", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")))
+
+
+DESCRIBE = "count({0}) AS count, round(avg({0}), 6) AS mean, round(stddev_samp({0}), 6) AS std, round(CAST(min({0}) AS DOUBLE), 6) AS min, round(CAST(quantile_cont({0}, 0.25) AS DOUBLE), 6) AS p25, round(CAST(quantile_cont({0}, 0.5) AS DOUBLE), 6) AS p50, round(CAST(quantile_cont({0}, 0.75) AS DOUBLE), 6) AS p75, round(CAST(max({0}) AS DOUBLE), 6) AS max"
+
+
+@query(TAIL + " SELECT length, " + DESCRIBE.format("area") + " FROM rep GROUP BY 1")
+def tail_report_describe(spark, sf_dir):
+    return _described(evaluation.describe(_tails(spark, sf_dir), ["length"], "area"), "length")
+
+
+@query("SELECT o_orderpriority, " + DESCRIBE.format("o_totalprice") + " FROM orders GROUP BY 1")
+def grouped_describe(spark, sf_dir):
+    return _described(evaluation.describe(spark.read.parquet(f"{sf_dir}/orders.parquet"), ["o_orderpriority"], "o_totalprice"), "o_orderpriority")
+
+
+@query("SELECT p_brand, p_type, round(avg(p_retailprice), 6) AS mean, round(stddev_samp(p_retailprice), 6) AS std FROM part GROUP BY 1, 2")
+def ranked_runs(spark, sf_dir):
+    found = evaluation.ranked(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_brand", "p_type"], "p_retailprice")
+    return found.select("p_brand", "p_type", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("c AS (SELECT l_linenumber, max(l_extendedprice) FILTER (l_returnflag = 'A') AS one, max(l_extendedprice) FILTER (l_returnflag = 'R') AS other FROM lineitem GROUP BY 1) SELECT l_linenumber, one, other, round((one - other) / other, 6) AS difference FROM c")
+def relative_difference(spark, sf_dir):
+    found = evaluation.relative_difference(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_linenumber", "l_returnflag", "l_extendedprice", "A", "R")
+    return found.select("l_linenumber", "one", "other", F.round("difference", 6).alias("difference"))
+
+
+@query("SELECT event_type, round(count(*) FILTER (value > 10) / count(*), 6) AS share FROM events GROUP BY 1")
+def convergence_ratio(spark, sf_dir):
+    return evaluation.share_where(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], F.col("value") > 10).select("event_type", F.round("share", 6).alias("share"))
+
+
+@query(LINES + " SELECT rid, round(pow(2, len(items)) / sum(pow(2, len(items))) OVER () * 1e6, 4) AS share FROM s")
+def row_skew(spark, sf_dir):
+    weights = _orders(spark, sf_dir).select("rid", F.pow(F.lit(2.0), F.size("items")).alias("w"))
+    return sampling.normalised(weights).select("rid", F.round(F.col("proba") * 1e6, 4).alias("share"))
+
+
+@query("SELECT CAST(i AS INT) AS p, CAST(j AS INT) AS q, round(CASE WHEN i <= j THEN 0 ELSE i / 50 * ln(i / j) + CASE WHEN i = 50 THEN 0 ELSE (1 - i / 50) * ln((1 - i / 50) / (1 - j / 50)) END END, 6) AS kl FROM range(0, 51) a(i), range(1, 50) b(j)")
+def kl_grid(spark, sf_dir):
+    grid = spark.range(51).select(F.col("id").cast("int").alias("p")).crossJoin(spark.range(1, 50).select(F.col("id").cast("int").alias("q")))
+    return grid.select("p", "q", F.round(kl_bernoulli(F.col("p") / F.lit(50.0), F.col("q") / F.lit(50.0)), 6).alias("kl"))
+
+
+@query("SELECT array_to_string([b FOR b IN range(6) IF (i >> b) & 1 = 1], ',') AS items FROM range(1, 64) t(i)")
+def powersets(spark, sf_dir):
+    return spark.range(1).select(F.explode(powerset(F.sequence(F.lit(0), F.lit(5)))).alias("items")).select(items_text().alias("items"))
+
+
+VOTE = "m AS (SELECT DISTINCT l_orderkey % 9 AS cluster, l_orderkey AS rid FROM lineitem), cells AS (SELECT DISTINCT l_orderkey AS rid, CAST(l_suppkey % 12 AS INT) AS item FROM lineitem)"
+
+
+@query(VOTE + ", z AS (SELECT cluster, count(*) AS size FROM m GROUP BY 1) SELECT cluster, item FROM cells JOIN m USING (rid) JOIN z USING (cluster) GROUP BY cluster, item HAVING count(*) > 0.3 * any_value(size)")
+def majority_vote(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    members = lines.select(F.col("l_orderkey").alias("rid"), (F.col("l_orderkey") % 9).alias("cluster")).distinct()
+    cells = lines.select(F.col("l_orderkey").alias("rid"), (F.col("l_suppkey") % 12).cast("int").alias("item")).distinct()
+    return bicluster.majority_vote(cells, members, 0.3)
+
+
+BLOCKS = "m AS (SELECT DISTINCT c_nationkey AS id, c_custkey % 3 AS cluster FROM customer WHERE c_custkey % 7 = 0), g AS (SELECT id, list_sort(list(cluster)) AS clusters FROM m GROUP BY 1), b AS (SELECT CAST(row_number() OVER (ORDER BY clusters) - 1 AS INT) AS block, clusters, list_sort(list(id)) AS ids FROM g GROUP BY clusters)"
+
+
+def _blocks(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0")
+    return bicluster.blocks(table.select(F.col("c_nationkey").alias("id"), (F.col("c_custkey") % 3).alias("cluster")))
+
+
+@query(BLOCKS + " SELECT block, array_to_string(clusters, ',') AS clusters, array_to_string(ids, ',') AS ids FROM b")
+def blocks(spark, sf_dir):
+    return _blocks(spark, sf_dir).select("block", items_text("clusters").alias("clusters"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query(BLOCKS + " SELECT DISTINCT p.block AS l, q.block AS r, CAST(len(p.ids) * len(q.ids) AS BIGINT) AS area FROM b p JOIN b q ON len(list_intersect(p.clusters, q.clusters)) > 0")
+def block_adjacency(spark, sf_dir):
+    found = _blocks(spark, sf_dir)
+    return bicluster.adjacency(found, found)
+
+
+@query("SELECT p / 20 AS p, q / 20 AS q, round(abs(p / 20 - 0.8) + abs(q / 20 - 0.1), 6) AS gap FROM range(1, 20) a(p), range(1, 20) b(q) WHERE p > q")
+def pq_grid(spark, sf_dir):
+    return bicluster.density_grid(0.8, 0.1, 20, spark).select("p", "q", F.round("gap", 6).alias("gap"))
+
+
+@query(TOP + ", a AS (SELECT rule_id, count(*) AS mc FROM cells GROUP BY 1) SELECT rule_id, mc, round(mc * kl, 6) AS v1, round(sqrt(mc) * kl, 6) AS v3, round(CASE WHEN mc > 0 THEN kl ELSE 0 END + 10 * mc, 6) AS submod FROM top JOIN stats USING (h, t) JOIN a USING (rule_id)")
+def greedy_first_step(spark, sf_dir):
+    d, top = docs(spark, sf_dir), _top(spark, sf_dir, 20)
+    stats = rules.statistics(top, d.x, d.y, d.n).select("rule_id", "head", "tail", "kl")
+    cells = rules.rectangles(top, d.x, d.y)
+    none = stats.select("rule_id", F.lit(0.0).alias("div"))
+    scored = [greedy.step_scores(stats, cells, cells.select("rid", "item").limit(0), none, greedy.Config(version=v)).select("rule_id", "mc", F.round("objective", 6).alias(v)) for v in ("v1", "v3", "submod")]
+    return scored[0].join(scored[1].drop("mc"), "rule_id").join(scored[2].drop("mc"), "rule_id")
+
+
+def _greedy(version: str, lambd: float):
+    def run(spark, sf_dir):
+        d = docs(spark, sf_dir)
+        found = greedy.select(_top(spark, sf_dir, 20), d.x, d.y, d.n, greedy.Config(version=version, lambd=lambd, n_max_rules=4), 4)
+        return found.frame(spark).select("step", "rule_id", F.round("objective", 6).alias("objective"), "mc")
+
+    return run
+
+
+for _version, _lambd in (("v1", 10.0), ("v2", 10.0), ("v3", 1.0), ("submod", 0.01)):
+    QUERIES[f"greedy_{_version}"] = _greedy(_version, _lambd)
+
+
+@query()
+def prune_greedy_head(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    found = sampling.greedy_head(d.x, d.y.where("item = 0").select("rid"), list(range(20)), d.n)
+    return spark.createDataFrame([(i, item) for i, item in enumerate(found)], "place int, item int")

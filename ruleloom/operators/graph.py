@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.functions.scalar import uniform
 from ruleloom.operators.sets import frequency
+from ruleloom.sources.scratch import stored
 
 
 def cooccurrence(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def probable_cliques(ids: DataFrame, edges: DataFrame, least: float, most_items:
     for _ in range(most_items - 1):
         grown = level.join(kept.select(F.col("u").alias("last"), "v"), "last").join(adjacent, "v")
         factor = F.aggregate("items", F.col("proba"), lambda p, i: p * F.coalesce(F.element_at("adj", i), F.lit(0.0)))
-        level = grown.select(F.concat("items", F.array("v")).alias("items"), F.col("v").alias("last"), factor.alias("proba")).where(F.col("proba") >= least).persist()
+        level = stored(grown.select(F.concat("items", F.array("v")).alias("items"), F.col("v").alias("last"), factor.alias("proba")).where(F.col("proba") >= least))
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -101,7 +102,7 @@ def walk_cliques(edges: DataFrame, starts: DataFrame, seed: int = 0) -> DataFram
         chosen = near.select("start", "items", F.array_max(scored)["v"].alias("v"))
         pairs = chosen.where("v IS NOT NULL").select("start", "items", "v", F.explode("items").alias("u"))
         good = pairs.join(edges.select("u", "v").distinct(), ["u", "v"]).groupBy("start", "v").agg(F.count("*").alias("k"), F.first("items").alias("items")).where("k = size(items)")
-        grown = good.select("start", F.concat("items", F.array("v")).alias("items"), F.col("v").alias("u")).persist()
+        grown = good.select("start", F.concat("items", F.array("v")).alias("items"), F.col("v").alias("u")).transform(stored)
         stopped = level.join(grown.select("start"), "start", "left_anti").select("start", "items")
         done = stopped if done is None else done.unionByName(stopped)
         if grown.isEmpty():

@@ -1,7 +1,7 @@
 """Greedy selection of small, diverse rule sets from candidates, prediction, and persistence.
 
 Only one row per step reaches the driver; candidates' rectangles stay distributed and are written to the shared
-checkpoint folder where the session names one.
+scratch folder once.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators import graph, rules, sampling, sets
 from ruleloom.operators.sampling import NoMoreSamples
+from ruleloom.sources.scratch import stored
 
 
 class InsufficientCandidates(Exception):
@@ -75,12 +75,11 @@ def select(candidates: DataFrame, x: DataFrame, y: DataFrame, n: int, config: Co
     Stops early at a marginal coverage ratio of ``tolerance`` or less when ``n_max_rules`` is not set. Without ``distinct`` a
     rule may be chosen again.
     """
-    stats = rules.statistics(candidates, x, y, n).select("rule_id", "head", "tail", "kl").persist(StorageLevel.MEMORY_AND_DISK)
-    cells = rules.rectangles(candidates, x, y).persist(StorageLevel.MEMORY_AND_DISK)
-    areas = stats.select("rule_id").join(cells.groupBy("rule_id").agg(F.count("*").alias("a")), "rule_id", "left").fillna(0, ["a"]).persist()
+    stats = rules.statistics(candidates, x, y, n).select("rule_id", "head", "tail", "kl")
+    stats, cells = stored(stats), stored(rules.rectangles(candidates, x, y))
+    areas = stored(stats.select("rule_id").join(cells.groupBy("rule_id").agg(F.count("*").alias("a")), "rule_id", "left").fillna(0, ["a"]))
     total = y.count()
     covered, diversity, out = cells.select("rid", "item").limit(0), stats.select("rule_id", F.lit(0.0).alias("div")), Selected()
-    held: list[DataFrame] = []
     for step in range(budget):
         open_rules = stats if not distinct or not out.steps else stats.where(~F.col("rule_id").isin([s["rule_id"] for s in out.steps]))
         best = step_scores(open_rules, cells, covered, diversity, config).orderBy(F.desc("objective"), "tail", "head").limit(1).collect()
@@ -97,22 +96,10 @@ def select(candidates: DataFrame, x: DataFrame, y: DataFrame, n: int, config: Co
         diversity = diversity.join(d, "rule_id").select("rule_id", (F.col("div") + F.col("d")).alias("div"))
         covered = cells.where(F.col("rule_id").isin([s["rule_id"] for s in out.steps])).select("rid", "item").distinct()
         if (step + 1) % 8 == 0:
-            # the chain of sums is cut every few steps; persisted rows can be computed again
-            diversity = _cut(diversity, held)
-    for frame in (stats, cells, areas, *held):
-        frame.unpersist()
+            diversity = stored(diversity)  # the chain of sums is cut every few steps
     return out
 
 
-def _cut(frame: DataFrame, held: list[DataFrame]) -> DataFrame:
-    if frame.sparkSession.conf.get("spark.checkpoint.dir", None):
-        frame.sparkSession.sparkContext.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir"))
-        return frame.checkpoint()
-    frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-    held.append(frame)
-    return frame
-
-
 def set_objective(selected: DataFrame, x: DataFrame, y: DataFrame, n: int, lambd: float, against_itself: bool = False) -> float:
     """Sum of sequential coverage times divergence plus ``lambd`` times the sum of pair distances.
 
@@ -129,14 +116,14 @@ def set_objective(selected: DataFrame, x: DataFrame, y: DataFrame, n: int, lambd
 
 def candidates(x: DataFrame, y: DataFrame, vocab_x: DataFrame, vocab_y: DataFrame, n: int, covered: DataFrame, config: Config, round_: int = 0) -> DataFrame:
     """Sampled rules: tails by uncovered area, then heads for each tail by the discriminative distribution."""
-    y_space = graph.sample_space(y, vocab_y, config.min_label_proba).persist()
-    y_assign = sets.containment_division(y, y_space).persist()
+    y_space = stored(graph.sample_space(y, vocab_y, config.min_label_proba))
+    y_assign = stored(sets.containment_division(y, y_space))
     weights = sampling.uncovered_area_distribution(y_assign, y_space, covered)
     if weights.where("w > 0").isEmpty():
         raise NoMoreSamples("all labels are covered")
     tails = sampling.draw_inverse(weights.select("sid", "w"), config.n_tails, config.seed + round_, "sid").select("sid").distinct().persist()
-    x_space = graph.sample_space(x, vocab_x, config.min_feature_proba).persist()
-    x_assign = sets.containment_division(x, x_space).persist()
+    x_space = stored(graph.sample_space(x, vocab_x, config.min_feature_proba))
+    x_assign = stored(sets.containment_division(x, x_space))
     tail_rows = y_assign.join(tails, "sid").select("rid", F.col("sid").alias("item"))
     heads = sampling.draw_per_group(sampling.head_distribution(x_assign, tail_rows, n).select("tail", "sid", "w"), config.n_heads, config.seed + round_, "tail", "sid").select("tail", "sid").distinct()
     out = heads.join(x_space.select("sid", F.col("items").alias("head")), "sid").join(y_space.select(F.col("sid").alias("tail"), F.col("items").alias("t")), "tail")
@@ -150,10 +137,10 @@ def fit(x: DataFrame, y: DataFrame, vocab_x: DataFrame, vocab_y: DataFrame, n: i
     chosen, pool, covered = Selected(), None, y.limit(0)
     for k in range(rounds):
         try:
-            fresh = candidates(x, y, vocab_x, vocab_y, n, covered, config, k).persist()
+            fresh = stored(candidates(x, y, vocab_x, vocab_y, n, covered, config, k))
         except NoMoreSamples:
             break
-        pool = fresh if pool is None else rules.canonical(pool.unionByName(fresh)).persist()
+        pool = fresh if pool is None else stored(rules.canonical(pool.unionByName(fresh)))
         got = select(pool, x, y, n, config, len(chosen.steps) + 1)
         if len(got.steps) <= len(chosen.steps):
             break

@@ -28,7 +28,7 @@ def read_sparse(spark: SparkSession, path: str, n_labels: int) -> tuple[DataFram
     attributes, data = _lines(spark, path)
     first = len(attributes) - n_labels
     entry = F.explode(F.regexp_extract_all("line", F.lit(r"[{,]\s*([0-9]+)\s"), F.lit(1)))
-    cells = data.select("rid", entry.cast("int").alias("item")).distinct()
+    cells = data.select("rid", entry.alias("i")).select("rid", F.col("i").cast("int").alias("item")).distinct()
     return cells.where(F.col("item") < first), cells.where(F.col("item") >= first).select("rid", (F.col("item") - first).alias("item")), [a for a, _ in attributes]
 
 
