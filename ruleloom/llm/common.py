@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.sources.scratch import stored
+
+__all__ = ["arrow_schema", "batch_map", "components", "documents", "labels", "shuffle_width", "stored"]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -20,36 +21,6 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="ruleloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended first
-        pass
-
-
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage ends in replayable files.
-
-    The table is deleted when the interpreter ends; until then any later plan may read it.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/ruleloom/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

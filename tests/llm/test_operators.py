@@ -1,0 +1,291 @@
+"""Each operator against plain Python, on a fixture of hard cases."""
+
+import hashlib
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from ruleloom.llm import bpe, exact, language, media, packing, pii, quality, secrets, simhash, suffix, tiff
+from ruleloom.llm.catalogue import vocabulary
+
+from .conftest import crc
+
+SHA = lambda b: hashlib.sha256(b).hexdigest()
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def spans(text, kinds):
+    return [(m.start(), k, m.end()) for k, (_, pattern, good) in enumerate(kinds) for m in re.finditer(pattern, text or "") if good(m)]
+
+
+def luhn(d):
+    return sum((lambda v: v - 9 if v > 9 else v)(int(c) * (1 + i % 2)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+digits = lambda m: re.sub("[^0-9]", "", m[0])
+PII = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+       ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15)]
+SECRETS = [("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 12),
+           ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16)]
+
+
+def test_pii(docs, rows, none):
+    got = by_id(pii.find(docs))
+    for i, text in rows:
+        found = sorted(spans(text, PII), key=lambda s: (s[1], s[0]))
+        assert got[i]["base_sha256"] == SHA(",".join(f"{PII[k][0]}:{s}:{e}" for s, k, e in found).encode())
+        assert [got[i][f"n_{k}"] for k, *_ in PII] == [sum(k == j for _, k, _ in found) for j in range(4)]
+    assert pii.find(none).count() == 0
+
+
+def test_pii_runs_of_thousands(spark):
+    long = spark.createDataFrame([(0, "1.2." * 3000), (1, "9" * 20000), (2, "a" * 30000 + "@"), (3, "+" * 500 + "1" * 12)], "doc_id long, text string")
+    got = by_id(pii.find(long, ([], float("inf"))))
+    assert got[0]["n_ip"] == 1500 and got[1]["n_card"] == 0 and got[2]["n_email"] == 0 and got[3]["n_phone"] == 1
+
+
+def test_boosting_adds_what_context_tells():
+    cell = dict.fromkeys(pii.FEATURES, 0)
+    trees, cut = pii.boost([cell | {"telling": 1, "yes": 99, "no": 1}, cell | {"yes": 1, "no": 99}])
+    total = lambda c: sum(pii._leaf(t, c) for t in trees)
+    assert total(cell | {"telling": 1}) >= cut > total(cell)
+
+
+def test_secrets(docs, rows, none):
+    got = by_id(secrets.scan(docs))
+    for i, text in rows:
+        found = sorted(spans(text, SECRETS))
+        assert got[i]["base_sha256"] == SHA(",".join(f"{SECRETS[k][0]}:{s}:{e}" for s, k, e in found).encode())
+    assert sum(r["n_novel"] for r in got.values()) == 1
+    assert secrets.redact_text("x client_secret_id: aB3dE5gH7jK9mN1pQ3sT5vX7.") == "x client_secret_id: [secret]."
+    assert secrets.scan(none).count() == 0
+
+
+def test_redaction_covers_every_span(docs, rows):
+    kept = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    for i, text in rows:
+        for s, _, e in secrets.base_spans(text or ""):
+            assert text[s:e] not in kept[i]
+    assert secrets.redact(docs).columns == docs.columns
+
+
+def fingerprint(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower)
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def roots(n, pairs):
+    parent = list(range(n))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_simhash(docs, rows, none):
+    got = by_id(simhash.near_dedup(docs))
+    fps = [fingerprint(t) for _, t in rows]
+    want = roots(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    for (i, _), fp, root in zip(rows, fps, want, strict=True):
+        assert got[i]["fp"] % 2**64 == fp and got[i]["component_id"] == rows[root][0]
+    assert simhash.near_dedup(none).count() == 0
+
+
+def test_every_close_pair_shares_a_bucket_and_tiles_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_ROWS", 8)
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**64, 4, dtype=np.uint64)
+    fps = {int(b) for b in base}
+    for b in base.tolist():
+        x = b
+        for _ in range(60):
+            for bit in rng.choice(64, rng.integers(1, 4), replace=False):
+                x ^= 1 << int(bit)
+            fps.add(x)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for i, f in enumerate(fps)], "fp long, node long")
+    edges = [(r["u"], r["v"]) for r in simhash.links(df).collect()]
+    assert all((fps[u] ^ fps[v]).bit_count() <= 3 for u, v in edges)
+    assert roots(len(fps), edges) == roots(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+
+
+def test_exact(docs, rows, none):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    got = by_id(exact.exact_dedup(docs))
+    for body, ids in groups.items():
+        for i in ids:
+            assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"], got[i]["text_sha256"]) == (min(ids), len(ids), i == min(ids), SHA(body.encode()))
+    assert exact.exact_dedup(docs).count() == len(rows) and exact.exact_dedup(none).count() == 0
+
+
+def test_patricia_keeps_full_strings():
+    trie, want = exact.Patricia(), {}
+    for i, key in enumerate([b"", b"abc", b"abd", b"ab", b"abc", b"b", b"abcdef", b"abd"]):
+        trie.insert(key, 100 - i)
+        owner, n = want.get(key, (200, 0))
+        want[key] = (min(owner, 100 - i), n + 1)
+    assert {k: (o, n) for k, o, n in trie.terminals()} == want
+
+
+def test_spilling_changes_nothing(docs, monkeypatch):
+    want = sorted(map(tuple, exact.exact_dedup(docs).collect()))
+    monkeypatch.setattr(exact, "SPILL_BYTES", 100)
+    assert sorted(map(tuple, exact.exact_dedup(docs).collect())) == want
+
+
+def test_bpe(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    plain, got = Tokenizer.from_file(path), by_id(bpe.encode_decode(docs, path))
+    for i, text in rows:
+        ids = plain.encode(text or "", add_special_tokens=False).ids
+        text = plain.decode(ids, skip_special_tokens=False)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), SHA(np.array(ids, "<u4").tobytes()), SHA(text.encode()))
+    assert bpe.encode_decode(none, path).count() == 0
+
+
+@pytest.mark.parametrize("scheme", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("side", [0, 16])
+def test_tiff_round_trip(scheme, side):
+    rng = np.random.default_rng(scheme)
+    for shape, top in (((1, 64), 256), ((33, 50), 3), ((70, 70), 256)):
+        pixels = rng.integers(0, top, shape, dtype=np.uint8)
+        for predictor in (1, 2):
+            pages = tiff.read(tiff.write([(pixels, scheme, predictor, side)] * 2))
+            assert [p.pixels[:, :, 0].tolist() for p in pages] == [pixels.tolist()] * 2
+
+
+def test_tiff_big_endian_and_damage():
+    pixels = bytes([0, 3, 1, 0])  # two 16-bit samples, differenced
+    tags = [(256, 2), (257, 1), (258, 16), (259, 1), (273, 8), (277, 1), (278, 1), (279, 4), (317, 2)]
+    ifd = struct.pack(">H", len(tags)) + b"".join(struct.pack(">HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+    page = tiff.read(b"MM\0*" + struct.pack(">I", 12) + pixels + ifd)[0]
+    assert page.pixels.ravel().tolist() == [3, 259]
+    for bad in (b"", b"II*\0\x08\0\0\0", tiff.write([(np.zeros((2, 64), np.uint8), tiff.LZW, 1, 0)])[:-30]):
+        with pytest.raises(ValueError):
+            tiff.read(bad)
+
+
+def test_media(spark, docs, rows, none):
+    got = by_id(media.digests(docs))
+    for i, text in rows:
+        raw = (text or "").encode()
+        padded = raw + bytes(-len(raw) % 64) or bytes(64)
+        assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(raw), len(padded), SHA(padded), zlib.crc32(padded[-64:]))
+    files = media.encode(docs).withColumnRenamed("doc_id", "id")
+    assert media.page_rows(files).count() == sum(got[i]["n_pages"] for i, _ in rows)
+    assert media.page_rows(spark.createDataFrame([(1, None)], "id long, media binary")).first()["error"]
+    assert media.digests(none).count() == 0
+
+
+def test_repeats(docs, rows, none):
+    raws = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(b[k : k + 200] for _, b in raws for k in range(len(b) - 199))
+    got = by_id(suffix.remove_repeats(docs))
+    for i, b in raws:
+        gone = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), sum(gone), runs, SHA(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    assert suffix.remove_repeats(none).count() == 0
+
+
+def test_difference_cover_order():
+    assert {(a - b) % suffix.PERIOD for a in suffix.COVER for b in suffix.COVER} == set(range(suffix.PERIOD))
+    rng = np.random.default_rng(0)
+    for letters in (2, 40):
+        text = rng.integers(97, 97 + letters, 900).astype(np.uint8)
+        text[300:600] = text[:300]
+        at, bucket = rng.permutation(700)[:150], rng.integers(0, 2, 150)
+        keys = [(bucket[i], text.tobytes()[at[i] : at[i] + 200]) for i in suffix.CoverSorter(text, 200).order(at, bucket)]
+        assert keys == sorted(keys)
+
+
+def test_language(spark, none):
+    words = {"en": "the of and to in is that for it was", "de": "der die und das ist nicht ein zu den mit", "fr": "le la et les des est que dans une pour"}
+    rows = [(k * 100 + i, f"{' '.join(w.split()[i % 5 :])} {w}", lang) for k, (lang, w) in enumerate(words.items()) for i in range(40)]
+    df = spark.createDataFrame([*rows, (900, None, "en"), (901, "12 34", "en"), (902, "", None)], "doc_id long, text string, lang string")
+    got = by_id(language.identify(df))
+    assert all(got[i]["lang_pred"] == lang and 0 <= got[i]["score"] <= 1 for i, _, lang in rows)
+    assert [got[i]["lang_pred"] for i in (900, 901, 902)] == ["und"] * 3
+    assert all(got[i]["held_out"] == (crc(i, 4) == 2) for i, *_ in rows) and language.identify(none).count() == 0
+
+
+def test_codewords_are_apart():
+    for n in (2, 4, 7, 20):
+        book = language.codebook(n)
+        assert min((book[i] != book[j]).sum() for i in range(n) for j in range(i)) >= max(1, book.shape[1] // 4)
+
+
+def test_quality(spark, none):
+    good, bad = "the river ran slowly past the old stone mill", "BUY!!! $$$ click ### now ### $$$"
+    rows = [(i, f"{good if i % 3 else bad} {i} " * (1 + i % 4)) for i in range(120)]
+    df = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 > 0), None) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = by_id(quality.classify(df, marks))
+    assert all(got[i]["predicted"] == int(i % 3 > 0) for i, _ in rows if got[i]["held_out"])
+    assert all(got[i]["held_out"] == (crc(i, 5) == 0) for i, _ in rows) and got[900]["score"] == got[901]["score"]
+    assert quality.classify(none, marks.limit(0)).count() == 0
+    assert {r["doc_id"] for r in quality.keep_good(df, marks).collect()} >= {i for i, _ in rows if i % 3}
+
+
+def test_packing(docs, rows, none):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    got, filled = defaultdict(list), defaultdict(list)
+    for r in packing.pack(docs, path).collect():
+        got[r["doc_id"]].append(r)
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, n in Counter(i for i, _ in rows).items():
+        ids = [*plain.encode(dict(rows)[i] or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        want = [(p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))] * n
+        assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got[i]) == sorted(want)
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack(none, path).count() == 0
+
+
+def test_plan_over_counts_is_best_fit_over_pieces():
+    rng = np.random.default_rng(4)
+    lengths = sorted(rng.integers(1, 120, 400).tolist(), reverse=True)
+    free = []
+    for n in lengths:
+        fit = [f for f in free if f >= n]
+        if fit:
+            free.remove(min(fit))
+        free.append((min(fit) if fit else 128) - n)
+    slots = packing.plan(Counter(lengths), 128)
+    used = defaultdict(int)
+    for length, first, past, sequence, each, offset in slots:
+        for k in range(past - first):
+            used[sequence + k // each] += length
+    assert len(used) == len(free) and max(used.values()) <= 128 and sum(used.values()) == sum(lengths)
