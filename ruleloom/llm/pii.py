@@ -134,7 +134,7 @@ def boost(cells: list[dict]) -> tuple[list[tuple], float]:
     for s, c in sorted(zip(score, cells, strict=True), key=lambda x: -x[0]):
         right, every = right + c["yes"], every + c["yes"] + c["no"]
         if right >= PRECISION * every:
-            cut = s
+            cut = s - 1e-9  # sums in another order differ in the last digits
     return trees, cut
 
 

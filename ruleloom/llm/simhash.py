@@ -94,10 +94,10 @@ def tile_links(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[in
                 break
             near = np.bitwise_count(left ^ fps[None, b : b + TILE]) <= radius
             for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1) if a == b else near)), strict=True):
-                i, j = find(a + i), find(b + j)
-                if i != j:
-                    parent[j] = i
-                    out.append((int(nodes[i]), int(nodes[j])))
+                one, two = find(a + i), find(b + j)
+                if one != two:
+                    parent[two] = one
+                    out.append((int(nodes[a + i]), int(nodes[b + j])))
     return out
 
 
