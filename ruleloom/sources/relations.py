@@ -72,7 +72,7 @@ def docs(spark: SparkSession, sf_dir: str, width: int = 60) -> Dataset:
     for column in ("quality", "toxic"):
         names = names.unionByName(marks.where(F.col(column).isNotNull()).select(F.col("doc_id").alias("rid"), F.concat(F.lit(f"{column}="), F.col(column).cast("string")).alias("name")))
     vocab_y = numbered(names.select("name").distinct()).persist()
-    y = names.join(F.broadcast(vocab_y), "name").select("rid", "item").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    y = names.join(vocab_y, "name").select("rid", "item").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     rows = table.select(F.col("doc_id").alias("rid"))
     _DOCS[key] = Dataset(x, y, rows, vocab_x, vocab_y, rows.count())
     return _DOCS[key]
