@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+MOST_GROUPS = 10_000
 _A, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _TABLE = ((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29)).astype(np.uint32)
 
@@ -45,11 +47,13 @@ def bounded_sample(rows: DataFrame, group: str, most: int) -> list:
     Rows are thinned by a hash threshold from the group's count before they leave the executors, so no group is
     gathered in one task; what arrives is cut to the bound in hash order.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    share = F.least(F.lit(1.0), F.lit(1.2 * most) / F.col("_n"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n")).limit(MOST_GROUPS + 1).collect()
+    if len(counts) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} values of {group}")
+    known = rows.sparkSession.createDataFrame([(r[group], min(1.0, 1.2 * most / r["_n"])) for r in counts], StructType([rows.schema[group], StructField("_share", DoubleType())]))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    # one row per label value: a handful
-    thin = rows.join(F.broadcast(counts.select(group, share.alias("_share"))), group).withColumn("_at", place).where("_at < _share")
+    # at most MOST_GROUPS rows
+    thin = rows.join(F.broadcast(known), group).withColumn("_at", place).where("_at < _share")
     found: dict = {}
     for row in sorted(thin.collect(), key=lambda r: (r["_at"], *map(str, r))):
         own = found.setdefault(row[group], [])
