@@ -93,7 +93,8 @@ def walk_cliques(edges: DataFrame, starts: DataFrame, seed: int = 0) -> DataFram
     clique is chosen in proportion to it, and the walk ends when none does. A start's walk needs the edges around it only, held as
     maps; the steps are one fold per walk, so walks run side by side.
     """
-    maps = edges.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("v", "proba"))).alias("adj"))
+    edges = stored(edges.select("u", "v", "proba"))
+    maps = stored(edges.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("v", "proba"))).alias("adj")))
     level = starts.select(F.col("id").alias("start"), F.array("id").alias("items"), F.col("id").alias("u"))
     done = None
     for step in range(64):

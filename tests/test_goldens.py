@@ -76,6 +76,20 @@ def test_connectivity(spark):
     assert [round(r["proba"], 9) for r in graph.connectivity_graph(edges).orderBy("u").collect()] == [0.85, 0.58]
 
 
+def test_walks_end_in_cliques(spark):
+    near = [(0, 1), (0, 2), (1, 2), (2, 3)]
+    edges = spark.createDataFrame([(a, b, 1.0) for u, v in near for a, b in ((u, v), (v, u))], "u int, v int, proba double")
+    got = {r["start"]: r["items"] for r in graph.walk_cliques(edges, spark.range(5).select(F.col("id").cast("int"))).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and got[4] == [4]
+    for start, items in got.items():
+        assert items[0] == start and all((min(a, b), max(a, b)) in near for i, a in enumerate(items) for b in items[:i])
+
+
+def test_greedy_head(spark):
+    x = cells(spark, [(0, 1), (0, 1), (0, 2), (2,), (1, 2)])
+    assert sampling.greedy_head(x, spark.range(2).toDF("rid"), [0, 1, 2], 5) == [0, 1]
+
+
 def test_uncovered_area(spark):
     space = spark.createDataFrame([(0, [0]), (1, [1]), (2, [0, 1])], "sid int, items array<int>")
     assign = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 0)], "rid long, sid int")
