@@ -10,7 +10,11 @@ are a suffix bucket.
 Buckets are sorted by a blockwise difference-cover construction, some buckets at a time: ranks of the cover's
 sample positions are computed first by doubling, and suffixes that tie beyond the cover's period are ordered by
 the rank of a sample position at the same distance from both. Prefix lengths shared by neighbours in this order, to the right of the anchor and
-mirrored to its left, tell for every offset which strings are equal. Memory is bounded by one bucket of distinct contexts.
+mirrored to its left, tell for every offset which strings are equal.
+
+A bucket of more than ``SPLIT`` distinct contexts is split before it is sorted: strings that start ``low`` to ``high`` bytes before the anchor
+share the bytes from ``low`` before it to ``200 - high`` behind its start, so for every such range the contexts part by those bytes. What is
+still larger then has 188 of 200 bytes in common and is counted string by string. Memory is thus bounded by two such buckets in any task.
 
 Defined cases: null and short texts keep all bytes; rows repeated with equal ``doc_id`` and text repeat one another, so they are
 removed like other copies; a string may repeat inside its own document, overlapping itself; an empty table gives an empty result.
@@ -34,6 +38,8 @@ WINDOW, GRAM = 200, 32
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members (fixed values).
 PERIOD, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
 BATCH_CONTEXTS, CHUNK_BYTES = 20_000, 1 << 18
+#: Distinct contexts of a bucket above which it is split, and the number of string starts a part of it stands for.
+SPLIT, RANGE = 20_000, 13
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -190,8 +196,11 @@ def _side(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order, np.concatenate([[-1], shared])
 
 
-def repeated(bucket: np.ndarray, bodies: list[bytes], off: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """For each context and distance 0..168 of a string's start before the anchor: whether another context of the bucket has the string."""
+def repeated(bucket: np.ndarray, bodies: list[bytes], off: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each context and distance 0..168 of a string's start before the anchor: whether another context of the bucket has the string.
+
+    A context takes part with distances from ``low`` to ``high`` only.
+    """
     size, reach = len(bodies), WINDOW - GRAM + 1
     right, left = np.zeros((size, WINDOW), np.uint8), np.zeros((size, reach - 1), np.uint8)
     for i, (body, at) in enumerate(zip(bodies, off.tolist(), strict=True)):
@@ -203,7 +212,7 @@ def repeated(bucket: np.ndarray, bodies: list[bytes], off: np.ndarray, n: np.nda
     found = np.zeros((size, reach), bool)
     group_right, group_left = np.empty(size, np.int64), np.empty(size, np.int64)
     for r in range(reach):
-        held = np.flatnonzero((off - n < r) & (r <= off))
+        held = np.flatnonzero((off - n < r) & (r <= off) & (low <= r) & (r <= high))
         if len(held) < 2:
             continue
         group_right[by_right] = np.cumsum(shares_right < WINDOW - r)
@@ -213,7 +222,8 @@ def repeated(bucket: np.ndarray, bodies: list[bytes], off: np.ndarray, n: np.nda
     return found
 
 
-_REPS = "h long, count long, key long, a int, off short, n short, body binary"
+_REPS = "h long, large boolean, count long, key long, a int, off short, n short, body binary"
+_BUCKETED = ("h", "count", "key", "a", "off", "n", "body", "low", "high")
 _SPANS = "key long, s int, e int"
 
 
@@ -225,7 +235,7 @@ def _bodies(joined: DataFrame) -> DataFrame:
             rows = []
             for key, raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = zstandard.ZstdDecompressor().decompress(raw.as_py())
-                rows += [{"h": w["h"], "count": w["count"], "key": key, "a": w["a"], "off": w["off"], "n": w["n"], "body": text[w["a"] : w["a"] + w["n"] - 1 + WINDOW]} for w in wanted]
+                rows += [{"h": w["h"], "large": w["large"], "count": w["count"], "key": key, "a": w["a"], "off": w["off"], "n": w["n"], "body": text[w["a"] : w["a"] + w["n"] - 1 + WINDOW]} for w in wanted]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -233,13 +243,13 @@ def _bodies(joined: DataFrame) -> DataFrame:
 
 
 def _sorted_buckets(reps: DataFrame) -> DataFrame:
-    """Spans of once-occurring contexts that share a string with another context of their anchor."""
+    """Spans of once-occurring contexts that share a string with another context of their bucket ``h``."""
     schema = arrow_schema(reps.sparkSession, _SPANS)
 
     def settle(cols: list[list]) -> pa.RecordBatch | None:
-        h, count, key, a, off, n, bodies = cols
-        off, n, a = (np.array(c, np.int64) for c in (off, n, a))
-        found = repeated(np.array(h, np.int64), bodies, off, n)
+        h, count, key, a, off, n, bodies, least, most = cols
+        off, n, a, least, most = (np.array(c, np.int64) for c in (off, n, a, least, most))
+        found = repeated(np.array(h, np.int64), bodies, off, n, least, most)
         found[np.array(count) > 1] = False
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         i, low = np.nonzero(edge == 1)
@@ -250,20 +260,41 @@ def _sorted_buckets(reps: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.array(key, np.int64)[i]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], schema=schema)
 
     def run(batches):
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in _BUCKETED]
         for batch in batches:
             new = [c.to_pylist() for c in batch.columns]
             for row in zip(*new, strict=True):
                 if len(cols[0]) >= BATCH_CONTEXTS and row[0] != cols[0][-1]:
                     if (out := settle(cols)) is not None:
                         yield out
-                    cols = [[] for _ in range(7)]
+                    cols = [[] for _ in _BUCKETED]
                 for col, value in zip(cols, row, strict=True):
                     col.append(value)
         if cols[0] and (out := settle(cols)) is not None:
             yield out
 
-    return reps.repartition("h").sortWithinPartitions("h").mapInArrow(run, _SPANS)
+    return reps.select(*_BUCKETED).repartition("h").sortWithinPartitions("h").mapInArrow(run, _SPANS)
+
+
+def _unsettled(rows: DataFrame, *names: str) -> DataFrame:
+    """The values of ``names`` under which several contexts meet, one of them occurring once, and their number ``d``."""
+    return rows.groupBy(*names).agg(F.count("*").alias("d"), F.min("count").alias("least")).where("d > 1 AND least = 1").drop("least")
+
+
+def _split_buckets(reps: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
+    """``(parts, spans)`` of large buckets: parts of at most ``split`` contexts with ``low`` and ``high``, and the spans found in larger parts."""
+    reach = WINDOW - GRAM
+    ranges = F.explode(F.array(*(F.struct(F.lit(r).alias("low"), F.lit(min(r + RANGE - 1, reach)).alias("high")) for r in range(0, reach + 1, RANGE))))
+    rows = reps.select("h", "count", "key", "a", "off", "n", "body", ranges.alias("range")).select("*", "range.low", "range.high").drop("range")
+    rows = rows.where("high > off - n AND low <= off")  # some string starts in the range, so the context holds the common bytes
+    rows = rows.withColumn("part", F.xxhash64("h", "low", F.expr(f"substring(body, off - low + 1, low + {WINDOW} - high)")))
+    known = stored(_unsettled(rows, "part"))
+    met = rows.join(known, "part")
+    strings = met.where(F.col("d") > split).select("part", "count", "key", "a", "off", "body", F.explode(F.expr("sequence(greatest(int(low), off - n + 1), least(int(high), int(off)))")).alias("r"))
+    strings = strings.select("part", "r", F.xxhash64(F.expr(f"substring(body, off - r + 1, {WINDOW})")).alias("string"), "count", "key", (F.col("a") + F.col("off") - F.col("r")).alias("s"))
+    again = stored(_unsettled(strings, "part", "r", "string").drop("d"))
+    spans = strings.where("count = 1").join(again, ["part", "r", "string"]).select("key", "s", (F.col("s") + WINDOW).alias("e"))
+    return met.where(F.col("d") <= split).withColumn("h", F.col("part")).select(*_BUCKETED), spans
 
 
 def _packed(columns) -> dict:
@@ -290,8 +321,11 @@ def _cut(columns, texts: bool) -> dict:
     return out
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with ``texts`` also the bytes ``kept``."""
+def remove_repeats(docs: DataFrame, texts: bool = False, split: int = SPLIT) -> DataFrame:
+    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, with ``texts`` also the bytes ``kept``.
+
+    Buckets of more than ``split`` distinct contexts are split before they are sorted.
+    """
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     every = stored(contexts(keyed))
     # small tables are written first: joins of two scans can be split at a frequent anchor
@@ -299,10 +333,18 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     shared = stored(every.join(known, "h"))
     distinct = stored(shared.groupBy("h", "ch").agg(F.count("*").alias("count"), F.min(F.struct("key", "a", "off", "n")).alias("rep")))
     whole = shared.join(distinct.where("count > 1").select("h", "ch"), ["h", "ch"]).select("key", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + WINDOW).alias("e"))
-    mixed = stored(distinct.groupBy("h").agg(F.count("*").alias("d"), F.min("count").alias("least")).where("d > 1 AND least = 1").select("h"))
-    wanted = distinct.join(mixed, "h").select("h", "count", "rep.*").groupBy("key").agg(F.collect_list(F.struct("h", "count", "a", "off", "n")).alias("wanted"))
+    mixed = stored(_unsettled(distinct, "h").select("h", (F.col("d") > split).alias("large")))
+    wanted = distinct.join(mixed, "h").select("h", "large", "count", "rep.*").groupBy("key").agg(F.collect_list(F.struct("h", "large", "count", "a", "off", "n")).alias("wanted"))
     packed = batch_map(keyed.select("doc_id", "key", "text"), _packed, "doc_id long, key long, raw binary")
     reps = _bodies(packed.select("key", "raw").join(wanted, "key"))
-    spans = whole.unionByName(_sorted_buckets(reps)).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    every_start = (F.lit(0).alias("low"), F.lit(WINDOW - GRAM).alias("high"))
+    if mixed.where("large").isEmpty():
+        small = reps.select(*_BUCKETED[:-2], *every_start)
+    else:
+        reps = stored(reps)
+        parts, more = _split_buckets(reps.where("large"), split)
+        small = reps.where("NOT large").select(*_BUCKETED[:-2], *every_start).unionByName(parts)
+        whole = whole.unionByName(more)
+    spans = whole.unionByName(_sorted_buckets(small)).groupBy("key").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return batch_map(packed.join(spans, "key", "left").select("doc_id", "raw", "spans"), _cut, ddl, texts)

@@ -1,6 +1,7 @@
 """Each operator against plain Python, on a fixture of hard cases."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -198,10 +199,10 @@ def test_media(spark, docs, rows, none):
     assert media.digests(none).count() == 0
 
 
-def test_repeats(docs, rows, none):
+def check_repeats(found, rows):
     raws = [(i, (t or "").encode()) for i, t in rows]
     count = Counter(b[k : k + 200] for _, b in raws for k in range(len(b) - 199))
-    got = by_id(suffix.remove_repeats(docs))
+    got = by_id(found)
     for i, b in raws:
         gone = bytearray(len(b))
         for k in range(len(b) - 199):
@@ -209,7 +210,21 @@ def test_repeats(docs, rows, none):
                 gone[k : k + 200] = b"\1" * 200
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), sum(gone), runs, SHA(bytes(x for x, g in zip(b, gone, strict=True) if not g)))
-    assert suffix.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("split", [suffix.SPLIT, 1])
+def test_repeats(docs, rows, none, split):
+    check_repeats(suffix.remove_repeats(docs, split=split), rows)
+    assert suffix.remove_repeats(none, split=split).count() == 0
+
+
+@pytest.mark.parametrize("split", [2, 8, 40])
+def test_repeats_around_one_frequent_passage(spark, split):
+    rng = random.Random(split)
+    sides = ["".join(rng.choice("abcdé ") for _ in range(120)) for _ in range(9)]
+    mid = "".join(rng.choice("efgh ") for _ in range(150))
+    rows = [(i, rng.choice(sides)[: rng.randint(0, 120)] + rng.choice(sides)[rng.randint(0, 120) :] + mid[: rng.choice((150, 150, 149))] + rng.choice(sides)[: rng.randint(0, 120)] + str(i)) for i in range(120)]
+    check_repeats(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), split=split), rows)
 
 
 def test_difference_cover_order():
