@@ -3,7 +3,7 @@
 A corpus-wide suffix array would sort every byte, so only suffixes that can tie for long enough are sorted.
 Each 200-byte string has one anchor, the leftmost of its 32-byte grams with the least hash; strings that are equal have equal anchors at
 the same offset. Runs of strings with one anchor form a context, at most 368 bytes. Contexts whose anchor occurs nowhere else
-hold no repeated string. Of the others, contexts that are equal as a whole are counted together before they
+hold no repeated string. Of the others, contexts that are equal as a whole are counted together, first within a document, then before they
 are sent on (so a passage held by a third of all documents stays one row), and distinct contexts of one anchor
 are a suffix bucket.
 
@@ -84,12 +84,25 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return h[place[first]].view(np.int64), place[first], at[first], at[last]
 
 
-_CONTEXTS = "key long, h long, ch long, a int, off short, n short"
+_CONTEXTS = "key long, h long, ch long, a int, off short, n short, times int"
+
+
+def _times(doc: np.ndarray, h: np.ndarray, ch: np.ndarray) -> np.ndarray:
+    """How often a document has a context, at the first place it does; 0 at the others."""
+    order = np.lexsort((ch, h, doc))
+    change = np.zeros(len(order), bool)
+    change[:1] = True
+    for x in (doc, h, ch):
+        change[1:] |= x[order[1:]] != x[order[:-1]]
+    first = np.flatnonzero(change)
+    times = np.zeros(len(order), np.int64)
+    times[order[first]] = np.diff(np.append(first, len(order)))
+    return times
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """``key, h, ch, a, off, n`` per context of ``docs(key, text)``: hashes of anchor and of the whole context, its start, the
-    anchor's offset in it, and the number of 200-byte strings."""
+    """``key, h, ch, a, off, n, times`` per context of ``docs(key, text)``: hashes of anchor and of the whole context, its start, the
+    anchor's offset in it, the number of 200-byte strings, and at its first place in the document how often it is there (else 0)."""
     schema = arrow_schema(docs.sparkSession, _CONTEXTS)
 
     def chunk(keys: list[int], raws: list[bytes]) -> pa.RecordBatch:
@@ -101,7 +114,7 @@ def contexts(docs: DataFrame) -> DataFrame:
         view = memoryview(whole)
         ch = np.array([digest(view[s:e]) for s, e in zip(a.tolist(), (b + WINDOW).tolist(), strict=True)], np.uint64).view(np.int64)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        cols = (np.array(keys, np.int64)[doc], h, ch, a - starts[doc], place - a, b - a + 1)
+        cols = (np.array(keys, np.int64)[doc], h, ch, a - starts[doc], place - a, b - a + 1, _times(doc, h, ch))
         return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def run(batches):
@@ -329,10 +342,12 @@ def remove_repeats(docs: DataFrame, texts: bool = False, split: int = SPLIT) ->
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     every = stored(contexts(keyed))
     # small tables are written first: joins of two scans can be split at a frequent anchor
-    known = stored(every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    shared = stored(every.join(known, "h"))
-    distinct = stored(shared.groupBy("h", "ch").agg(F.count("*").alias("count"), F.min(F.struct("key", "a", "off", "n")).alias("rep")))
-    whole = shared.join(distinct.where("count > 1").select("h", "ch"), ["h", "ch"]).select("key", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + WINDOW).alias("e"))
+    first = every.where("times > 0")
+    known = stored(first.groupBy("h").agg(F.sum("times").alias("c")).where("c > 1").select("h"))
+    shared = stored(first.join(known, "h"))
+    distinct = stored(shared.groupBy("h", "ch").agg(F.sum("times").alias("count"), F.min(F.struct("key", "a", "off", "n")).alias("rep")))
+    whole = shared.join(distinct.where("count > 1").select("h", "ch"), ["h", "ch"]).select("key", "a", "n").unionByName(every.where("times = 0").select("key", "a", "n"))
+    whole = whole.select("key", F.col("a").alias("s"), (F.col("a") + F.col("n") - 1 + WINDOW).alias("e"))
     mixed = stored(_unsettled(distinct, "h").select("h", (F.col("d") > split).alias("large")))
     wanted = distinct.join(mixed, "h").select("h", "large", "count", "rep.*").groupBy("key").agg(F.collect_list(F.struct("h", "large", "count", "a", "off", "n")).alias("wanted"))
     packed = batch_map(keyed.select("doc_id", "key", "text"), _packed, "doc_id long, key long, raw binary")
