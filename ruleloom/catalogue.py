@@ -52,7 +52,7 @@ def query(sql: str | None = None):
     def add(fn):
         QUERIES[fn.__name__] = fn
         if sql:
-            ORACLES[fn.__name__] = ("WITH RECURSIVE " if "clq" in sql else "WITH ") + sql.strip() if not sql.lstrip().startswith("SELECT") else sql.strip()
+            ORACLES[fn.__name__] = ("WITH RECURSIVE " if "clq" in sql or "fold(" in sql else "WITH ") + sql.strip() if not sql.lstrip().startswith("SELECT") else sql.strip()
         return fn
 
     return add
@@ -348,13 +348,21 @@ def boley_head_distribution(spark, sf_dir):
     return _rounded(sampling.powerset_heads(rows, rows.where("rid % 5 = 0")).withColumn("items", items_text()), "items")
 
 
-PAIR = """t AS (SELECT DISTINCT c_nationkey AS rid, c_custkey % 4 AS item FROM customer WHERE c_custkey % 11 < 3), r AS (SELECT CAST(rid AS BIGINT) AS rid, list(CAST(item AS INT)) AS items FROM t GROUP BY 1),
-p AS (SELECT a.rid AS pos, b.rid AS neg, len(list_filter(a.items, lambda i: NOT list_contains(b.items, i))) AS d, len(list_intersect(a.items, b.items)) AS i FROM r a, r b WHERE a.rid < 8 AND b.rid >= 8)"""
+#: Nations and the residues of customer keys that are more frequent in them than the average.
+NATIONS = """t AS (SELECT c_nationkey, c_custkey % {0} AS item, count(*) AS c FROM customer GROUP BY 1, 2),
+f AS (SELECT CAST(c_nationkey AS BIGINT) AS rid, CAST(item AS INT) AS item FROM (SELECT *, sum(c) OVER (PARTITION BY c_nationkey) AS total FROM t) WHERE c * {0} > total)"""
+PAIR = NATIONS.format(8) + """, r AS (SELECT rid, list(item) AS items FROM f GROUP BY 1),
+p AS (SELECT a.rid AS pos, b.rid AS neg, a.items AS p, b.items AS q, len(list_filter(a.items, lambda i: NOT list_contains(b.items, i))) AS d, len(list_intersect(a.items, b.items)) AS i FROM r a, r b WHERE a.rid < 8 AND b.rid >= 8)"""
+
+
+def _frequent_residues(spark, sf_dir, k: int) -> DataFrame:
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey", (F.col("c_custkey") % k).cast("int").alias("item")).agg(F.count("*").alias("c"))
+    total = own.groupBy("c_nationkey").agg(F.sum("c").alias("total"))
+    return own.join(total, "c_nationkey").where(F.col("c") * k > F.col("total")).select(F.col("c_nationkey").cast("long").alias("rid"), "item")
 
 
 def _nations(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 11 < 3")
-    return sets.rows_as_sets(table.select(F.col("c_nationkey").cast("long").alias("rid"), (F.col("c_custkey") % 4).cast("int").alias("item")))
+    return sets.rows_as_sets(_frequent_residues(spark, sf_dir, 8))
 
 
 @query(PAIR + " SELECT pos, neg, CAST(d AS DOUBLE) AS w, round(d / sum(d) OVER (), 6) AS proba FROM p WHERE d > 0")
@@ -369,6 +377,21 @@ def boley_pair_distribution(spark, sf_dir):
     return _rounded(sampling.pair_distribution(rows, rows.where("rid < 8"), full=True), "pos", "neg")
 
 
+@query(PAIR + ", t0 AS (SELECT i AS t FROM range(64) a(i)), e AS (SELECT pos, neg, p, q, unnest(p) AS item FROM p WHERE d > 0), own AS (SELECT pos, neg, t, list(item) AS own FROM e, t0 WHERE NOT list_contains(q, item) AND "
+       + U32.format("'9|' || pos || '|' || neg || '|' || t || '|' || item") + " < 0.5 GROUP BY 1, 2, 3), o AS (SELECT pos, neg, arg_min(own, t) AS own FROM own GROUP BY 1, 2), b AS (SELECT pos, neg, list(item) AS b FROM e WHERE list_contains(q, item) AND "
+       + U32.format("'9|' || pos || '|' || neg || '|both|' || item") + " < 0.5 GROUP BY 1, 2) SELECT pos, neg, array_to_string(list_sort(list_concat(own, coalesce(b, []))), ',') AS pattern FROM o LEFT JOIN b USING (pos, neg)")
+def pair_pattern_draw(spark, sf_dir):
+    rows = _nations(spark, sf_dir)
+    pairs = rows.where("rid < 8").select(F.col("rid").alias("pos"), F.col("items").alias("p")).join(rows.where("rid >= 8").select(F.col("rid").alias("neg"), F.col("items").alias("q")), F.size(F.array_except("p", "q")) > 0)
+    return sampling.pair_patterns(pairs, 9, "pos", "neg").select("pos", "neg", items_text("pattern").alias("pattern"))
+
+
+@query()
+def greedy_tail_draw(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    return sampling.greedy_tails(sets.rows_as_sets(d.y), graph.cooccurrence(d.y, d.y), 200, 11).select("draw", "rid", items_text().alias("items"))
+
+
 @query(LINES + " SELECT rid, CASE WHEN rid % 5 = 0 THEN CAST(len(items) AS DOUBLE) ELSE 1 END AS tight, round(sqrt(CASE WHEN rid % 5 = 0 THEN len(items) ELSE 6 - len(items) END), 6) AS original FROM s")
 def proposal_weights(spark, sf_dir):
     rows = _orders(spark, sf_dir)
@@ -382,11 +405,18 @@ def row_pattern_weights(spark, sf_dir):
     return both.select("rid", F.round("log_w", 6).alias("log_freq"), F.round("log_area", 6).alias("log_area"))
 
 
-@query()
+@query("s AS (SELECT user_id AS chain, CAST(event_id AS INT) AS step, CAST(event_id % 13 AS INT) AS pos, CAST(user_id % 17 AS INT) AS neg, CAST(event_id % 5 + 1 AS DOUBLE) AS w, CAST(event_id % 7 + 5 AS DOUBLE) AS bound, "
+       + U32.format("'3|' || event_id") + """ AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+fold(chain, k, step, pos, neg, w, bound, ratio, accepted) AS (SELECT DISTINCT chain, CAST(0 AS BIGINT), 0, 0, 0, CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), false FROM s UNION ALL
+  SELECT chain, k, step, pos, neg, CASE WHEN u < ratio THEN w ELSE old_w END, CASE WHEN u < ratio THEN bound ELSE old_bound END, ratio, u < ratio
+  FROM (SELECT s.*, o.w AS old_w, o.bound AS old_bound, s.w * o.bound / (s.bound * o.w) AS ratio FROM fold o JOIN s ON s.chain = o.chain AND s.k = o.k + 1))
+SELECT chain, step, pos, neg, round(ratio, 6) AS ratio, accepted FROM fold WHERE k > 0""")
 def cftp_trace(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 200")
-    steps = events.select(F.col("event_id").cast("int").alias("step"), (F.col("event_id") % 13).cast("int").alias("pos"), (F.col("user_id") % 17).cast("int").alias("neg"), (F.col("event_id") % 5 + 1).alias("w"), (F.col("event_id") % 7 + 5).alias("bound"), uniform(F.lit(3), F.col("event_id")).alias("u"))
-    return sampling.chain_trace(steps)
+    """One chain per user over all events."""
+    steps = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.col("user_id").alias("chain"), F.col("event_id").cast("int").alias("step"), (F.col("event_id") % 13).cast("int").alias("pos"), (F.col("user_id") % 17).cast("int").alias("neg"),
+        (F.col("event_id") % 5 + 1).alias("w"), (F.col("event_id") % 7 + 5).alias("bound"), uniform(F.lit(3), F.col("event_id")).alias("u"))
+    return sampling.chain_trace(steps, "chain").withColumn("ratio", F.round("ratio", 6))
 
 
 @query()
@@ -540,12 +570,11 @@ def majority_vote(spark, sf_dir):
     return bicluster.majority_vote(cells, members, 0.3)
 
 
-BLOCKS = "m AS (SELECT DISTINCT c_nationkey AS id, c_custkey % 3 AS cluster FROM customer WHERE c_custkey % 7 = 0), g AS (SELECT id, list_sort(list(cluster)) AS clusters FROM m GROUP BY 1), b AS (SELECT CAST(row_number() OVER (ORDER BY clusters) - 1 AS INT) AS block, clusters, list_sort(list(id)) AS ids FROM g GROUP BY clusters)"
+BLOCKS = NATIONS.format(3) + ", m AS (SELECT rid AS id, item AS cluster FROM f), g AS (SELECT id, list_sort(list(cluster)) AS clusters FROM m GROUP BY 1), b AS (SELECT CAST(row_number() OVER (ORDER BY clusters) - 1 AS INT) AS block, clusters, list_sort(list(id)) AS ids FROM g GROUP BY clusters)"
 
 
 def _blocks(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0")
-    return bicluster.blocks(table.select(F.col("c_nationkey").alias("id"), (F.col("c_custkey") % 3).alias("cluster")))
+    return bicluster.blocks(_frequent_residues(spark, sf_dir, 3).select(F.col("rid").alias("id"), F.col("item").alias("cluster")))
 
 
 @query(BLOCKS + " SELECT block, array_to_string(clusters, ',') AS clusters, array_to_string(ids, ',') AS ids FROM b")
@@ -574,6 +603,24 @@ def greedy_first_step(spark, sf_dir):
     return scored[0].join(scored[1].drop("mc"), "rule_id").join(scored[2].drop("mc"), "rule_id")
 
 
+#: Objectives over mc, kl and div as in the learners, with the weight of the last term.
+GREEDY = {"v1": ("mc * kl + 10 * div", 10.0), "v2": ("mc * kl + 10 * div", 10.0), "v3": ("sqrt(mc) * kl + div", 1.0), "submod": ("CASE WHEN mc > 0 THEN kl ELSE 0 END + 0.01 * mc", 0.01)}
+
+
+def _greedy_sql(objective: str, budget: int) -> str:
+    """The selection with its steps written out."""
+    parts = [TOP, """st AS MATERIALIZED (SELECT rule_id, h, t, kl FROM top JOIN stats USING (h, t)), cl AS MATERIALIZED (SELECT * FROM cells), ar AS (SELECT rule_id, count(*) AS a FROM cl GROUP BY 1),
+        meet AS (SELECT p.rule_id AS r, q.rule_id AS s, count(*) AS i FROM cl p JOIN cl q USING (rid, item) GROUP BY 1, 2),
+        far AS MATERIALIZED (SELECT a.rule_id AS r, b.rule_id AS s, 1 - coalesce(i / (a.a + b.a - i), 0) AS d FROM ar a CROSS JOIN ar b LEFT JOIN meet ON r = a.rule_id AND s = b.rule_id),
+        b0 AS (SELECT 0 AS step, CAST(-1 AS BIGINT) AS rule_id, CAST(0 AS DOUBLE) AS objective, CAST(0 AS BIGINT) AS mc)"""]
+    for k in range(1, budget + 1):
+        parts.append(f"""c{k} AS MATERIALIZED (SELECT DISTINCT rid, item FROM cl JOIN b{k - 1} USING (rule_id)),
+        m{k} AS (SELECT rule_id, count(*) AS mc FROM cl ANTI JOIN c{k} USING (rid, item) GROUP BY 1), d{k} AS (SELECT r AS rule_id, sum(d) AS div FROM far WHERE s IN (SELECT rule_id FROM b{k - 1}) GROUP BY 1),
+        o{k} AS (SELECT rule_id, h, t, kl, coalesce(m{k}.mc, 0) AS mc, coalesce(div, 0) AS div FROM st LEFT JOIN m{k} USING (rule_id) LEFT JOIN d{k} USING (rule_id) WHERE rule_id NOT IN (SELECT rule_id FROM b{k - 1})),
+        b{k} AS MATERIALIZED (SELECT * FROM b{k - 1} UNION ALL (SELECT {k}, rule_id, {objective} AS objective, mc FROM o{k} ORDER BY objective DESC, t, h LIMIT 1))""")
+    return "WITH " + ",\n".join(parts).strip() + f" SELECT CAST(step - 1 AS INT) AS step, rule_id, round(objective, 6) AS objective, mc FROM b{budget} WHERE step > 0"
+
+
 def _greedy(version: str, lambd: float):
     def run(spark, sf_dir):
         d = docs(spark, sf_dir)
@@ -583,8 +630,9 @@ def _greedy(version: str, lambd: float):
     return run
 
 
-for _version, _lambd in (("v1", 10.0), ("v2", 10.0), ("v3", 1.0), ("submod", 0.01)):
+for _version, (_objective, _lambd) in GREEDY.items():
     QUERIES[f"greedy_{_version}"] = _greedy(_version, _lambd)
+    ORACLES[f"greedy_{_version}"] = _greedy_sql(_objective, 4)
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.functions.scalar import bernoulli_subset, powerset, uniform
+from ruleloom.sources.scratch import stored
 
 
 class NoMoreSamples(Exception):
@@ -125,10 +126,52 @@ def draw_per_group(weights: DataFrame, draws: int, seed: int, group: str, key: s
     return numbered.groupBy(group, "draw").agg(F.max_by(key, F.struct(score, F.col(key))).alias(key))
 
 
+def draw_rows(weights: DataFrame, draws: int, seed: int, key: str, buckets: int = 1024) -> DataFrame:
+    """``draw, <key>``: independent draws from a table of any size: a hash bucket by its total, then a row by running sums in the bucket."""
+    own = weights.where("w > 0").select(key, "w", (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % buckets).alias("bucket"))
+    totals = own.groupBy("bucket").agg(F.sum("w").alias("w"))
+    picks = draw_inverse(totals, draws, seed, "bucket").join(totals.withColumnRenamed("w", "total"), "bucket").withColumn("at", F.col("total") * uniform(F.lit(seed), F.lit("row"), F.col("draw")))
+    spans = own.withColumn("hi", F.sum("w").over(Window.partitionBy("bucket").orderBy(key))).withColumn("lo", F.col("hi") - F.col("w"))
+    return picks.join(spans, "bucket").where("at >= lo AND at < hi").select("draw", key)
+
+
+def pair_patterns(pairs: DataFrame, seed: int, *key: str, attempts: int = 64) -> DataFrame:
+    """Adds ``pattern`` to ``pairs(p, q, *key)``: half of the items only ``p`` has, never none of them, and half of the shared ones.
+
+    An empty first part is drawn anew; of ``attempts`` draws the first that holds an item counts.
+    """
+    keys = [F.lit(seed), *map(F.col, key)]
+    tries = F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda t: F.filter(F.array_except("p", "q"), lambda i: uniform(*keys, t, i) < 0.5))
+    own = F.try_element_at(F.filter(tries, lambda s: F.size(s) > 0), F.lit(1))
+    return pairs.withColumn("pattern", F.array_sort(F.concat(own, bernoulli_subset(F.array_intersect("p", "q"), *keys, F.lit("both")))))
+
+
+def greedy_tails(rows: DataFrame, together: DataFrame, draws: int, seed: int) -> DataFrame:
+    """``draw, rid, items``: tails grown inside rows ``(rid, items)`` drawn in proportion to the total size of their patterns.
+
+    Of a row with n items a size k is drawn in proportion to k - 1 (one item stays one), a first item uniformly, and each
+    further one has the largest least co-occurrence ``together(a, b, n)`` with those chosen, ties to the smaller item. A step is
+    one join over all draws.
+    """
+    n = F.size("items")
+    weights = rows.where("size(items) > 0").select("rid", (n * F.pow(F.lit(2.0), n - 1)).alias("w"))
+    drawn = draw_rows(weights, draws, seed, "rid").join(rows, "rid").withColumn("items", F.array_sort("items"))
+    level_at = uniform(F.lit(seed), F.lit("size"), F.col("draw")) * (n * (n - 1) / 2)
+    size = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: i * (i - 1) / 2 <= level_at)) + F.lit(1)
+    first = F.element_at("items", (F.floor(uniform(F.lit(seed), F.lit("first"), F.col("draw")) * n) + 1).cast("int"))
+    level = stored(drawn.select("draw", "rid", F.least(size, n).alias("k"), F.array(first).alias("chosen"), "items"))
+    while not (growing := level.where("size(chosen) < k")).isEmpty():
+        pairs = growing.select("draw", "chosen", F.explode(F.array_except("items", "chosen")).alias("a")).select("draw", "a", F.explode("chosen").alias("b"))
+        least = pairs.join(together.select("a", "b", "n"), ["a", "b"], "left").groupBy("draw", "a").agg(F.min(F.coalesce("n", F.lit(0))).alias("m"))
+        best = least.groupBy("draw").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a"))
+        level = stored(level.join(best, "draw", "left").select("draw", "rid", "k", F.when(F.col("a").isNull(), F.col("chosen")).otherwise(F.concat("chosen", F.array("a"))).alias("chosen"), "items"))
+    return level.select("draw", "rid", F.array_sort("chosen").alias("items"))
+
+
 def draw_row_patterns(rows: DataFrame, draws: int, seed: int) -> DataFrame:
     """``draw, items``: a weighted row, then each of its items with one half; empty outcomes redraw the row (here: are skipped)."""
     weights = row_pattern_log_weights(rows).select("rid", F.exp(F.col("log_w")).alias("w"))
-    return draw_inverse(weights, draws, seed, "rid").join(rows, "rid").select("draw", bernoulli_subset("items", F.lit(seed), F.col("draw")).alias("items")).where("size(items) > 0")
+    return draw_rows(weights, draws, seed, "rid").join(rows, "rid").select("draw", bernoulli_subset("items", F.lit(seed), F.col("draw")).alias("items")).where("size(items) > 0")
 
 
 def uniform_items(vocab: DataFrame, draws: int, seed: int) -> DataFrame:
@@ -136,13 +179,13 @@ def uniform_items(vocab: DataFrame, draws: int, seed: int) -> DataFrame:
     return draw_inverse(vocab.select("item", F.lit(1.0).alias("w")), draws, seed, "item")
 
 
-def chain_trace(steps: DataFrame) -> DataFrame:
-    """``step, pos, neg, ratio, accepted`` of a chain replay over ``steps(step, pos, neg, w, bound, u)``.
+def chain_trace(steps: DataFrame, *chain: str) -> DataFrame:
+    """``step, pos, neg, ratio, accepted`` of a replay of each ``chain`` over ``steps(step, pos, neg, w, bound, u)``.
 
     ``w`` is a candidate pair's weight and ``bound`` its proposal weight; the first candidate is taken and a later one when ``u``
-    is below w bound' / (bound w'), primes being the current pair's. One fold over the ordered array of steps.
+    is below w bound' / (bound w'), primes being the current pair's. One fold over the ordered array of a chain's steps; chains run side by side.
     """
-    ordered = steps.agg(F.array_sort(F.collect_list(F.struct("step", "pos", "neg", F.col("w").cast("double").alias("w"), F.col("bound").cast("double").alias("bound"), F.col("u").cast("double").alias("u")))).alias("s"))
+    ordered = steps.groupBy(*chain).agg(F.array_sort(F.collect_list(F.struct("step", "pos", "neg", F.col("w").cast("double").alias("w"), F.col("bound").cast("double").alias("bound"), F.col("u").cast("double").alias("u")))).alias("s"))
     start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("bound"), F.array().cast("array<struct<step:int,pos:int,neg:int,ratio:double,accepted:boolean>>").alias("log"))
 
     def take(acc, c):
@@ -151,7 +194,7 @@ def chain_trace(steps: DataFrame) -> DataFrame:
         row = F.struct(c["step"].cast("int").alias("step"), c["pos"].cast("int").alias("pos"), c["neg"].cast("int").alias("neg"), ratio.alias("ratio"), yes.alias("accepted"))
         return F.struct(F.when(yes, c["w"]).otherwise(acc["w"]).alias("w"), F.when(yes, c["bound"]).otherwise(acc["bound"]).alias("bound"), F.concat(acc["log"], F.array(row)).alias("log"))
 
-    return ordered.select(F.explode(F.aggregate("s", start, take, lambda a: a["log"])).alias("r")).select("r.*")
+    return ordered.select(*chain, F.explode(F.aggregate("s", start, take, lambda a: a["log"])).alias("r")).select(*chain, "r.*")
 
 
 def greedy_head(x: DataFrame, target: DataFrame, items: list[int], n_rows: int, gamma: float = 0.5, epsilon: float = 0.1) -> list[int]:

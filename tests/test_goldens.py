@@ -174,3 +174,45 @@ def test_streaming_scores(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from scores").collect()] == [(0, 1)]
+
+
+def test_greedy_tails_grow_by_least_cooccurrence(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    own = {r: sorted(rng.sample(range(7), rng.randint(1, 6))) for r in range(40)}
+    rows = spark.createDataFrame(list(own.items()), "rid long, items array<int>")
+    pairs = Counter((a, b) for items in own.values() for a in items for b in items)
+    together = spark.createDataFrame([(a, b, n) for (a, b), n in pairs.items()], "a int, b int, n long")
+    got = sampling.greedy_tails(rows, together, 300, 2).collect()
+    assert len(got) == 300 and all(set(r["items"]) <= set(own[r["rid"]]) for r in got)
+    assert all(len(r["items"]) >= 2 for r in got if len(own[r["rid"]]) > 1)
+
+    def grown(items, first, k):
+        chosen = [first]
+        while len(chosen) < k:
+            chosen.append(max((i for i in items if i not in chosen), key=lambda i: (min(pairs[i, j] for j in chosen), -i)))
+        return sorted(chosen)
+
+    assert all(r["items"] in [grown(own[r["rid"]], f, len(r["items"])) for f in own[r["rid"]]] for r in got)
+    expected = {r: len(i) * 2 ** (len(i) - 1) for r, i in own.items()}
+    sizes = Counter(len(own[r["rid"]]) for r in got)
+    for n in (5, 6):
+        share = sum(w for r, w in expected.items() if len(own[r]) == n) / sum(expected.values())
+        assert abs(sizes[n] / 300 - share) < 0.12
+
+
+def test_rows_are_drawn_by_weight_from_any_bucket(spark):
+    weights = spark.range(500).selectExpr("id AS rid", "double(CASE WHEN id < 5 THEN 99 WHEN id < 10 THEN 0 ELSE 1 END) AS w")
+    got = [r["rid"] for r in sampling.draw_rows(weights, 4000, 3, "rid", buckets=16).collect()]
+    assert len(got) == 4000 and not any(5 <= r < 10 for r in got)
+    assert abs(sum(r < 5 for r in got) / 4000 - 495 / 985) < 0.04
+    assert sampling.draw_rows(weights.limit(0), 5, 3, "rid").count() == 0
+
+
+def test_pair_patterns_hold_an_item_of_the_first_only(spark):
+    pairs = spark.range(200).selectExpr("id", "array(1, 2, 3) AS p", "array(2, 9) AS q")
+    got = [set(r["pattern"]) for r in sampling.pair_patterns(pairs, 4, "id").collect()]
+    assert all(s & {1, 3} and s <= {1, 2, 3} for s in got)
+    assert len({frozenset(s) for s in got}) == 6
