@@ -54,6 +54,9 @@ def bounded_sample(rows: DataFrame, group: str, most: int) -> list:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # at most MOST_GROUPS rows
     thin = rows.join(F.broadcast(known), group).withColumn("_at", place).where("_at < _share")
+    # rows repeated with one doc_id count once, however many there are
+    others = [F.min(c).alias(c) for c in rows.columns if c not in ("doc_id", group)]
+    thin = thin.groupBy("doc_id", group).agg(*others, F.min("_at").alias("_at")).select(*rows.columns, "_at")
     found: dict = {}
     for row in sorted(thin.collect(), key=lambda r: (r["_at"], *map(str, r))):
         own = found.setdefault(row[group], [])

@@ -100,7 +100,7 @@ def fit(docs: DataFrame, marks: DataFrame, most: int = SAMPLE) -> Model:
     rates = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}  # two rows
     # the sample is drawn before texts are met, so that only its bounded number of identifiers is sent to them
     drawn = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in bounded_sample(labelled, "quality", most)], "doc_id long, quality int")
-    met = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    met = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = sorted(met.collect(), key=lambda r: (r["doc_id"], r["quality"], r["text"]))
     drawn = {k: sum(r["quality"] == k for r in rows) for k in (0, 1)}
     return train([r["text"] for r in rows], [r["quality"] for r in rows], [rates[r["quality"]] / drawn[r["quality"]] for r in rows])
