@@ -6,14 +6,19 @@ after its surroundings by zstandard primed with a dictionary of identifiers and
 bytes it adds, less those of its surroundings alone, divided by its length, are its novelty. Names, repeated
 values and words cost little; keys cost nearly their entropy and are reported.
 
-Defined cases: null and empty texts have no spans; offsets are code points, ends exclusive; overlapping novelty spans
-and those touching a fixed one are left out; repeated rows give equal rows.
+A candidate is taken whole, whatever its length, together with what follows it after dots (a signed token is one candidate).
+What is reported makes the next line sensitive too: lines of the same width, a short last line and lines that are new
+themselves are reported with it. The body of an armoured private key is one span.
+
+Defined cases: null and empty texts have no spans; offsets are code points, ends exclusive; novelty spans do not overlap each
+other, and those touching a fixed one are left out unless they continue a span or are a key's body; repeated rows give equal rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,7 +42,13 @@ _NAME_PARTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make a context sensitive, and how far before a candidate they count.
 _SENSITIVE = re.compile(r"(?i)passw|passwd|pwd|secret|token|api.?key|access.?key|private.?key|credential|bearer|authorization|client.?id")
 _NEAR = 48
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_RUN = "[A-Za-z0-9+/_=-]"
+_CANDIDATE = re.compile(rf"{_RUN}{{16,}}(?:(?:\.{_RUN}{{0,15}}+)*\.{_RUN}{{16,}})*")
+#: The next line, real or escaped, if it holds nothing but one run, quoted or not.
+_NEXT = re.compile(r"""["']?[ \t]*[+,\\]?[ \t]*(?:\r\n?|\n|(?:\\r)?\\n)[ \t]*["']?([A-Za-z0-9+/_.-]++={0,2}+)(?=["']?[ \t]*[+,;)\\]?[ \t]*(?:[\r\n]|\\[rn]|-----END|\Z))""")
+_ARMOUR = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+#: From this width on, a line as wide as the one before continues it, and a short line may end it.
+_WIDE = 32
 #: Bytes a candidate must add per character, and the least it must add.
 NOVELTY, LEAST_BYTES = 0.6, 10
 #: Identifiers the compressor knows beforehand (fixed values).
@@ -87,23 +98,87 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of incompressible candidates in a sensitive context that touch no ``taken`` span."""
-    out: list[tuple[int, int, int]] = []
-    reach = 0
-    for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(word.end(), reach), min(len(text), word.end() + _NEAR + 512)):
-            if m.start() > word.end() + _NEAR:
+def _bodies(text: str) -> list[tuple[int, int]]:
+    """What stands between the two marks of armoured private keys, without the space and quotes around it."""
+    out, opened = [], None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            opened = m.end()
+        elif opened is not None:
+            body = text[opened : m.start()]
+            start = opened + re.match(r"(?:[\s\"',+]|\\[rn])*", body).end()
+            end = start + len(text[start : m.start()].rstrip(" \t\r\n\"'+,"))
+            if any(map(_mixed, re.findall(_RUN + "{16,}", body))):
+                out.append((start, end))
+            opened = None
+    return out
+
+
+def _new(text: str, start: int, end: int) -> bool:
+    if not _mixed(text[start:end]):
+        return False
+    added = _NOVELTY.added(text[max(0, start - 256) : start], text[start:end], text[end : end + 256])
+    return added >= LEAST_BYTES and added >= NOVELTY * (end - start)
+
+
+def _continued(text: str, end: int, width: int) -> list[tuple[int, int]]:
+    """The lines after ``end`` that go on with a reported run of ``width`` characters ending there."""
+    out: list[tuple[int, int]] = []
+    while m := _NEXT.match(text, end):
+        start, end, line = *m.span(1), m[1]
+        if not any(c.isalnum() for c in line):
+            break
+        last = False
+        if not (width >= _WIDE and len(line) == width and (_mixed(line) or line != line.lower() and line != line.upper())):
+            if len(line) >= 16 and _new(text, start, end):
+                pass
+            elif width >= _WIDE and len(line) < width and (line.endswith("=") or len(line) < 16 and (_mixed(line) or re.search("[a-z][A-Z]", line)) or re.match(r"\s*-----END", text[end : end + 80])):
+                last = True
+            else:
                 break
-            reach = m.end()
-            if not _mixed(m[0]) or any(s < m.end() and m.start() < e for s, _, e in taken):
-                continue
-            added = _NOVELTY.added(text[max(0, m.start() - 256) : m.start()], m[0], text[m.end() : m.end() + 256])
-            if added >= LEAST_BYTES and added >= NOVELTY * len(m[0]):
-                out.append((m.start(), 3, m.end()))
+        out.append((start, end))
+        width = len(line)
+        if last:
+            break
     return out
 
 
+def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of incompressible candidates in a sensitive context that touch no ``taken`` span, and of what continues them or a taken value."""
+    words = [m.end() for m in _SENSITIVE.finditer(text)]
+    held = sorted((s, e) for s, _, e in taken)
+    inside = lambda start, end: any(s <= start and end <= e for s, e in held)
+    # fixed values first, so that what continues them is known when candidates are met
+    found = _bodies(text)
+    for start, kind, end in taken:
+        if kind == 0:
+            found += _continued(text, end, len(_ASSIGN.match(text, start)[2]))
+    out: list[tuple[int, int]] = []
+    for span in sorted(found):
+        if not out or span[0] >= out[-1][1]:
+            out.append(span)
+    known, at, reach = list(out), 0, 0
+    for m in _CANDIDATE.finditer(text):
+        start, end = m.span()
+        while at < len(known) and known[at][1] <= start:
+            at += 1
+        if at < len(known) and known[at][0] < end or start < reach:
+            continue
+        word = bisect_left(words, start - _NEAR)
+        if word == len(words) or words[word] > end - 16:
+            continue
+        start = max(start, words[word])
+        start += text[start] == "."
+        if any(s < end and start < e for s, e in held):
+            continue
+        pieces = [(start + p.start(), start + p.end()) for p in re.finditer(_RUN + "{16,}", text[start:end])]
+        if _new(text, start, end) or len(pieces) > 1 and any(_new(text, *p) for p in pieces):
+            lines = _continued(text, end, end - start)
+            out += [(start, end), *lines]
+            reach = lines[-1][1] if lines else end
+    return sorted((s, 3, e) for s, e in out if not inside(s, e))
+
+
 def _join(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
