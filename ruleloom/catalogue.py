@@ -638,5 +638,5 @@ for _version, (_objective, _lambd) in GREEDY.items():
 @query()
 def prune_greedy_head(spark, sf_dir):
     d = docs(spark, sf_dir)
-    found = sampling.greedy_head(d.x, d.y.where("item = 0").select("rid"), list(range(20)), d.n)
+    found = sampling.greedy_head(d.x, d.y.where("item = 0").select("rid"), None, d.n)
     return spark.createDataFrame([(i, item) for i, item in enumerate(found)], "place int, item int")

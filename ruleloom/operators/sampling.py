@@ -197,28 +197,32 @@ def chain_trace(steps: DataFrame, *chain: str) -> DataFrame:
     return ordered.select(*chain, F.explode(F.aggregate("s", start, take, lambda a: a["log"])).alias("r")).select(*chain, "r.*")
 
 
-def greedy_head(x: DataFrame, target: DataFrame, items: list[int], n_rows: int, gamma: float = 0.5, epsilon: float = 0.1) -> list[int]:
+def greedy_head(x: DataFrame, target: DataFrame, items: list[int] | None, n_rows: int, gamma: float = 0.5, epsilon: float = 0.1) -> list[int]:
     """Best prefix of a greedy item order: each step adds the item of ``items`` with the largest
     (covered positives - gamma covered negatives) / item frequency, ties to the smaller item, until coverage falls
-    below ``epsilon`` of the positives. Candidates are one small list; each step is one aggregate."""
+    below ``epsilon`` of the positives. Without ``items`` every item of a positive row is a candidate, or every item
+    where positive rows have none. Each step is one aggregate, of which one row reaches the driver."""
     flag = target.select("rid").withColumn("y", F.lit(1))
     n_pos = flag.count()
-    freq = {r["item"]: r["n"] for r in x.where(F.col("item").isin(items)).groupBy("item").agg(F.count("*").alias("n")).collect()}
-    covered, left, chosen, best = None, sorted(i for i in items if i in freq), [], (float("-inf"), 0)
-    while left:
-        cells = x.where(F.col("item").isin(left))
-        cells = cells.join(covered, "rid", "left_semi") if covered is not None else cells
-        counts = cells.join(flag, "rid", "left").groupBy("item").agg(F.sum(F.coalesce("y", F.lit(0))).alias("p"), F.count("*").alias("n")).collect()
-        gains = {r["item"]: ((r["p"] - gamma * (r["n"] - r["p"])) / freq[r["item"]], r["n"]) for r in counts}
-        if not gains:
-            break
-        item = min(gains, key=lambda i: (-gains[i][0], i))
-        if gains[item][1] < epsilon * n_pos:
+    cells = x.where(F.col("item").isin(items)) if items is not None else x
+    if items is None:
+        positive = x.join(flag, "rid", "left_semi").select("item").distinct()
+        cells = x.join(positive, "item", "left_semi") if not positive.isEmpty() else x
+    cells = stored(cells.join(flag, "rid", "left").select("rid", "item", F.coalesce("y", F.lit(0)).alias("y")))
+    freq = stored(cells.groupBy("item").agg(F.count("*").alias("freq")))
+    chosen, best = [], (float("-inf"), 0)
+    while True:
+        counts = cells.groupBy("item").agg(F.sum("y").alias("p"), F.count("*").alias("n")).join(freq, "item")
+        gain = (F.col("p") - F.lit(gamma) * (F.col("n") - F.col("p"))) / F.col("freq")
+        found = counts.select("item", "n", gain.alias("gain")).orderBy(F.desc("gain"), "item").limit(1).collect()
+        if not found or found[0]["n"] < epsilon * n_pos:
             break
+        item = found[0]["item"]
         chosen.append(item)
-        left.remove(item)
-        own = x.where(F.col("item") == item).select("rid")
-        covered = own if covered is None else covered.join(own, "rid", "left_semi")
-        if gains[item][0] > best[0]:
-            best = (gains[item][0], len(chosen))
+        own = cells.where(F.col("item") == item).select("rid")
+        cells = cells.where(F.col("item") != item).join(own, "rid", "left_semi")
+        if len(chosen) % 4 == 0:
+            cells = stored(cells)
+        if found[0]["gain"] > best[0]:
+            best = (found[0]["gain"], len(chosen))
     return chosen[: best[1]]

@@ -216,3 +216,52 @@ def test_pair_patterns_hold_an_item_of_the_first_only(spark):
     got = [set(r["pattern"]) for r in sampling.pair_patterns(pairs, 4, "id").collect()]
     assert all(s & {1, 3} and s <= {1, 2, 3} for s in got)
     assert len({frozenset(s) for s in got}) == 6
+
+
+def best_prefix(own, target, items, gamma=0.5, epsilon=0.1):
+    """The greedy head in plain Python: over the rows' sets ``own``."""
+    left = sorted(set(items))
+    rows, chosen, gains = dict(own), [], []
+    freq = {i: sum(i in s for s in own.values()) for i in left}
+    while left:
+        score = {i: (sum(i in s for r, s in rows.items() if r in target) - gamma * sum(i in s for r, s in rows.items() if r not in target)) / freq[i] for i in left}
+        item = max(left, key=lambda i: (score[i], -i))
+        rows = {r: s for r, s in rows.items() if item in s}
+        if len(rows) < epsilon * len(target) or not rows:
+            break
+        chosen.append(item)
+        gains.append(score[item])
+        left.remove(item)
+    return chosen[: gains.index(max(gains)) + 1] if gains else []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_head_takes_every_item_of_a_positive_row(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    own = {r: {i for i in range(40) if rng.random() < (0.9 if i in (27, 31) and r < 30 else 0.2)} for r in range(90)}
+    target = set(range(30))
+    x = spark.createDataFrame([(r, i) for r, s in own.items() for i in s], "rid long, item int")
+    positive = {i for r in target for i in own[r]}
+    got = sampling.greedy_head(x, spark.range(30).toDF("rid"), None, 90)
+    assert got == best_prefix(own, target, positive) and set(got) & {27, 31}
+    apart = x.where("rid >= 30")
+    assert sampling.greedy_head(apart, spark.range(30).toDF("rid"), None, 90) == best_prefix({r: s for r, s in own.items() if r >= 30}, target, range(40))
+
+
+def test_prune_greedy_head_query(spark):
+    from pathlib import Path
+
+    from ruleloom import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("no tables")
+    d = relations.docs(spark, sf)
+    own: dict = {}
+    for r in d.x.collect():
+        own.setdefault(r["rid"], set()).add(r["item"])
+    target = {r["rid"] for r in d.y.where("item = 0").collect()}
+    want = best_prefix(own, target, {i for r in target for i in own.get(r, ())})
+    assert [r["item"] for r in catalogue.QUERIES["prune_greedy_head"](spark, sf).orderBy("place").collect()] == want
