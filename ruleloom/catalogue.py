@@ -72,8 +72,8 @@ def _covered(d) -> DataFrame:
     return d.y.where("item = 0")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
+def _pairs(spark: SparkSession, sf_dir: str, width: int | None = 60) -> DataFrame:
+    d = docs(spark, sf_dir, width)
     return rules.pair_statistics(d.x, d.y, d.n)
 
 
@@ -92,23 +92,23 @@ cells AS (SELECT rule_id, x.rid, y.item FROM top JOIN x ON x.item = h JOIN y ON
 
 
 @query(PAIRS + " SELECT v.name AS head, w.name AS tail, support, round(p, 6) AS precision, round(r, 6) AS recall, round(q, 6) AS base_rate, round(kl, 6) AS kl, support AS area FROM stats JOIN vocab v ON v.item = h JOIN vocab_y w ON w.item = t")
-def rule_stats(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    named = _pairs(spark, sf_dir).join(d.vocab_x.select(F.col("item").alias("h"), F.col("name").alias("head")), "h").join(d.vocab_y.select(F.col("item").alias("t"), F.col("name").alias("tail")), "t")
+def rule_stats(spark, sf_dir, width=60):
+    d = docs(spark, sf_dir, width)
+    named = _pairs(spark, sf_dir, width).join(d.vocab_x.select(F.col("item").alias("h"), F.col("name").alias("head")), "h").join(d.vocab_y.select(F.col("item").alias("t"), F.col("name").alias("tail")), "t")
     return named.select("head", "tail", "support", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "base_rate", "kl")), F.col("area").cast("long").alias("area"))
 
 
 @query(PAIRS + " SELECT v.name AS head, w.name AS tail, support, round(kl * support, 6) AS score FROM stats JOIN vocab v ON v.item = h JOIN vocab_y w ON w.item = t ORDER BY score DESC, h, t LIMIT 20")
-def rule_topk(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    top = _pairs(spark, sf_dir).select("h", "t", "support", F.round(F.col("kl") * F.col("area"), 6).alias("score")).orderBy(F.desc("score"), "h", "t").limit(20)
+def rule_topk(spark, sf_dir, width=60):
+    d = docs(spark, sf_dir, width)
+    top = _pairs(spark, sf_dir, width).select("h", "t", "support", F.round(F.col("kl") * F.col("area"), 6).alias("score")).orderBy(F.desc("score"), "h", "t").limit(20)
     named = top.join(d.vocab_x.select(F.col("item").alias("h"), F.col("name").alias("head")), "h").join(d.vocab_y.select(F.col("item").alias("t"), F.col("name").alias("tail")), "t")
     return named.select("head", "tail", "support", "score")
 
 
 @query(DOCS + " SELECT name, count(*) AS freq FROM x JOIN vocab USING (item) GROUP BY 1")
-def item_frequency(spark, sf_dir):
-    d = docs(spark, sf_dir)
+def item_frequency(spark, sf_dir, width=60):
+    d = docs(spark, sf_dir, width)
     return sets.frequency(d.x).join(d.vocab_x, "item").select("name", "freq")
 
 
@@ -124,13 +124,13 @@ def inverted_index(spark, sf_dir):
 
 
 @query(DOCS + " SELECT rid, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, count(*) AS n FROM x GROUP BY 1")
-def rows_as_sets(spark, sf_dir):
-    return sets.rows_as_sets(docs(spark, sf_dir).x).select("rid", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), F.size("items").cast("long").alias("n"))
+def rows_as_sets(spark, sf_dir, width=60):
+    return sets.rows_as_sets(docs(spark, sf_dir, width).x).select("rid", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), F.size("items").cast("long").alias("n"))
 
 
 @query(DOCS + " SELECT rid, count(*) AS n FROM x WHERE rid IN (SELECT rid FROM y) GROUP BY 1")
-def filter_rows_with_labels(spark, sf_dir):
-    d = docs(spark, sf_dir)
+def filter_rows_with_labels(spark, sf_dir, width=60):
+    d = docs(spark, sf_dir, width)
     return sets.labelled_rows(d.x, d.y).groupBy("rid").agg(F.count("*").alias("n"))
 
 
@@ -140,8 +140,8 @@ def conjunctive_filter(spark, sf_dir):
 
 
 @query(DOCS + " SELECT n AS n_rows, (SELECT count(*) FROM vocab) AS n_features, (SELECT count(*) FROM vocab_y) AS n_labels, (SELECT count(*) FROM x) AS nnz_x, (SELECT count(*) FROM y) AS nnz_y FROM n")
-def dataset_shape(spark, sf_dir):
-    return docs(spark, sf_dir).shape()
+def dataset_shape(spark, sf_dir, width=60):
+    return docs(spark, sf_dir, width).shape()
 
 
 @query("SELECT rid, name FROM (SELECT p_partkey AS rid, unnest([{'name': 'p_size', 'one': p_size > (SELECT quantile_cont(p_size, 0.9) FROM part)}, {'name': 'p_retailprice', 'one': p_retailprice > (SELECT quantile_cont(p_retailprice, 0.9) FROM part)}], recursive := true) FROM part) WHERE one")
@@ -301,14 +301,14 @@ plus AS (SELECT y.item AS tail, x.item AS sid, count(*) AS plus FROM x JOIN y US
 w AS (SELECT tail, sid, CAST(plus * (n - n_pos - (supp - plus)) AS DOUBLE) AS w FROM plus JOIN sx USING (sid) JOIN py USING (tail), n WHERE n_pos < n)"""
 
 
-def _heads(spark, sf_dir):
-    d = docs(spark, sf_dir)
+def _heads(spark, sf_dir, width=60):
+    d = docs(spark, sf_dir, width)
     return sampling.head_distribution(d.x.withColumnRenamed("item", "sid"), d.y, d.n)
 
 
 @query(HEADS + " SELECT tail, sid, w, round(w / sum(w) OVER (PARTITION BY tail), 6) AS proba FROM w WHERE w > 0")
-def head_distribution(spark, sf_dir):
-    return _rounded(_heads(spark, sf_dir), "tail", "sid")
+def head_distribution(spark, sf_dir, width=60):
+    return _rounded(_heads(spark, sf_dir, width), "tail", "sid")
 
 
 @query(HEADS + ", d AS (SELECT CAST(i AS INT) AS draw FROM range(50) t(i)), s AS (SELECT tail, draw, sid, ln(w) - ln(-ln(" + U32.format("'7|' || draw || '|' || tail || '|' || sid") + ")) AS g FROM w, d WHERE w > 0) SELECT tail, draw, arg_max(sid, g) AS sid FROM s GROUP BY 1, 2")
@@ -640,3 +640,23 @@ def prune_greedy_head(spark, sf_dir):
     d = docs(spark, sf_dir)
     found = sampling.greedy_head(d.x, d.y.where("item = 0").select("rid"), None, d.n)
     return spark.createDataFrame([(i, item) for i, item in enumerate(found)], "place int, item int")
+
+
+#: Queries whose work and output are linear in the cells, again over all tokens.
+LINEAR = (rule_stats, rule_topk, item_frequency, rows_as_sets, filter_rows_with_labels, dataset_shape, head_distribution)
+
+
+def _all_tokens(fn):
+    return lambda spark, sf_dir: fn(spark, sf_dir, width=None)
+
+
+for _fn in LINEAR:
+    QUERIES[f"{_fn.__name__}_all"] = _all_tokens(_fn)
+    ORACLES[f"{_fn.__name__}_all"] = ORACLES[_fn.__name__].replace(" LIMIT 60)", ")", 1)
+
+
+@query(DOCS.replace(" LIMIT 60)", ")") + " SELECT name, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS rids FROM x JOIN vocab USING (item) GROUP BY 1")
+def token_index_all(spark, sf_dir):
+    """Posting lists of all tokens."""
+    d = docs(spark, sf_dir, None)
+    return sets.inverted_index(d.x).join(d.vocab_x, "item").select("name", F.array_join(F.transform("rids", lambda r: r.cast("string")), ",").alias("rids"))

@@ -56,18 +56,20 @@ def toy(spark: SparkSession) -> Dataset:
 _DOCS: dict[tuple, Dataset] = {}
 
 
-def docs(spark: SparkSession, sf_dir: str, width: int = 60) -> Dataset:
-    """Documents as rows: the ``width`` tokens of most documents are features; language, quality and toxicity are labels."""
+def docs(spark: SparkSession, sf_dir: str, width: int | None = 60) -> Dataset:
+    """Documents as rows: the ``width`` tokens of most documents are features, or all tokens where it is None; language,
+    quality and toxicity are labels."""
     key = (spark.sparkContext.applicationId, sf_dir, width)
     if key in _DOCS:
         return _DOCS[key]
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     marks = spark.read.parquet(f"{sf_dir}/labels.parquet")
     tokens = table.select(F.col("doc_id").alias("rid"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"))).alias("name")).where("name <> ''")
-    top = tokens.groupBy("name").count().orderBy(F.desc("count"), "name").limit(width)
+    top = tokens.groupBy("name").count()
+    top = top if width is None else top.orderBy(F.desc("count"), "name").limit(width)
     vocab_x = top.select((F.row_number().over(Window.orderBy(F.desc("count"), "name")) - 1).cast("int").alias("item"), "name").persist()
-    # width rows, so it is sent to every task
-    x = tokens.join(F.broadcast(vocab_x), "name").select("rid", "item").persist(StorageLevel.MEMORY_AND_DISK)
+    # width rows are sent to every task, all tokens are not
+    x = tokens.join(vocab_x if width is None else F.broadcast(vocab_x), "name").select("rid", "item").persist(StorageLevel.MEMORY_AND_DISK)
     names = table.where("lang IS NOT NULL").select(F.col("doc_id").alias("rid"), F.concat(F.lit("lang="), "lang").alias("name"))
     for column in ("quality", "toxic"):
         names = names.unionByName(marks.where(F.col(column).isNotNull()).select(F.col("doc_id").alias("rid"), F.concat(F.lit(f"{column}="), F.col(column).cast("string")).alias("name")))

@@ -39,3 +39,9 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
+
+
+def test_queries_over_all_tokens_miss_no_cell(spark, duck):
+    cells, tokens = duck.execute("SELECT count(*), count(DISTINCT t) FROM (SELECT unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'))) AS t FROM documents) WHERE t <> ''").fetchone()
+    shape = catalogue.QUERIES["dataset_shape_all"](spark, SF).first()
+    assert (shape["nnz_x"], shape["n_features"]) == (cells, tokens) and tokens > 60
