@@ -102,7 +102,10 @@ def tile_links(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[in
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges ``(u, v)`` between ``node`` values of ``distinct(fp, node)`` that span all links within ``radius``."""
+    """Edges ``(u, v)`` between ``node`` values of ``distinct(fp, node)`` that span all links within ``radius``; one of more
+    than ``RADIUS`` raises ``ValueError``, as the buckets would miss links."""
+    if radius > RADIUS:
+        raise ValueError(f"buckets are complete for {RADIUS} differing bits, not for {radius}")
     keyed = buckets(distinct)
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE_ROWS).cast("int")).drop("n")
     rows = keyed.join(sizes, ["table", "key"])

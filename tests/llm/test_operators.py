@@ -348,3 +348,8 @@ def test_secret_scan_is_linear_in_hard_texts():
         began = time.time()
         secrets.redact_text(text)
         assert time.time() - began < 10
+
+
+def test_a_radius_that_buckets_do_not_cover_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(0, 0), (15, 1)], "fp long, node long"), 4)
