@@ -9,7 +9,8 @@ tile by tile with exclusive-or and bit counts, skipping tile pairs whose counts
 task returns a spanning forest of the links it finds, not the links.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero and links like any other;
-fewer words than the shingle make one shingle; repeated rows get equal results; an empty table gives an empty one.
+fewer words than the shingle make one shingle; repeated rows get equal results; an empty table gives an empty one. A fingerprint that only rows without a ``doc_id`` have is
+linked to no other and has no component; of rows without an id all stay or none, and they stay if one has such a fingerprint.
 """
 
 from __future__ import annotations
@@ -145,5 +146,5 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFra
 
 def representatives(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that have the smallest ``doc_id`` of their component, all columns kept."""
-    first = near_dedup(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(first, docs["doc_id"] == first["_keep"], "left_semi")
+    first = near_dedup(docs, words, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_keep"]), "left_semi")

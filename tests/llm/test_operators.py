@@ -353,3 +353,9 @@ def test_secret_scan_is_linear_in_hard_texts():
 def test_a_radius_that_buckets_do_not_cover_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(0, 0), (15, 1)], "fp long, node long"), 4)
+
+
+def test_representatives_keep_rows_without_an_id(spark):
+    docs = spark.createDataFrame([(None, "a text that no other row has at all"), (1, "quite another one with words"), (2, "quite another one with words")], "doc_id long, text string")
+    assert sorted(r["text"][:5] for r in simhash.representatives(docs).collect()) == ["a tex", "quite"]
+    assert [r["doc_id"] for r in simhash.representatives(docs.where("doc_id IS NOT NULL")).collect()] == [1]
