@@ -1,14 +1,18 @@
 """Exact duplicates by Patricia tries over length-and-content-hash partitions.
 
 Texts are equal when identical after each run of ASCII white space became one space; a null text is an
-empty one. Each map task keeps one compressed radix trie per (length, hash) key, its terminals holding the
-smallest identifier and a count, and sends one row per distinct text onward, so a text held by a third of all
-rows crosses the shuffle once per task. When the tries of a task hold more than ``SPILL_BYTES`` of labels
-their subtrees are spilled: their terminals go to the shuffle as partial owners and the memory is freed; the merging side
-adds partial owners up. There rows arrive sorted by key, so one key's trie is in memory at a time.
-
-Defined cases: equal texts tie towards the smallest ``doc_id``; a null ``doc_id`` loses against any other;
-rows repeated with one ``doc_id`` are kept or dropped together; an empty table gives an empty result.
+empty one. The documents are read once. Each map task inserts the full byte strings into compressed radix tries, one per partition of (length, hash),
+whose terminals hold the smallest identifier and a count, and writes a key per document and a terminal per distinct text, so a text held by a third of all
+rows goes on once per task. When a task's tries hold more than ``SPILL_BYTES`` of labels, their largest subtrees are spilled until half of it is left:
+the terminals below are written as partial owners, the other subtrees stay in place.
+
+Each merging task then inserts its partition's strings in byte order into one trie and adds partial owners up. In that order a subtree
+left of the last string is complete, so beyond ``SPILL_BYTES`` complete subtrees are spilled as results and the path of the last string stays. Owners go back
+to the documents by length, hash and SHA-256 of the full string; that join's document side may be hot, adaptive execution splits it.
+
+Defined cases: null and empty texts are equal; texts of any length are compared whole; equal texts tie towards the smallest ``doc_id``; a null ``doc_id`` loses
+against any other, and a text that only such rows have is kept by them; rows repeated with one ``doc_id`` are kept or dropped together; an empty table gives an
+empty result; columns other than ``doc_id`` and ``text`` are not read by ``exact_dedup`` and pass through ``keep_first`` whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, batch_map
+from .common import arrow_schema, shuffle_width, stored
 
 SPILL_BYTES = 24 << 20
 _SPACES = re.compile(rb" {2,}")
 _TO_SPACE = bytes(32 if 9 <= i <= 13 else i for i in range(256))
-_OWNERS = "n_bytes long, hash long, text_sha256 string, owner long, rows long, body binary"
+_KEY = "n_bytes long, hash long, text_sha256 string"
+_OWNERS = f"{_KEY}, owner long, rows long"
+#: A row of a document has no body and no rows; a row of a terminal has both.
+_BOTH = f"doc_id long, {_OWNERS}, body binary"
 
 
 def normalise(text: str | None) -> bytes:
@@ -46,6 +53,15 @@ class Node:
     def __init__(self, label: bytes, owner: int | None = None, rows: int = 0):
         self.label, self.children, self.owner, self.rows = label, {}, owner, rows
 
+    def size(self) -> int:
+        """Label bytes of this node and all below."""
+        total, stack = 0, [self]
+        while stack:
+            node = stack.pop()
+            total += len(node.label)
+            stack += node.children.values()
+        return total
+
 
 def _shared(a: bytes, b: bytes) -> int:
     """Length of the common prefix, by halving."""
@@ -62,6 +78,9 @@ def _smaller(a: int | None, b: int | None) -> int | None:
     return b if a is None else a if b is None else min(a, b)
 
 
+Terminal = tuple[bytes, int | None, int]
+
+
 class Patricia:
     """A compressed trie of full byte strings; each terminal has the smallest identifier and the row count."""
 
@@ -88,86 +107,144 @@ class Patricia:
         node.owner = _smaller(node.owner, owner) if node.rows else owner
         node.rows += rows
 
-    def terminals(self) -> Iterator[tuple[bytes, int | None, int]]:
-        stack = [(self.root, b"")]
-        while stack:
-            node, path = stack.pop()
-            path += node.label
-            if node.rows:
-                yield path, node.owner, node.rows
-            stack += [(child, path) for child in node.children.values()]
-
-
-def _emit(tries: dict, schema: pa.Schema) -> pa.RecordBatch:
-    cols: list[list] = [[] for _ in schema]
-    for (n_bytes, key), trie in tries.items():
-        for body, owner, rows in trie.terminals():
-            for col, value in zip(cols, (n_bytes, key, hashlib.sha256(body).hexdigest(), owner, rows, body), strict=True):
-                col.append(value)
+    def terminals(self) -> Iterator[Terminal]:
+        yield from _below(self.root, b"")
+
+    def spill(self, first: int) -> list[Terminal]:
+        """Takes the subtree of the root's child ``first`` out of the trie and returns its terminals."""
+        child = self.root.children.pop(first)
+        self.size -= child.size()
+        return list(_below(child, b""))
+
+    def spill_before(self, last: bytes) -> list[Terminal]:
+        """Takes out all but the path of ``last``, the greatest key so far: whatever branches off it is complete."""
+        out, node, path, rest = [], self.root, b"", last
+        while True:
+            if node.rows and rest:
+                out.append((path, node.owner, node.rows))
+                node.owner, node.rows = None, 0
+            on_path = rest[0] if rest else None
+            for first in [c for c in node.children if c != on_path]:
+                child = node.children.pop(first)
+                self.size -= child.size()
+                out += _below(child, path)
+            if on_path is None:
+                return out
+            node = node.children[on_path]
+            path, rest = path + node.label, rest[len(node.label) :]
+
+
+def _below(node: Node, path: bytes) -> Iterator[Terminal]:
+    stack = [(node, path)]
+    while stack:
+        node, path = stack.pop()
+        path += node.label
+        if node.rows:
+            yield path, node.owner, node.rows
+        stack += [(child, path) for child in node.children.values()]
+
+
+def key_of(body: bytes) -> tuple[int, int, str]:
+    """Length, content hash and full digest."""
+    return len(body), xxhash.xxh3_64_intdigest(body) - (1 << 63), hashlib.sha256(body).hexdigest()
+
+
+class LocalTries:
+    """The tries of a map task, one per partition of (length, hash)."""
+
+    def __init__(self, parts: int, most: int):
+        self.parts, self.most, self.held = parts, most, 0
+        self.tries: dict[int, Patricia] = {}
+
+    def insert(self, key: tuple[int, int, str], body: bytes, owner: int | None) -> None:
+        trie = self.tries.setdefault((key[0] * 31 + key[1]) % self.parts, Patricia())
+        was = trie.size
+        trie.insert(body, owner)
+        self.held += trie.size - was
+
+    def spill(self) -> list[Terminal]:
+        """The terminals of the largest subtrees, taken out until half of the allowed bytes are left; nothing below the limit."""
+        if self.held <= self.most:
+            return []
+        found = sorted(((child.size(), part, first) for part, trie in self.tries.items() for first, child in trie.root.children.items()), reverse=True)
+        out: list[Terminal] = []
+        for size, part, first in found:
+            if self.held <= self.most // 2:
+                break
+            out += self.tries[part].spill(first)
+            self.held -= size
+        return out
+
+    def rest(self) -> Iterator[Terminal]:
+        for trie in self.tries.values():
+            yield from trie.terminals()
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def owners(docs: DataFrame) -> DataFrame:
-    """``(text_sha256, keep_id, group_size)``: one row per distinct normalised text of ``docs(doc_id, text)``."""
-    schema = arrow_schema(docs.sparkSession, _OWNERS)
+def _batches(terminals: Iterator[Terminal], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Terminals as rows, about ``most`` bytes of bodies a batch."""
+    rows, held = [], 0
+    for body, owner, count in terminals:
+        rows.append((None, *key_of(body), owner, count, body))
+        held += len(body)
+        if held > most:
+            yield _columns(rows, schema)
+            rows, held = [], 0
+    if rows:
+        yield _columns(rows, schema)
+
 
-    def local(batches):
-        tries: dict = {}
-        held = 0
+def _map_side(docs: DataFrame) -> DataFrame:
+    """A key per row of ``docs(doc_id, text)`` and partial owners of the distinct texts, from one reading."""
+    schema, parts, most = arrow_schema(docs.sparkSession, _BOTH), shuffle_width(docs.sparkSession), SPILL_BYTES
+
+    def run(batches):
+        tries = LocalTries(parts, most)
         for batch in batches:
+            own = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 body = normalise(text.as_py())
-                key = (len(body), xxhash.xxh3_64_intdigest(body) - (1 << 63))
-                trie = tries.get(key)
-                if trie is None:
-                    trie = tries[key] = Patricia()
-                was = trie.size
-                trie.insert(body, doc_id)
-                held += trie.size - was
-                if held > SPILL_BYTES:
-                    yield _emit(tries, schema)
-                    tries, held = {}, 0
-        if tries:
-            yield _emit(tries, schema)
-
-    def merge(batches):
-        key, trie, done, held = None, None, {}, 0
-        for batch in batches:
-            for n_bytes, digest, owner, rows, body in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
-                if (n_bytes, digest) != key:
-                    if held > SPILL_BYTES:
-                        yield _named(_emit(done, schema))
-                        done, held = {}, 0
-                    key = (n_bytes, digest)
-                    trie = done[key] = Patricia()
-                was = trie.size
-                trie.insert(body, owner, rows)
-                held += trie.size - was
-        if done:
-            yield _named(_emit(done, schema))
+                key = key_of(body)
+                own.append((doc_id, *key, None, None, None))
+                tries.insert(key, body, doc_id)
+                yield from _batches(iter(tries.spill()), schema)
+            yield _columns(own, schema)
+        yield from _batches(tries.rest(), schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, _BOTH)
 
-    def _named(batch):
-        return pa.RecordBatch.from_arrays([batch.column(i) for i in (2, 3, 4)], names=["text_sha256", "keep_id", "group_size"])
 
-    partial = docs.select("doc_id", "text").mapInArrow(local, _OWNERS)
-    keyed = partial.repartition("n_bytes", "hash").sortWithinPartitions("n_bytes", "hash")
-    return keyed.mapInArrow(merge, "text_sha256 string, keep_id long, group_size long")
+def _merged(terminals: DataFrame) -> DataFrame:
+    """``n_bytes, hash, text_sha256, owner, rows`` of each distinct text, from partial owners."""
+    schema, most = arrow_schema(terminals.sparkSession, _OWNERS), SPILL_BYTES
 
+    def rows(found: list[Terminal]) -> pa.RecordBatch:
+        return _columns([(*key_of(body), owner, count) for body, owner, count in found], schema)
+
+    def run(batches):
+        trie, last = Patricia(), b""
+        for batch in batches:
+            for owner, count, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                trie.insert(body, owner, count)
+                last = body
+                if trie.size - len(last) > most:
+                    yield rows(trie.spill_before(last))
+        yield rows(list(trie.terminals()))
 
-def _digest(columns) -> dict:
-    ids, texts = columns
-    return {"doc_id": ids, "text_sha256": [hashlib.sha256(normalise(t.as_py())).hexdigest() for t in texts]}
+    dealt = terminals.select("owner", "rows", "body", "n_bytes", "hash").repartition("n_bytes", "hash").sortWithinPartitions("body")
+    return dealt.select("owner", "rows", "body").mapInArrow(run, _OWNERS)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
-
-    The tries have compared the full texts; a digest shared by two terminals would make ``keep_id`` ambiguous and
-    double the row, so the digest can name a terminal in the join back. That join's document side
-    may be hot; adaptive execution splits it.
-    """
-    named = batch_map(docs.select("doc_id", "text"), _digest, "doc_id long, text_sha256 string")
-    return named.join(owners(docs), "text_sha256").select(
+    """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
+    both = stored(_map_side(docs))
+    owners = _merged(both.where("rows IS NOT NULL")).withColumnsRenamed({"owner": "keep_id", "rows": "group_size"})
+    own = both.where("rows IS NULL").select("doc_id", "n_bytes", "hash", "text_sha256")
+    return own.join(owners, ["n_bytes", "hash", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 

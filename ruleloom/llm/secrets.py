@@ -10,8 +10,13 @@ A candidate is taken whole, whatever its length, together with what follows it a
 What is reported makes the next line sensitive too: lines of the same width, a short last line and lines that are new
 themselves are reported with it. The body of an armoured private key is one span.
 
-Defined cases: null and empty texts have no spans; offsets are code points, ends exclusive; novelty spans do not overlap each
-other, and those touching a fixed one are left out unless they continue a span or are a key's body; repeated rows give equal rows.
+A span starts at a token's beginning, behind an equals sign where a name and its value are one run. Values of letters only or of
+digits only are no candidates: a compressor cannot tell them from words and numbers it has not seen.
+
+Defined cases: null and empty texts have no spans; offsets are code points, ends exclusive; a text of any length is scanned whole, in
+time linear in it; novelty spans do not overlap each other (ties go to the earlier start), and those touching a fixed one are left out
+unless they continue a span or are a key's body; repeated rows give equal rows; rows with a null ``doc_id`` keep it; an empty table
+gives an empty result; columns other than ``doc_id`` and ``text`` are not read by ``scan`` and pass through ``redact`` whatever their names.
 """
 
 from __future__ import annotations
@@ -143,6 +148,17 @@ def _continued(text: str, end: int, width: int) -> list[tuple[int, int]]:
     return out
 
 
+def _value_start(text: str, start: int, end: int, word: int) -> int:
+    """Where the value in the run ``start`` to ``end`` begins if a sensitive word ends at ``word``: behind the word's equals sign,
+    slash or dot, or at the run's start, never inside a token."""
+    if word <= start:
+        return start + (text[start] == ".")
+    value = text.find("=", word, end - 16)
+    if value >= 0:
+        return value + 1
+    return word + 1 if text[word] in "/." else start
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of incompressible candidates in a sensitive context that touch no ``taken`` span, and of what continues them or a taken value."""
     words = [m.end() for m in _SENSITIVE.finditer(text)]
@@ -167,9 +183,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
         word = bisect_left(words, start - _NEAR)
         if word == len(words) or words[word] > end - 16:
             continue
-        start = max(start, words[word])
-        start += text[start] == "."
-        if any(s < end and start < e for s, e in held):
+        start = _value_start(text, start, end, words[word])
+        if end - start < 16 or any(s < end and start < e for s, e in held):
             continue
         pieces = [(start + p.start(), start + p.end()) for p in re.finditer(_RUN + "{16,}", text[start:end])]
         if _new(text, start, end) or len(pieces) > 1 and any(_new(text, *p) for p in pieces):

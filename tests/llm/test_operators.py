@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 
 from ruleloom.llm import bpe, exact, language, media, packing, pii, quality, secrets, simhash, suffix, tiff
 from ruleloom.llm.catalogue import vocabulary
@@ -147,6 +149,32 @@ def test_patricia_keeps_full_strings():
     assert {k: (o, n) for k, o, n in trie.terminals()} == want
 
 
+def test_a_spill_leaves_the_other_subtrees_in_place():
+    tries = exact.LocalTries(1, 100)
+    big = [b"b" * 30 + bytes([c]) * 40 for c in b"xyz"]
+    for i, body in enumerate([b"a small one", *big, b"c small one"]):
+        tries.insert((len(body), 7, ""), body, i)
+    assert tries.held == 11 + 30 + 3 * 40 + 11  # the shared prefix is there once
+    assert sorted(body for body, *_ in tries.spill()) == sorted(big)
+    assert tries.held == 22 and sorted(tries.rest()) == [(b"a small one", 0, 1), (b"c small one", 4, 1)] and tries.spill() == []
+
+
+@given(st.lists(st.tuples(st.binary(max_size=6), st.integers(0, 9)), max_size=60), st.integers(1, 30))
+def test_sorted_insertion_spills_complete_subtrees_only(rows, most):
+    rows.sort()
+    trie, got = exact.Patricia(), []
+    for body, i in rows:
+        trie.insert(body, i)
+        if trie.size > most:
+            got += trie.spill_before(body)
+            assert trie.size == trie.root.size() <= len(body)
+    got += trie.terminals()
+    want = defaultdict(list)
+    for body, i in rows:
+        want[body].append(i)
+    assert sorted(got) == sorted((body, min(ids), len(ids)) for body, ids in want.items())
+
+
 def test_spilling_changes_nothing(docs, monkeypatch):
     want = sorted(map(tuple, exact.exact_dedup(docs).collect()))
     monkeypatch.setattr(exact, "SPILL_BYTES", 100)
