@@ -7,22 +7,23 @@ hold no repeated string. Of the others, contexts that are equal as a whole are c
 are sent on (so a passage held by a third of all documents stays one row), and distinct contexts of one anchor
 are a suffix bucket.
 
-Buckets are sorted by a blockwise difference-cover construction, some buckets at a time: ranks of the cover's
-sample positions are computed first by doubling, and suffixes that tie beyond the cover's period are ordered by
-the rank of a sample position at the same distance from both. Prefix lengths shared by neighbours in this order, to the right of the anchor and
-mirrored to its left, tell for every offset which strings are equal.
-
-A bucket of more than ``SPLIT`` distinct contexts is split before it is sorted: strings that start ``low`` to ``high`` bytes before the anchor
-share the bytes from ``low`` before it to ``200 - high`` behind its start, so for every such range the contexts part by those bytes. What is
-still larger then has 188 of 200 bytes in common and is counted string by string. Memory is thus bounded by two such buckets in any task.
-
-Defined cases: null and short texts keep all bytes; rows repeated with equal ``doc_id`` and text repeat one another, so they are
-removed like other copies; a string may repeat inside its own document, overlapping itself; an empty table gives an empty result.
+Buckets are sorted by a blockwise difference-cover construction, some buckets at a time: the suffixes that start at the anchors, at their
+places in the text of the bucket's contexts, and those of the mirrored text, which read leftwards. Ranks of the cover's nine residues modulo 73 are
+computed first by doubling; suffixes that tie over 73 bytes are ordered by the ranks of two sample positions at the same distance from both. Prefix
+lengths shared by neighbours in the two orders tell for every offset which strings are equal.
+
+A bucket of more than ``SPLIT`` distinct contexts is cut into blocks before it is sorted: strings that start ``low`` to ``high`` bytes before the anchor
+share the bytes from ``low`` before it to ``200 - high`` behind its start, so for every such range the contexts part by those bytes. Blocks are sorted
+like buckets. Strings of a block that is still larger have 188 of 200 bytes in common and are grouped by the other 12. Memory is thus bounded by two such
+buckets in any task.
+
+Defined cases: null and short texts keep all bytes; a very long text is read in parts of a million string starts; rows repeated with equal ``doc_id`` and text
+repeat one another, so they are removed like other copies; rows with a null ``doc_id`` are documents like others and keep it; a string may repeat inside its own
+document, overlapping itself; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -37,7 +38,7 @@ from .common import arrow_schema, batch_map, stored
 WINDOW, GRAM = 200, 32
 #: A perfect difference set: every residue modulo PERIOD is a difference of two members (fixed values).
 PERIOD, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
-BATCH_CONTEXTS, CHUNK_BYTES = 20_000, 1 << 18
+BATCH_CONTEXTS, CHUNK_BYTES, PART_STARTS = 4_000, 1 << 18, 1 << 20
 #: Distinct contexts of a bucket above which it is split, and the number of string starts a part of it stands for.
 SPLIT, RANGE = 20_000, 13
 
@@ -105,7 +106,7 @@ def contexts(docs: DataFrame) -> DataFrame:
     anchor's offset in it, the number of 200-byte strings, and at its first place in the document how often it is there (else 0)."""
     schema = arrow_schema(docs.sparkSession, _CONTEXTS)
 
-    def chunk(keys: list[int], raws: list[bytes]) -> pa.RecordBatch:
+    def chunk(keys: list[int], bases: list[int], raws: list[bytes]) -> pa.RecordBatch:
         whole = b"".join(raws)
         ends = np.cumsum([len(r) for r in raws])
         h, place, a, b = anchors(np.frombuffer(whole, np.uint8), ends)
@@ -113,41 +114,50 @@ def contexts(docs: DataFrame) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         view = memoryview(whole)
         ch = np.array([digest(view[s:e]) for s, e in zip(a.tolist(), (b + WINDOW).tolist(), strict=True)], np.uint64).view(np.int64)
-        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        cols = (np.array(keys, np.int64)[doc], h, ch, a - starts[doc], place - a, b - a + 1, _times(doc, h, ch))
+        before = np.concatenate([[0], ends[:-1]]) - np.array(bases)
+        cols = (np.array(keys, np.int64)[doc], h, ch, a - before[doc], place - a, b - a + 1, _times(doc, h, ch))
         return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     def run(batches):
-        keys, raws, size = [], [], 0
+        keys, bases, raws, size = [], [], [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if len(raw) >= WINDOW:
+                # a long text is read in parts that hold its string starts once each; a context cut in two is two contexts
+                for base in range(0, len(raw) - WINDOW + 1, PART_STARTS):
+                    part = raw[base : base + PART_STARTS + WINDOW - 1]
                     keys.append(key)
-                    raws.append(raw)
-                    size += len(raw)
-                if size >= CHUNK_BYTES:
-                    yield chunk(keys, raws)
-                    keys, raws, size = [], [], 0
+                    bases.append(base)
+                    raws.append(part)
+                    size += len(part)
+                    if size >= CHUNK_BYTES:
+                        yield chunk(keys, bases, raws)
+                        keys, bases, raws, size = [], [], [], 0
         if raws:
-            yield chunk(keys, raws)
+            yield chunk(keys, bases, raws)
 
     return docs.select("key", "text").mapInArrow(run, _CONTEXTS)
 
 
+#: For residues i and j of two positions the least distance at which both positions meet the sample.
+_IN_COVER = np.isin(np.arange(2 * PERIOD) % PERIOD, COVER)
+SHIFT = np.array([[np.flatnonzero(_IN_COVER[i : i + PERIOD] & _IN_COVER[j : j + PERIOD])[0] for j in range(PERIOD)] for i in range(PERIOD)])
+
+
 class CoverSorter:
     """Order of suffixes of ``text`` by their first ``depth`` bytes or more, bucket by bucket.
 
-    Sample positions are those whose residue modulo PERIOD is in COVER. Their ranks by ``depth`` bytes come from
+    Sample positions are those whose residue modulo PERIOD is in COVER, 9 of 73. Their ranks by ``depth`` bytes come from
     ranks by PERIOD bytes, doubled: the position one period further is a sample position too. Any two positions have a distance below
     PERIOD at which both meet the sample, so a tie over PERIOD bytes is settled by two ranks.
     """
 
-    def __init__(self, text: np.ndarray, depth: int, residues: tuple[int, ...] = COVER):
-        pad = depth + 2 * PERIOD + 1
-        self.text = np.concatenate([text, np.zeros(pad, np.uint8)])
+    def __init__(self, text: np.ndarray, depth: int):
+        self.text = np.concatenate([text, np.zeros(depth + 2 * PERIOD + 1, np.uint8)])
         usable = len(self.text) - PERIOD
-        self.sample = np.flatnonzero(np.isin(np.arange(usable) % PERIOD, residues))
+        sample = np.flatnonzero(np.isin(np.arange(PERIOD), COVER))
+        sample = (np.arange(0, usable, PERIOD)[:, None] + sample[None]).ravel()
+        self.sample = sample[sample < usable]
         self.rank_at = np.full(len(self.text) + depth + PERIOD, -1, np.int64)
         rank = self._dense(self.blocks(self.sample))
         self.rank_at[self.sample] = rank
@@ -164,49 +174,53 @@ class CoverSorter:
     def blocks(self, positions: np.ndarray) -> np.ndarray:
         """The first PERIOD bytes at each position, as values that sort like the bytes."""
         view = np.lib.stride_tricks.sliding_window_view(self.text, PERIOD)
-        return np.ascontiguousarray(view[positions]).view(f"V{PERIOD}").ravel()
+        return np.ascontiguousarray(view[positions]).view(f"S{PERIOD}").ravel()
 
-    def _shift(self, i: int, j: int) -> int:
-        for d in range(PERIOD):
-            if self.rank_at[i + d] >= 0 and self.rank_at[j + d] >= 0:
-                return d
-        raise ValueError("the residues do not cover this pair")
+    def after(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the suffixes at ``i`` come after those at ``j``, for pairs that tie over PERIOD bytes: two sample ranks each."""
+        d = SHIFT[i % PERIOD, j % PERIOD]
+        return self.rank_at[i + d] > self.rank_at[j + d]
 
     def order(self, positions: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """Indices that sort ``positions`` by bucket, then by suffix."""
-        residues = positions % PERIOD
-        if len(positions) and (residues == residues[0]).all():
-            d = next(d for d in range(PERIOD) if (self.rank_at[positions[:1] + d] >= 0).all())
-            if d == 0:  # every suffix starts at a sample position
-                return np.lexsort((self.rank_at[positions], bucket))
-            return np.lexsort((self.rank_at[positions + d], self._dense(self.blocks(positions)), bucket))
         prefix = self._dense(self.blocks(positions))
-        first = np.lexsort((prefix, bucket))
-        cut = np.flatnonzero(np.concatenate([[True], (bucket[first][1:] != bucket[first][:-1]) | (prefix[first][1:] != prefix[first][:-1])]))
-
-        def compare(a: int, b: int) -> int:
-            i, j = int(positions[a]), int(positions[b])
-            d = self._shift(i, j)
-            return int(self.rank_at[i + d] - self.rank_at[j + d])
-
-        for s, e in zip(cut.tolist(), [*cut.tolist()[1:], len(first)], strict=True):
-            if e - s > 1:
-                first[s:e] = sorted(first[s:e].tolist(), key=functools.cmp_to_key(compare))
-        return first
-
-
-def _side(rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of equally long rows by bucket and content, and the prefix each shares with the one before (-1 across buckets)."""
-    width = -(-rows.shape[1] // PERIOD) * PERIOD + PERIOD
-    text = np.zeros((len(rows), width), np.uint8)
-    text[:, : rows.shape[1]] = rows
-    positions = np.arange(len(rows)) * width  # all of one residue, which is in the cover
-    order = CoverSorter(text.ravel(), rows.shape[1], COVER[:1]).order(positions, bucket)
-    a, b = rows[order[1:]], rows[order[:-1]]
-    differ = a != b
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
-    shared[bucket[order[1:]] != bucket[order[:-1]]] = -1
-    return order, np.concatenate([[-1], shared])
+        order = np.lexsort((prefix, bucket))
+        change = np.ones(len(order), bool)
+        change[1:] = (bucket[order[1:]] != bucket[order[:-1]]) | (prefix[order[1:]] != prefix[order[:-1]])
+        tied = ~change
+        tied[:-1] |= ~change[1:]
+        places = np.flatnonzero(tied)
+        order[places] = self._settled(order[places], np.cumsum(change)[places], positions)
+        return order
+
+    def _settled(self, order: np.ndarray, group: np.ndarray, positions: np.ndarray) -> np.ndarray:
+        """``order`` with each run of one ``group`` sorted by sample ranks: Batcher's merge network, a numpy comparison of all pairs at a time."""
+        size, p = len(order), 1
+        while p < size:
+            k = p
+            while k:
+                low = np.arange(k % p, size - k)
+                low = low[((low - k % p) // k % 2 == 0) & (low // (2 * p) == (low + k) // (2 * p))]
+                low = low[group[low] == group[low + k]]
+                low = low[self.after(positions[order[low]], positions[order[low + k]])]
+                order[low], order[low + k] = order[low + k], order[low]
+                k //= 2
+            p *= 2
+        return order
+
+
+def _side(text: np.ndarray, positions: np.ndarray, bucket: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes at ``positions`` by bucket and bytes, and the prefix up to ``depth`` each shares with the one before (-1 across buckets)."""
+    sorter = CoverSorter(text, depth)
+    order = sorter.order(positions, bucket)
+    view = np.lib.stride_tricks.sliding_window_view(sorter.text, depth)
+    shared = np.full(len(order), -1)
+    for start in range(1, len(order), 4096):
+        a, b = order[start : start + 4096], order[start - 1 : start + 4095][: len(order[start : start + 4096])]
+        differ = view[positions[a]] != view[positions[b]]
+        own = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)
+        shared[start : start + 4096] = np.where(bucket[a] == bucket[b], own, -1)
+    return order, shared
 
 
 def repeated(bucket: np.ndarray, bodies: list[bytes], off: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -215,13 +229,11 @@ def repeated(bucket: np.ndarray, bodies: list[bytes], off: np.ndarray, n: np.nda
     A context takes part with distances from ``low`` to ``high`` only.
     """
     size, reach = len(bodies), WINDOW - GRAM + 1
-    right, left = np.zeros((size, WINDOW), np.uint8), np.zeros((size, reach - 1), np.uint8)
-    for i, (body, at) in enumerate(zip(bodies, off.tolist(), strict=True)):
-        raw = np.frombuffer(body, np.uint8)
-        right[i, : len(raw) - at] = raw[at : at + WINDOW]
-        left[i, :at] = raw[:at][::-1]
-    by_right, shares_right = _side(right, bucket)
-    by_left, shares_left = _side(left, bucket)
+    text = np.frombuffer(b"".join(bodies), np.uint8)
+    anchor = np.cumsum([0, *map(len, bodies)])[:-1] + off
+    by_right, shares_right = _side(text, anchor, bucket, WINDOW)
+    # what stands before an anchor, read backwards, is a suffix of the mirrored text
+    by_left, shares_left = _side(text[::-1], len(text) - anchor, bucket, reach - 1)
     found = np.zeros((size, reach), bool)
     group_right, group_left = np.empty(size, np.int64), np.empty(size, np.int64)
     for r in range(reach):
@@ -303,10 +315,11 @@ def _split_buckets(reps: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("part", F.xxhash64("h", "low", F.expr(f"substring(body, off - low + 1, low + {WINDOW} - high)")))
     known = stored(_unsettled(rows, "part"))
     met = rows.join(known, "part")
-    strings = met.where(F.col("d") > split).select("part", "count", "key", "a", "off", "body", F.explode(F.expr("sequence(greatest(int(low), off - n + 1), least(int(high), int(off)))")).alias("r"))
-    strings = strings.select("part", "r", F.xxhash64(F.expr(f"substring(body, off - r + 1, {WINDOW})")).alias("string"), "count", "key", (F.col("a") + F.col("off") - F.col("r")).alias("s"))
-    again = stored(_unsettled(strings, "part", "r", "string").drop("d"))
-    spans = strings.where("count = 1").join(again, ["part", "r", "string"]).select("key", "s", (F.col("s") + WINDOW).alias("e"))
+    strings = met.where(F.col("d") > split).select("*", F.explode(F.expr("sequence(greatest(int(low), off - n + 1), least(int(high), int(off)))")).alias("r"))
+    rest = F.concat(F.expr("substring(body, off - r + 1, int(r - low))"), F.expr(f"substring(body, off + {WINDOW} - high + 1, int(high - r))"))
+    strings = strings.select("part", "r", rest.alias("rest"), "count", "key", (F.col("a") + F.col("off") - F.col("r")).alias("s"))
+    again = stored(_unsettled(strings, "part", "r", "rest").drop("d"))
+    spans = strings.where("count = 1").join(again, ["part", "r", "rest"]).select("key", "s", (F.col("s") + WINDOW).alias("e"))
     return met.where(F.col("d") <= split).withColumn("h", F.col("part")).select(*_BUCKETED), spans
 
 

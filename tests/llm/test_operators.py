@@ -246,6 +246,11 @@ def test_repeats(docs, rows, none, split):
     assert suffix.remove_repeats(none, split=split).count() == 0
 
 
+def test_repeats_of_texts_read_in_parts(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix, "PART_STARTS", 150)
+    check_repeats(suffix.remove_repeats(docs), rows)
+
+
 @pytest.mark.parametrize("split", [2, 8, 40])
 def test_repeats_around_one_frequent_passage(spark, split):
     rng = random.Random(split)
@@ -258,12 +263,39 @@ def test_repeats_around_one_frequent_passage(spark, split):
 def test_difference_cover_order():
     assert {(a - b) % suffix.PERIOD for a in suffix.COVER for b in suffix.COVER} == set(range(suffix.PERIOD))
     rng = np.random.default_rng(0)
-    for letters in (2, 40):
+    for letters in (1, 2, 40):
         text = rng.integers(97, 97 + letters, 900).astype(np.uint8)
         text[300:600] = text[:300]
-        at, bucket = rng.permutation(700)[:150], rng.integers(0, 2, 150)
-        keys = [(bucket[i], text.tobytes()[at[i] : at[i] + 200]) for i in suffix.CoverSorter(text, 200).order(at, bucket)]
-        assert keys == sorted(keys)
+        for size in (1, 2, 3, 150, 333):
+            at, bucket = rng.permutation(700)[:size], rng.integers(0, 2, size)
+            keys = [(bucket[i], text.tobytes()[at[i] : at[i] + 200]) for i in suffix.CoverSorter(text, 200).order(at, bucket)]
+            assert keys == sorted(keys)
+
+
+def test_ties_beyond_the_period_are_settled_by_sample_ranks(monkeypatch):
+    """The sort that ``remove_repeats`` runs meets ties at many pairs of residues and settles them by two ranks."""
+    met = set()
+    plain = suffix.CoverSorter.after
+
+    def after(self, i, j):
+        assert all((self.text[a : a + suffix.PERIOD] == self.text[b : b + suffix.PERIOD]).all() for a, b in zip(i, j, strict=True))
+        met.update(zip((i % suffix.PERIOD).tolist(), (j % suffix.PERIOD).tolist(), strict=True))
+        return plain(self, i, j)
+
+    monkeypatch.setattr(suffix.CoverSorter, "after", after)
+    rng = random.Random(3)
+    shared = bytes(rng.randrange(256) for _ in range(300))
+    bodies = [rng.randbytes(rng.randint(0, 80)) + shared[rng.randint(0, 60) : rng.randint(240, 300)] for _ in range(60)]
+    bodies = [b + rng.randbytes(max(0, 260 - len(b))) for b in bodies]
+    # the anchor is byte 80 of the shared passage
+    off = np.array([b.index(shared[80:112]) for b in bodies])
+    n = np.array([len(b) - 199 for b in bodies])
+    every = np.zeros(60, np.int64)
+    found = suffix.repeated(every, bodies, off, n, every, every + 168)
+    count = Counter(b[o - r : o - r + 200] for b, o, k in zip(bodies, off, n, strict=True) for r in range(169) if o - k < r <= o)
+    for i, (b, o, k) in enumerate(zip(bodies, off, n, strict=True)):
+        assert [bool(f) for f in found[i]] == [o - k < r <= o and count[b[o - r : o - r + 200]] > 1 for r in range(169)]
+    assert found.any() and len(met) > 100
 
 
 def test_language(spark, none):
