@@ -1,21 +1,30 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
 Fixed formats (mail, network and card numbers, phone numbers) give the base spans, which always stay. High-recall
-generators propose further, overlapping candidates: whatever looks like a mail address or a long number. Each
-candidate has discrete features of its format and context. Boosted trees are fitted on the table of feature
-combinations over all documents, its size bounded by the features' values whatever the corpus; a candidate that meets
-a base span is a positive example. The trees become one SQL expression, and candidates away from base spans
-whose score reaches the threshold calibrated for ``PRECISION`` are reported as ``contact`` or ``number``.
+generators propose further, overlapping candidates of any length: whatever looks like a mail address, written out or not, long numbers with
+mixed separators, and the same with one separator. Each candidate has discrete features of its format and context. Boosted trees are fitted on
+the table of feature combinations over all documents, its size bounded by the features' values whatever the corpus.
+
+The base formats do not decide alone what the trees learn. Weak labels: a candidate is a positive example if it meets a base span or a telling
+word ("phone", "account", ...) stands before it. The checks behind base spans (Luhn sums, octets up to 255, domains' alphabets) are no features. And every
+positive example also counts without its marks, the plus sign and the telling word, so that formats are learned which mostly occur with a mark but
+are written without it as well. Thresholds are calibrated per kind: trees of one half of the documents score the other half's cells, and the
+lowest score whose cells and all above reach ``PRECISION`` on the weak labels is the kind's threshold.
+
+The trees become one SQL expression. Candidates that meet no base span and reach their kind's threshold are selected; of overlapping ones the longest
+stays (ties: the better score, then the earlier), and they are reported as ``contact`` or ``number``.
 
 Everything stays in the document's row, so nothing but the table of combinations is shuffled. Positions are code points.
-Defined cases: null and empty texts have no spans; repeated rows get equal rows; an empty table gives an empty result; with
-positive or negative examples missing no candidate is added.
+Defined cases: null and empty texts have no spans; texts of any length are read whole; equal scores tie as above; repeated rows get equal rows; rows with a
+null ``doc_id`` keep it; an empty table gives an empty result; with positive or negative examples missing no candidate is added; columns other than ``doc_id``
+and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +35,18 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-MAIL_LIKE = r"(?<![^\s<>(\"'])[^\s<>()\"'@]{1,64}+(?:@| ?[\[(]at[\])] ?)[^\s<>()\"'@]{2,255}"
-NUMBER_LIKE = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])"
+_AT = r"(?:@| ?[\[(]at[\])] ?)"
+MAIL_LIKE = rf"(?<![^\s<>(\"'])[^\s<>()\"'@]++{_AT}[^\s<>()\"'@]++(?: ?[\[(]dot[\])] ?[A-Za-z]++)*+"
+NUMBER_LIKE = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])"
+#: A number with one kind of separator, of seven digits or more.
+PLAIN_NUMBER = r"(?<![0-9A-Za-z])[0-9]++(?:([ .-])[0-9]++(?:\1[0-9]++)*+)?+(?![0-9A-Za-z])"
 _TELLING = "(?i)(?:phone|tel|call|fax|mobile|card|visa|credit|account|ssn|passport|mail|contact|address|addr|host|ip)[^A-Za-z]{0,3}$"
 KINDS = ("email", "ip", "card", "phone", "contact", "number")
-ROUNDS, RATE, PRECISION, CONTEXT = 24, 0.4, 0.98, 24
-#: Feature names and their largest value; the smallest is 0.
-FEATURES = {"kind": 1, "digits": 20, "separators": 3, "plus": 1, "groups": 5, "telling": 1, "before": 2, "after": 2, "domain": 1, "dull": 1}
+ROUNDS, RATE, PRECISION, CONTEXT = 24, 0.4, 0.9, 24
+#: Feature names and their largest value; the smallest is 0. Kinds of candidates: 0 number, 1 mail, 2 number of one separator.
+FEATURES = {"kind": 2, "digits": 20, "separators": 3, "plus": 1, "groups": 5, "telling": 1, "before": 2, "after": 2, "domain": 1, "dull": 1}
+#: Features that a positive example is also learned without.
+MARKS = ("plus", "telling")
 
 
 def _cut(text: Column, pattern: str) -> tuple[Column, Column]:
@@ -76,7 +90,7 @@ def _found(df: DataFrame) -> DataFrame:
                    F.when(t.contains("+"), t).alias("_plus"),
                    F.when(t.rlike(r"[0-9](?:[ ().-]{0,2}[0-9]){6}"), t).alias("_number"))
     none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    cuts = {"email": ("_mail", EMAIL), "ip": ("_dots", IP), "card": ("_long", CARD), "phone": ("_plus", PHONE), "mails": ("_mail", MAIL_LIKE), "numbers": ("_number", NUMBER_LIKE)}
+    cuts = {"email": ("_mail", EMAIL), "ip": ("_dots", IP), "card": ("_long", CARD), "phone": ("_plus", PHONE), "mails": ("_mail", MAIL_LIKE), "numbers": ("_number", NUMBER_LIKE), "plain": ("_number", PLAIN_NUMBER)}
     df = df.select("*", *(c.alias(f"_{k}{name}") for name, (column, pattern) in cuts.items() for k, c in zip("hg", _cut(F.col(column), pattern), strict=True)))
     df = df.select("*", *(F.coalesce(_places(name), none).alias(f"_{name}") for name in cuts))
     df = df.select("*", F.col("_email").alias("email"),
@@ -85,10 +99,15 @@ def _found(df: DataFrame) -> DataFrame:
                    F.filter("_card", lambda x: _digits(x["m"]).between(16, 19)).alias("_sized"))
     df = df.withColumn("card", F.filter("_sized", lambda x: _luhn(x["m"])))
     df = df.withColumn("_base", F.transform(F.concat("email", "ip", "card", "phone"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
-    wide = F.concat(F.transform("_numbers", lambda c: _described(t, c, 0)), F.transform("_mails", lambda c: _described(t, c, 1)))
+    df = df.withColumn("_plain", F.filter("_plain", lambda c: _digits(c["m"]) >= 7))
+    wide = F.concat(*(_all_described(t, name, kind) for kind, name in enumerate(("_numbers", "_mails", "_plain"))))
     return df.withColumn("wide", wide)
 
 
+def _all_described(text: Column, name: str, kind: int) -> Column:
+    return F.transform(name, lambda c: _described(text, c, kind))
+
+
 def _described(text: Column, c: Column, kind: int) -> Column:
     m = c["m"]
     before = text.substr(F.greatest(c["s"] - CONTEXT, F.lit(0)) + 1, F.least(c["s"], F.lit(CONTEXT)))
@@ -101,67 +120,103 @@ def _described(text: Column, c: Column, kind: int) -> Column:
     separators = F.when(plain == "", 0).when(F.translate(plain, ".", "") == "", 1).when(F.translate(plain, " -", "") == "", 2).otherwise(3)
     groups = F.size(F.filter(F.split(m, "[^0-9]+", -1), lambda g: g != ""))
     met = F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    return F.struct(
-        c["s"].alias("s"), c["e"].alias("e"), met.alias("met"), F.lit(kind).alias("kind"),
-        F.least(_digits(m), F.lit(20)).alias("digits"), separators.alias("separators"),
-        m.startswith("+").cast("int").alias("plus"), F.least(groups, F.lit(5)).alias("groups"),
-        before.rlike(_TELLING).cast("int").alias("telling"), side(last).alias("before"), side(after).alias("after"),
-        m.rlike(r"@[A-Za-z0-9-]+\.[A-Za-z]{2,}").cast("int").alias("domain"),
-        (F.size(F.array_distinct(F.split(F.regexp_replace(m, "[^0-9]", ""), ""))) <= 3).cast("int").alias("dull"))
-
-
-def boost(cells: list[dict]) -> tuple[list[tuple], float]:
-    """Trees of depth two over weighted cells (features, ``yes``, ``no``), and the calibrated threshold (inf: add nothing).
+    number = {
+        "digits": F.least(_digits(m), F.lit(20)), "separators": separators, "groups": F.least(groups, F.lit(5)), "plus": m.startswith("+").cast("int"),
+        "dull": (F.size(F.array_distinct(F.split(F.regexp_replace(m, "[^0-9]", ""), ""))) <= 3).cast("int")}
+    # digits say nothing about an address
+    mail = {"domain": m.rlike(rf"{_AT}[^\s.]+(?:\.| ?[\[(]dot[\])] ?)\p{{L}}{{2,}}").cast("int")}
+    own = {"kind": F.lit(kind), "telling": before.rlike(_TELLING).cast("int"), "before": side(last), "after": side(after)} | (mail if kind == 1 else number)
+    return F.struct(c["s"].alias("s"), c["e"].alias("e"), met.alias("met"), *(own.get(n, F.lit(0)).cast("int").alias(n) for n in FEATURES))
+
+
+def _unmarked(cells: list[dict]) -> list[dict]:
+    """``cells`` and, for their positive examples, the same cells without each subset of their marks."""
+    out: dict[tuple, dict] = {}
+    for cell in cells:
+        variants = [cell]
+        for mark in MARKS:
+            variants += [v | {mark: 0, "no": 0} for v in variants if v[mark] and v["yes"]]
+        for v in variants:
+            own = out.setdefault(tuple(v[n] for n in FEATURES) + (v["fold"],), v | {"yes": 0, "no": 0})
+            own["yes"] += v["yes"]
+            own["no"] += v["no"]
+    return list(out.values())
+
+
+def grow(x: np.ndarray, yes: np.ndarray, no: np.ndarray) -> list[tuple]:
+    """Trees of depth two over weighted cells; ``x`` has a column per feature. Without examples of both sorts there is none.
 
     A tree is ``(feature, cut, left, right)`` with leaves as numbers; a value up to the cut goes left.
     """
-    yes, no = sum(c["yes"] for c in cells), sum(c["no"] for c in cells)
-    if not yes or not no:
-        return [], math.inf
-    score = [math.log(yes / no)] * len(cells)
-    trees: list[tuple] = [(next(iter(FEATURES)), 0, score[0], score[0])]
+    if not yes.sum() or not no.sum():
+        return []
+    prior = math.log(yes.sum() / no.sum())
+    trees: list[tuple] = [(next(iter(FEATURES)), 0, prior, prior)]
+    score = np.full(len(x), prior)
     for _ in range(ROUNDS):
-        share = [1 / (1 + math.exp(-s)) for s in score]
-        pull = [c["yes"] - (c["yes"] + c["no"]) * p for c, p in zip(cells, share, strict=True)]
-        curve = [(c["yes"] + c["no"]) * p * (1 - p) for c, p in zip(cells, share, strict=True)]
-        tree = _tree(cells, pull, curve, list(range(len(cells))), 2)
+        share = 1 / (1 + np.exp(-score))
+        tree = _tree(x, yes - (yes + no) * share, (yes + no) * share * (1 - share), np.arange(len(x)), 2)
         if not isinstance(tree, tuple):
             break
         trees.append(tree)
-        score = [s + _leaf(tree, c) for s, c in zip(score, cells, strict=True)]
-    right = every = 0
-    cut = math.inf
-    for s, c in sorted(zip(score, cells, strict=True), key=lambda x: -x[0]):
-        right, every = right + c["yes"], every + c["yes"] + c["no"]
-        if right >= PRECISION * every:
-            cut = s - 1e-9  # sums in another order differ in the last digits
-    return trees, cut
-
-
-def _leaf(tree, cell: dict) -> float:
-    while isinstance(tree, tuple):
-        tree = tree[2] if cell[tree[0]] <= tree[1] else tree[3]
-    return tree
+        score += scores([tree], x)
+    return trees
 
 
-def _tree(cells: list[dict], pull: list[float], curve: list[float], own: list[int], depth: int):
-    g, h = sum(pull[i] for i in own), sum(curve[i] for i in own)
+def _tree(x: np.ndarray, pull: np.ndarray, curve: np.ndarray, own: np.ndarray, depth: int):
+    g, h = pull[own].sum(), curve[own].sum()
     best, split = 1e-6, None
-    for name, top in FEATURES.items() if depth else ():
-        by = [[0.0, 0.0] for _ in range(top + 1)]
-        for i in own:
-            by[cells[i][name]][0] += pull[i]
-            by[cells[i][name]][1] += curve[i]
-        lg = lh = 0.0
-        for cut in range(top):
-            lg, lh = lg + by[cut][0], lh + by[cut][1]
-            gain = lg * lg / (lh + 1) + (g - lg) ** 2 / (h - lh + 1) - g * g / (h + 1)
-            if gain > best:
-                best, split = gain, (name, cut)
+    for column, (name, top) in enumerate(FEATURES.items()) if depth else ():
+        lg, lh = (np.cumsum(np.bincount(x[own, column], w[own], top + 1))[:top] for w in (pull, curve))
+        gain = lg * lg / (lh + 1) + (g - lg) ** 2 / (h - lh + 1) - g * g / (h + 1)
+        if gain.max() > best:
+            best, split = gain.max(), (name, int(gain.argmax()), column)
     if split is None:
-        return RATE * g / (h + 1)
-    sides = [[i for i in own if (cells[i][split[0]] <= split[1]) == low] for low in (True, False)]
-    return (*split, *(_tree(cells, pull, curve, s, depth - 1) for s in sides))
+        return float(RATE * g / (h + 1))
+    name, cut, column = split
+    low = x[own, column] <= cut
+    return name, cut, _tree(x, pull, curve, own[low], depth - 1), _tree(x, pull, curve, own[~low], depth - 1)
+
+
+def scores(trees: list[tuple], x: np.ndarray) -> np.ndarray:
+    """Summed leaves of every cell."""
+    columns = {name: i for i, name in enumerate(FEATURES)}
+
+    def one(tree) -> np.ndarray | float:
+        if not isinstance(tree, tuple):
+            return tree
+        return np.where(x[:, columns[tree[0]]] <= tree[1], one(tree[2]), one(tree[3]))
+
+    return sum((one(t) for t in trees), np.zeros(len(x)))
+
+
+Model = tuple[list[tuple], dict[int, float]]
+
+
+def boost(cells: list[dict]) -> Model:
+    """Trees over cells (features, ``fold`` 0 or 1, ``yes``, ``no``), and the threshold of each kind that has one."""
+    cells = _unmarked(cells)
+    if not cells:
+        return [], {}
+    x = np.array([[c[n] for n in FEATURES] for c in cells])
+    yes, no, fold = (np.array([c[k] for c in cells], float) for k in ("yes", "no", "fold"))
+    trees = grow(x, yes, no)
+    # each half is scored by trees that have not seen it
+    crossed, known = np.zeros(len(x)), np.ones(len(x), bool)
+    for k in (0, 1):
+        own = grow(x[fold != k], yes[fold != k], no[fold != k])
+        crossed[fold == k] = scores(own, x[fold == k])
+        known[fold == k] = bool(own)
+    cuts = {}
+    for kind in range(FEATURES["kind"] + 1) if trees else ():
+        at = np.flatnonzero((x[:, 0] == kind) & known)
+        at = at[np.argsort(-crossed[at], kind="stable")]
+        good = np.cumsum(yes[at]) >= PRECISION * np.cumsum(yes[at] + no[at])
+        # cells of one score stand or fall together
+        good &= np.append(crossed[at][1:] < crossed[at][:-1], True)[: len(at)]
+        if good.any():
+            cuts[kind] = float(crossed[at][np.flatnonzero(good)[-1]]) - 1e-9  # sums in another order differ in the last digits
+    return trees, cuts
 
 
 def _scored(trees: list[tuple], c: Column) -> Column:
@@ -176,25 +231,43 @@ def _scored(trees: list[tuple], c: Column) -> Column:
     return total
 
 
-def fit(docs: DataFrame) -> tuple[list[tuple], float]:
-    """Boosted trees and threshold from all candidates of ``docs(text)``; at most one row per feature combination is collected."""
-    rows = _found(docs.select("text")).select(F.explode("wide").alias("c")).select("c.met", *(F.col(f"c.{n}") for n in FEATURES))
-    cells = rows.groupBy(*FEATURES).agg(F.count_if("met").alias("yes"), F.count_if(~F.col("met")).alias("no"))
-    return boost([r.asDict() for r in cells.orderBy(*FEATURES).collect()])
+def fit(docs: DataFrame) -> Model:
+    """Boosted trees and thresholds from all candidates of ``docs(text)``; at most two rows per feature combination are collected."""
+    fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")
+    rows = _found(docs.select("text")).select(fold, F.explode("wide").alias("c")).select("fold", "c.met", *(F.col(f"c.{n}") for n in FEATURES))
+    yes = F.col("met") | (F.col("telling") == 1)
+    cells = rows.groupBy(*FEATURES, "fold").agg(F.count_if(yes).alias("yes"), F.count_if(~yes).alias("no"))
+    return boost([r.asDict() for r in cells.orderBy(*FEATURES, "fold").collect()])
+
+
+def _apart(spans: Column) -> Column:
+    """Of overlapping ``spans(s, e, kind, score)`` the longest, then the best score, then the earliest; a chain of overlaps is settled from the left."""
+    rank = lambda x: F.struct(x["e"] - x["s"], x["score"], -x["s"])
+    none = F.array().cast("array<struct<s:int,e:int,kind:int,score:double>>")
+
+    def take(kept, x):
+        last = F.try_element_at(kept, F.lit(-1))
+        clear = last.isNull() | (last["e"] <= x["s"])
+        better = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x))
+        return F.when(clear, F.concat(kept, F.array(x))).when(rank(x) > rank(last), better).otherwise(kept)
+
+    return F.aggregate(F.array_sort(spans), none, take)
 
 
-def find(docs: DataFrame, model: tuple[list[tuple], float] | None = None) -> DataFrame:
+def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: counts and spans, base spans apart and with the added ones."""
-    trees, cut = model or fit(docs)
+    trees, cuts = fit(docs) if model is None else model
     df = _found(docs.select("doc_id", "text"))
-    added = F.filter("wide", lambda c: ~c["met"] & (_scored(trees, c) >= cut)) if cut < math.inf else F.filter("wide", lambda c: F.lit(False))
-    df = df.withColumn("_added", added)
+    scored = F.transform(F.filter("wide", lambda c: ~c["met"]), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"), _scored(trees, c).alias("score")))
+    reached = lambda c: F.coalesce(*(F.when(c["kind"] == k, c["score"] >= cut) for k, cut in cuts.items()), F.lit(False))
+    # a text without candidates costs nothing here
+    df = df.withColumn("_added", F.when(F.size("wide") > 0, _apart(F.filter(scored, reached))).otherwise(F.array().cast("array<struct<s:int,e:int,kind:int,score:double>>")))
 
     def shown(column, kind: str) -> Column:
         return F.transform(column, lambda x: F.concat(F.lit(f"{kind}:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
 
     base = [shown(k, k) for k in KINDS[:4]]
-    more = [shown(F.filter("_added", lambda c, k=k: c["kind"] == k), name) for k, name in ((1, "contact"), (0, "number"))]
+    more = [shown(F.filter("_added", lambda c: c["kind"] == 1), "contact"), shown(F.filter("_added", lambda c: c["kind"] != 1), "number")]
     return df.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:4]),
         F.sha2(F.array_join(F.concat(*base), ","), 256).alias("base_sha256"),

@@ -51,15 +51,64 @@ def test_pii(docs, rows, none):
 
 def test_pii_runs_of_thousands(spark):
     long = spark.createDataFrame([(0, "1.2." * 3000), (1, "9" * 20000), (2, "a" * 30000 + "@"), (3, "+" * 500 + "1" * 12)], "doc_id long, text string")
-    got = by_id(pii.find(long, ([], float("inf"))))
+    got = by_id(pii.find(long, ([], {})))
     assert got[0]["n_ip"] == 1500 and got[1]["n_card"] == 0 and got[2]["n_email"] == 0 and got[3]["n_phone"] == 1
 
 
 def test_boosting_adds_what_context_tells():
     cell = dict.fromkeys(pii.FEATURES, 0)
-    trees, cut = pii.boost([cell | {"telling": 1, "yes": 99, "no": 1}, cell | {"yes": 1, "no": 99}])
-    total = lambda c: sum(pii._leaf(t, c) for t in trees)
-    assert total(cell | {"telling": 1}) >= cut > total(cell)
+    both = [c | {"fold": k} for k in (0, 1) for c in (cell | {"separators": 2, "yes": 99, "no": 1}, cell | {"yes": 1, "no": 99})]
+    trees, cuts = pii.boost(both)
+    score = lambda c: pii.scores(trees, np.array([[c[n] for n in pii.FEATURES]]))[0]
+    assert score(cell | {"separators": 2}) >= cuts[0] > score(cell) and list(cuts) == [0]
+    assert pii.boost([]) == ([], {}) and pii.boost([cell | {"fold": 0, "yes": 3, "no": 0}])[1] == {}
+
+
+def test_trees_in_sql_score_like_trees_in_numpy(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    x = np.column_stack([rng.integers(0, top + 1, 300) for top in pii.FEATURES.values()])
+    trees = pii.grow(x, rng.integers(0, 9, 300).astype(float), rng.integers(0, 9, 300).astype(float))
+    rows = spark.createDataFrame(x.tolist(), ", ".join(f"{n} int" for n in pii.FEATURES)).select(F.struct("*").alias("c"))
+    got = [r[0] for r in rows.select(pii._scored(trees, F.col("c"))).collect()]
+    leaf = lambda tree, row: tree if not isinstance(tree, tuple) else leaf(tree[2] if row[tree[0]] <= tree[1] else tree[3], row)
+    plain = [sum(leaf(t, dict(zip(pii.FEATURES, row, strict=True))) for t in trees) for row in x.tolist()]
+    assert len(trees) > 5 and np.allclose(got, plain) and np.allclose(pii.scores(trees, x), plain)
+
+
+def test_formats_that_occur_with_a_mark_are_found_without_it(spark):
+    """Planted: addresses written out, phone numbers without plus, identity numbers without a telling word; serial numbers and handles stay."""
+    rng = random.Random(5)
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    words = "alder birch cedar elm fir hazel larch maple oak pine".split()
+    say = lambda core: (f"{rng.choice(words)} {rng.choice(words)} ", core, f" {rng.choice(words)} {d(2)}{rng.choice(words)}")
+    marked = [say(f"{w}{i}@{v}{i}.org") for i, (w, v) in enumerate(zip(words * 6, words[::-1] * 6, strict=True))]
+    marked += [say(f"+1 (4{d(2)}) 5{d(2)}-{d(4)}") for _ in range(60)]
+    told = [(a + "ssn ", f"{d(3)}-{d(2)}-{d(4)}", b) for a, _, b in (say("") for _ in range(60))]
+    bare = [say(f"{w} (at) {w}.org") for w in words[:4]] + [say(f"1 (4{d(2)}) 5{d(2)}-{d(4)}") for _ in range(4)] + [say(f"{d(3)}-{d(2)}-{d(4)}") for _ in range(4)]
+    clean = [say(f"lot{c}{d(11)}") for c in (" ", " No. ", " #") for _ in range(40)] + [say(f"@{w}") for w in words * 3] + [say("see@here") for _ in range(40)]
+    rows = [(i, "".join(parts)) for i, parts in enumerate(marked + told + bare + clean)]
+    got = by_id(pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    first, last = len(marked) + len(told), len(marked) + len(told) + len(bare)
+    for i, (before, core, _) in enumerate(marked + told + bare + clean):
+        place = f":{len(before)}:{len(before) + len(core)}"
+        if i < len(marked):
+            assert got[i]["n_added"] == 0 and got[i]["spans"].endswith(place)
+        elif i < last:
+            assert got[i]["n_added"] == 1 and got[i]["spans"].endswith(place), (rows[i], got[i]["spans"])
+        else:
+            assert got[i]["spans"] == "", rows[i]
+    assert first < last
+
+
+def test_of_overlapping_candidates_the_longest_stays(spark):
+    from pyspark.sql import functions as F
+
+    spans = [(0, 9, 0, 1.0), (4, 12, 2, 2.0), (12, 15, 0, 1.0), (20, 30, 0, 1.0), (20, 25, 2, 1.0), (40, 44, 1, 3.0), (43, 50, 0, 3.0)]
+    df = spark.createDataFrame([(spans,), ([],)], "spans array<struct<s:int,e:int,kind:int,score:double>>")
+    got = [[tuple(x) for x in r[0]] for r in df.select(pii._apart(F.col("spans"))).collect()]
+    assert got == [[(0, 9, 0, 1.0), (12, 15, 0, 1.0), (20, 30, 0, 1.0), (43, 50, 0, 3.0)], []]
 
 
 def test_secrets(docs, rows, none):
