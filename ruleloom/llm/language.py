@@ -5,14 +5,18 @@ predicts whether the language's bit is one. Classifiers are log ratios of smooth
 weighted by how well they separate the fitting documents. A document goes to the codeword of least weighted logistic loss;
 the softmax over losses is its score, and a small lead over the second codeword flags it as ambiguous.
 
-Fitted on at most ``SAMPLE`` documents per language. Defined cases: a null text or one without letters is ``und``
-with score 0; with no labelled row every text is ``und``; one learned language takes all texts; repeated rows get equal results.
+Fitted on at most ``SAMPLE`` documents per language and ``SAMPLE_TOTAL`` of all, of at most ``FIT_CHARS`` characters; more than ``MOST_GROUPS`` languages
+raise ``ValueError``. Every text is scored whole, a part of its bytes at a time.
+
+Defined cases: a null or empty text or one without letters (Unicode category L) is ``und`` with score 0; with no labelled row every text is ``und``; one learned
+language takes all texts; equal losses go to the first language in name order; repeated rows get equal results; rows with a null ``doc_id`` keep it and are not
+held out; an empty table gives an empty result; columns other than ``doc_id``, ``text`` and ``lang`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-import re
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,16 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_map
-from .grams import bounded_sample, grams
+from .grams import FIT_CHARS, bounded_sample, grams, parts
 
-SAMPLE, ORDERS, BITS, AMBIGUOUS = 500, (2, 3, 4), 14, 0.2
-_LETTER = re.compile(r"[^\W\d_]")
+SAMPLE, SAMPLE_TOTAL, ORDERS, BITS, AMBIGUOUS = 500, 12_000, (2, 3, 4), 14, 0.2
 _SPACED = bytes(i if i >= 128 or 97 <= i <= 122 else 32 for i in range(256))
 
 
-def features(text: str) -> np.ndarray:
+def features(text: str) -> Iterator[np.ndarray]:
+    """N-gram buckets of a whole text, part by part."""
     raw = b" " + text.lower().encode("utf-8", "surrogatepass").translate(_SPACED) + b" "
-    return grams(np.frombuffer(raw, np.uint8), ORDERS, BITS)
+    whole = np.frombuffer(raw, np.uint8)
+    for start, end in parts(raw):
+        yield grams(whole[start : end + max(ORDERS) - 1], ORDERS, BITS, end - start)
 
 
 def codebook(n: int) -> np.ndarray:
@@ -45,7 +51,8 @@ def codebook(n: int) -> np.ndarray:
     for seed in range(64):
         book = np.random.default_rng(seed).choice(np.array([-1, 1], np.int8), (n, length))
         book = book[:, np.abs(book.sum(axis=0)) < n]
-        gaps = (book[:, None] != book[None]).sum(axis=2) + length * np.eye(n, dtype=int)
+        wide = book.astype(np.float32)
+        gaps = (book.shape[1] - wide @ wide.T) / 2 + length * np.eye(n)
         if gaps.min() > apart:
             best, apart = book, gaps.min()
     return best
@@ -57,12 +64,11 @@ class Model:
     def __init__(self, languages: list[str], texts: list[list[str]]):
         self.languages, self.code = languages, codebook(max(1, len(languages)))
         size = len(ORDERS) << BITS
-        counts = np.zeros((len(languages), size))
-        seen = [[features(t) for t in own] for own in texts]
-        for i, own in enumerate(seen):
-            for f in own:
-                counts[i] += np.bincount(f, minlength=size)
-        shares = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True) if languages else counts
+        counts = np.full((len(languages), size), 0.5, np.float32)
+        for i, own in enumerate(texts):
+            for part in (p for t in own for p in features(t)):
+                counts[i] += np.bincount(part, minlength=size)
+        shares = counts / counts.sum(axis=1, keepdims=True) if languages else counts
         bits = self.code.shape[1]
         self.weights = np.zeros((size, bits), np.float32)
         for b in range(bits):
@@ -70,7 +76,7 @@ class Model:
             if languages and one.any() and other.any():
                 self.weights[:, b] = np.log(shares[one].mean(axis=0) / shares[other].mean(axis=0))
         self.scale, self.bit_weight = np.ones(bits), np.ones(bits) / bits
-        margins = [(i, self.margins(f)) for i, own in enumerate(seen) for f in own if len(f)]
+        margins = [(i, m) for i, own in enumerate(texts) for m in map(self.margins, own) if m is not None]
         if margins and len(languages) > 1:
             signed = np.array([self.code[i] * m for i, m in margins])
             self.scale = 4.0 / np.maximum(1e-6, np.median(np.abs(signed), axis=0))
@@ -78,15 +84,20 @@ class Model:
             self.bit_weight = np.log(accuracy / (1 - accuracy)) + 1e-3
             self.bit_weight /= self.bit_weight.sum()
 
-    def margins(self, found: np.ndarray) -> np.ndarray:
-        return self.weights.take(found, axis=0).sum(axis=0, dtype=np.float64) / len(found)
+    def margins(self, text: str) -> np.ndarray | None:
+        """Mean weight of the text's n-grams by bit."""
+        total, n = np.zeros(self.weights.shape[1]), 0
+        for part in features(text):
+            total += self.weights.take(part, axis=0).sum(axis=0, dtype=np.float64)
+            n += len(part)
+        return total / n if n else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False
-        margin = self.margins(features(text)) * self.scale
+        margin = self.margins(text) * self.scale
         loss = (np.logaddexp(0, -self.code * margin) * self.bit_weight).sum(axis=1)
         share = np.exp(-4 * (loss - loss.min()))
         share /= share.sum()
@@ -100,7 +111,8 @@ def remainder(column: str, divisor: int):
 
 def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
     """Learn from ``docs(doc_id, text, lang)``, at most ``most`` rows of each language."""
-    rows = bounded_sample(docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang"), "lang", most)
+    known = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.length("text") <= FIT_CHARS)
+    rows = bounded_sample(known.select("doc_id", "text", "lang"), "lang", most, SAMPLE_TOTAL)
     languages = sorted({r["lang"] for r in rows})
     return Model(languages, [[r["text"] for r in rows if r["lang"] == lang] for lang in languages])
 

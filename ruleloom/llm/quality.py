@@ -5,18 +5,25 @@ average of its vectors, and a softmax layer gives the probability of label 1. Ve
 together by plain stochastic gradient descent in numpy, one document a step. As the layer is linear in the average, a trained
 model scores by one number per feature, the difference of its two logits.
 
-Fitted on at most ``SAMPLE`` labelled rows of each label. Defined cases: null and empty texts score the base rate;
-a document with several label rows counts by each; no labelled row gives 0.5 everywhere; repeated rows get equal results.
+Fitted on at most ``SAMPLE`` labelled rows of each label, of texts of at most ``FIT_CHARS`` characters. Every text is scored whole, a part of its bytes at a
+time; a word of more than 65,536 bytes counts as several.
+
+Defined cases: null and empty texts score the base rate; a document with several label rows counts by each, and one labelled 0 and 1 by both; labels other than 0 and
+1, null ones and those without a document are passed over; no labelled row gives 0.5 everywhere, one label alone its clipped rate; repeated rows get equal results; rows
+with a null ``doc_id`` keep it, are scored, not held out and not learned from; an empty table gives an empty result; columns other than ``doc_id``, ``text`` and
+``quality`` are not read by ``classify`` and pass through ``keep_good`` whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_map
-from .grams import bounded_sample, grams, word_hashes
+from .grams import FIT_CHARS, bounded_sample, grams, parts, word_hashes
 from .language import remainder
 
 SAMPLE, WORD_BITS, GRAM_BITS, ORDERS, SHAPE_ORDERS = 3000, 16, 15, (1, 3, 5), (2, 3, 5)
@@ -25,16 +32,19 @@ _SHAPES = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 else 48 if 48 <= i
 SIZE = (1 << WORD_BITS) + (len(ORDERS) + len(SHAPE_ORDERS) << GRAM_BITS)
 
 
-def features(text: str | None) -> np.ndarray:
-    """Feature numbers of a whole text, repeats included."""
+def features(text: str | None) -> Iterator[np.ndarray]:
+    """Feature numbers of a whole text, repeats included, part by part."""
     if not text:
-        return np.zeros(0, np.int32)
+        return
     body = text.encode("utf-8", "surrogatepass")
-    raw = np.frombuffer(b" " + body + b" ", np.uint8)
-    plain = np.frombuffer(b" " + body.translate(_WORDS) + b" ", np.uint8)
-    shape = np.frombuffer(b" " + body.translate(_SHAPES) + b" ", np.uint8)
-    base = 1 << WORD_BITS
-    return np.concatenate([word_hashes(plain, WORD_BITS), grams(raw, ORDERS, GRAM_BITS) + base, grams(shape, SHAPE_ORDERS, GRAM_BITS) + (base + (len(ORDERS) << GRAM_BITS))])
+    spaced = b" " + body.translate(_WORDS) + b" "
+    raw, plain, shape = (np.frombuffer(b, np.uint8) for b in (b" " + body + b" ", spaced, b" " + body.translate(_SHAPES) + b" "))
+    base, more = 1 << WORD_BITS, max(ORDERS + SHAPE_ORDERS) - 1
+    for start, end in parts(spaced):
+        n, held = end - start, slice(start, end + more)
+        yield np.concatenate([
+            word_hashes(plain[start:end], WORD_BITS), grams(raw[held], ORDERS, GRAM_BITS, n) + base,
+            grams(shape[held], SHAPE_ORDERS, GRAM_BITS, n) + (base + (len(ORDERS) << GRAM_BITS))])
 
 
 _WORDS = bytes(i + 32 if 65 <= i <= 90 else 32 if 9 <= i <= 13 else i for i in range(256))
@@ -47,8 +57,11 @@ class Model:
         self.value, self.bias = value.astype(np.float32), bias
 
     def score(self, text: str | None) -> float:
-        found = features(text)
-        logit = self.bias + (float(self.value.take(found).sum(dtype=np.float64)) / len(found) if len(found) else 0.0)
+        total, n = 0.0, 0
+        for part in features(text):
+            total += float(self.value.take(part).sum(dtype=np.float64))
+            n += len(part)
+        logit = self.bias + (total / n if n else 0.0)
         return float(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
 
 
@@ -64,7 +77,7 @@ def train(texts: list[str | None], marks: list[int], weights: list[float], seed:
     bias = np.log(np.array(mass, np.float32) / sum(mass))
     bags = []
     for text in texts:
-        ids, counts = np.unique(features(text), return_counts=True)
+        ids, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *features(text)]), return_counts=True)
         bags.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
     scale = len(weights) / sum(weights)
     steps, step = EPOCHS * len(bags), 0
@@ -100,7 +113,7 @@ def fit(docs: DataFrame, marks: DataFrame, most: int = SAMPLE) -> Model:
     rates = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count("*").alias("n")).collect()}  # two rows
     # the sample is drawn before texts are met, so that only its bounded number of identifiers is sent to them
     drawn = docs.sparkSession.createDataFrame([(r["doc_id"], r["quality"]) for r in bounded_sample(labelled, "quality", most)], "doc_id long, quality int")
-    met = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    met = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = sorted(met.collect(), key=lambda r: (r["doc_id"], r["quality"], r["text"]))
     drawn = {k: sum(r["quality"] == k for r in rows) for k in (0, 1)}
     return train([r["text"] for r in rows], [r["quality"] for r in rows], [rates[r["quality"]] / drawn[r["quality"]] for r in rows])
