@@ -55,7 +55,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
 
     def shape(frame: DataFrame) -> tuple:
-        return tuple(frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
+        own = F.xxhash64("u", "v")
+        return tuple(frame.agg(F.count("*"), F.bit_xor(own), F.sum(own.cast("decimal(38,0)"))).first())
 
     current = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = shape(current)

@@ -1,11 +1,12 @@
 """Media columns: texts stored losslessly as TIFF files, and TIFF files read into one row per page.
 
-A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are grey samples in rows of 64. The first
-row is a PackBits strip, the last an LZW strip, the rows between are deflated tiles with horizontal
+A text's UTF-8 bytes, padded with zeros to a positive multiple of 64, are grey samples in rows of 64. The last eight
+rows are an LZW strip, the first eight of the others a PackBits strip, those between are deflated tiles with horizontal
 differencing, each a page of its own (fewer rows have fewer pages).
 
-Defined cases: null and empty texts are one row of zeros; equal texts give equal files; repeated rows give equal
-rows; a null or damaged file gives one page row with ``error`` set in ``page_rows``.
+Defined cases: null and empty texts are one row of zeros; texts of any length are stored whole; equal texts give equal files; repeated rows give equal
+rows; rows with a null ``doc_id`` keep it; a null or damaged file gives one page row with ``error`` set in ``page_rows``; an empty table gives an empty
+result; columns other than ``doc_id`` and ``text`` (``id`` and ``media``) are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from . import tiff
 from .common import arrow_schema, batch_map
 
-ROW, SIDE = 64, 64
+ROW, SIDE, STRIP = 64, 64, 8
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -29,9 +30,10 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 def to_tiff(payload: bytes) -> bytes:
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    pages = [(rows[:1], tiff.PACKBITS, 1, 0)] if len(rows) > 1 else []
-    pages += [(rows[1:-1], tiff.DEFLATE, 2, SIDE)] if len(rows) > 2 else []
-    return tiff.write([*pages, (rows[-1:], tiff.LZW, 1, 0)])
+    rest, last = rows[:-STRIP], rows[-STRIP:]
+    pages = [(rest[:STRIP], tiff.PACKBITS, 1, 0)] if len(rest) else []
+    pages += [(rest[STRIP:], tiff.DEFLATE, 2, SIDE)] if len(rest) > STRIP else []
+    return tiff.write([*pages, (last, tiff.LZW, 1, 0)])
 
 
 def feature(pages: list[tiff.Page]) -> str:

@@ -1,7 +1,8 @@
 """TIFF pages: a writer for 8-bit samples and a reader that walks image directories.
 
-The reader takes either byte order, strips and tiles, no compression, PackBits, LZW or deflate, and undoes
-horizontal differencing; it gives one page per directory. Damaged input raises ``ValueError``.
+The reader takes either byte order, strips and tiles, no compression, PackBits, LZW or deflate, both fill orders, samples
+together or in planes, and undoes horizontal differencing; it gives one page per directory. Damaged input, and layouts that it does not
+know (other sample sizes and formats, pages of more than ``MOST_SAMPLES``), raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ import numpy as np
 # Fixed values of the format: tags, field types, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
+FILL_ORDER, PLANES, SAMPLE_FORMAT = 266, 284, 339
 TYPES = {1: "B", 3: "H", 4: "I"}
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 
+MOST_SAMPLES = 1 << 28
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
 
 def packbits_encode(data: bytes) -> bytes:
     out, i, n = bytearray(), 0, len(data)
@@ -107,7 +112,7 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if code == 256:
             table, width, last = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
             continue
-        if not table or code > len(table):
+        if not table or code > len(table) or code == len(table) and not last:
             raise ValueError("LZW code out of range")
         entry = table[code] if code < len(table) else last + last[:1]
         out += entry
@@ -129,7 +134,7 @@ def _unpack(scheme: int, data: bytes, size: int) -> bytes:
     elif scheme == LZW:
         out = lzw_decode(data, size)
     elif scheme in (DEFLATE, DEFLATE_OLD):
-        out = zlib.decompress(data)
+        out = zlib.decompressobj().decompress(data, size)
     elif scheme == PACKBITS:
         out = packbits_decode(data, size)
     else:
@@ -208,6 +213,8 @@ def read(data: bytes) -> list[Page]:
                     if struct.calcsize(form) > 4:
                         place = struct.unpack_from(end + "I", data, place)[0]
                     tags[tag] = struct.unpack_from(form, data, place)
+            if not all(tags.values()):
+                raise ValueError("a tag has no values")
             pages.append(_page(data, tags, end))
             at = struct.unpack_from(end + "I", data, at + 2 + 12 * n)[0]
         return pages
@@ -219,8 +226,12 @@ def _page(data: bytes, tags: dict, end: str) -> Page:
     width, height = tags[WIDTH][0], tags[HEIGHT][0]
     samples, bits = tags.get(SAMPLES, (1,))[0], tags.get(BITS, (1,))[0]
     scheme, predictor = tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0]
-    if bits not in (8, 16):
-        raise ValueError(f"{bits} bits a sample")
+    tags.setdefault(BITS, (1,))
+    fill, planes = tags.get(FILL_ORDER, (1,))[0], tags.get(PLANES, (1,))[0]
+    if bits not in (8, 16) or len(set(tags[BITS])) > 1 or set(tags.get(SAMPLE_FORMAT, (1,))) - {1, 4}:
+        raise ValueError("samples are not unsigned, or not of 8 or 16 bits")
+    if fill not in (1, 2) or planes not in (1, 2) or predictor not in (1, 2):
+        raise ValueError(f"unknown fill order {fill}, planes {planes} or predictor {predictor}")
     kind = np.dtype(np.uint8 if bits == 8 else end + "u2")
     tiled = TILE_OFFSETS in tags
     if tiled:
@@ -229,17 +240,21 @@ def _page(data: bytes, tags: dict, end: str) -> Page:
     else:
         across, down = width, min(tags.get(ROWS_PER_STRIP, (height,))[0], height)
         offsets, sizes = tags[STRIP_OFFSETS], tags[STRIP_BYTES]
-    cols = -(-width // across)
-    rows = -(-height // down)
+    if not min(width, height, samples, across, down):
+        raise ValueError("a page, strip or tile has no samples")
+    cols, rows = -(-width // across), -(-height // down)
+    deep, layers = (1, samples) if planes == 2 else (samples, 1)
+    if rows * down * cols * across * samples > MOST_SAMPLES or len(offsets) != rows * cols * layers or len(sizes) != len(offsets):
+        raise ValueError("a page is too large or does not have all its strips or tiles")
     whole = np.zeros((rows * down, cols * across, samples), kind.newbyteorder("="))
     for k, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
-        top, left = k // cols * down, k % cols * across
+        layer, at = divmod(k, rows * cols)
+        top, left = at // cols * down, at % cols * across
         lines = down if tiled else min(down, height - top)
-        raw = _unpack(scheme, data[offset : offset + size], lines * across * samples * kind.itemsize)
-        part = np.frombuffer(raw, kind).reshape(lines, across, samples).astype(whole.dtype)
+        coded = data[offset : offset + size]
+        raw = _unpack(scheme, coded.translate(_REVERSED) if fill == 2 else coded, lines * across * deep * kind.itemsize)
+        part = np.frombuffer(raw, kind).reshape(lines, across, deep).astype(whole.dtype)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=whole.dtype)
-        elif predictor != 1:
-            raise ValueError(f"unknown predictor {predictor}")
-        whole[top : top + lines, left : left + across] = part
+        whole[top : top + lines, left : left + across, layer : layer + deep] = part
     return Page(width, height, samples, bits, scheme, predictor, tiled, whole[:height, :width])

@@ -264,12 +264,74 @@ def test_tiff_big_endian_and_damage():
             tiff.read(bad)
 
 
+def directory(tags, data=b"", end="<"):
+    """A file of one directory whose values all stand in their entries, and ``data`` from byte 8 on."""
+    ifd = struct.pack(end + "H", len(tags)) + b"".join(struct.pack(end + "HHI", t, 4, len(v)) + (struct.pack(end + "I", *v) if len(v) == 1 else bytes(4)) for t, v in sorted(tags.items())) + bytes(4)
+    return (b"II*\0" if end == "<" else b"MM\0*") + struct.pack(end + "I", 8 + len(data)) + data + ifd
+
+
+PLAIN = {256: [2], 257: [2], 258: [8], 259: [1], 273: [8], 277: [1], 278: [2], 279: [4]}
+
+
+@pytest.mark.parametrize("change", [{278: [0]}, {256: [0]}, {257: [0]}, {277: [0]}, {258: []}, {273: []}, {258: [7]}, {339: [3]}, {284: [3]}, {266: [9]}, {317: [3]}, {259: [99]}, {278: [1]},
+                                    {279: [3]}, {256: [1 << 31], 257: [1 << 31]}, {322: [0], 323: [16], 324: [8], 325: [4]}, {322: [16], 323: [0], 324: [8], 325: [4]}])
+def test_unknown_or_damaged_layouts_are_value_errors(change):
+    assert tiff.read(directory(PLAIN, b"abcd"))[0].pixels.tobytes() == b"abcd"
+    with pytest.raises(ValueError):
+        tiff.read(directory(PLAIN | change, b"abcd"))
+
+
+@given(st.binary(max_size=60), st.integers(0, 200), st.integers(0, 255))
+def test_any_damage_is_a_value_error_or_a_page(noise, at, byte):
+    whole = bytearray(tiff.write([(np.arange(128, dtype=np.uint8).reshape(2, 64), tiff.LZW, 2, 0)]))
+    whole[at % len(whole)] = byte
+    for data in (noise, b"II*\0" + noise, bytes(whole)):
+        try:
+            tiff.read(data)
+        except ValueError:
+            pass
+
+
+def test_fill_order_and_planes():
+    flip = bytes(int(f"{b:08b}"[::-1], 2) for b in b"abcd")
+    assert tiff.read(directory(PLAIN | {266: [2]}, flip))[0].pixels.tobytes() == b"abcd"
+    # two planes of one strip each, whose places stand behind the samples
+    data = b"abcdABCD" + struct.pack("<4I", 8, 12, 4, 4)
+    tags = {256: (1, 2), 257: (1, 2), 258: (1, 8), 259: (1, 1), 273: (2, 16), 277: (1, 2), 278: (1, 2), 279: (2, 24), 284: (1, 2)}
+    ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, n, v) for t, (n, v) in tags.items()) + bytes(4)
+    page = tiff.read(b"II*\0" + struct.pack("<I", 32) + data + ifd)[0]
+    assert page.pixels.tolist() == [[[97, 65], [98, 66]], [[99, 67], [100, 68]]]
+
+
+def test_wide_lzw_codes_and_a_table_that_fills_up():
+    raw = random.Random(2).randbytes(9000) + b"ab" * 4000
+    assert tiff.lzw_decode(tiff.lzw_encode(raw), len(raw)) == raw
+    # a code of the next entry right after a clear code refers to nothing
+    with pytest.raises(ValueError):
+        tiff.lzw_decode(int("100000000" + "100000010" + "1" * 6, 2).to_bytes(3, "big"), 4)
+
+
+def plain_feature(pages):
+    samples = [int(v) for p in pages for v in p]
+    n, mean = len(samples), sum(samples) / len(samples)
+    top = sorted(range(256), key=lambda v: (-samples.count(v), v))[:4]
+    shapes = "+".join(f"64x{len(p) // 64}" for p in pages)
+    return f"pages={shapes};mean={mean:.4f};var={sum(v * v for v in samples) / n - mean**2:.4f};top={','.join(map(str, top))}"
+
+
 def test_media(spark, docs, rows, none):
     got = by_id(media.digests(docs))
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.encode(docs).collect()}
     for i, text in rows:
         raw = (text or "").encode()
         padded = raw + bytes(-len(raw) % 64) or bytes(64)
         assert (got[i]["n_bytes"], got[i]["payload_bytes"], got[i]["payload_sha256"], got[i]["tail_crc32"]) == (len(raw), len(padded), SHA(padded), zlib.crc32(padded[-64:]))
+        assert (got[i]["media_bytes"], got[i]["media_sha256"]) == (len(files[i]), SHA(files[i]))
+        cut = max(0, len(padded) - 512)
+        parts = [p for p in (padded[: min(512, cut)], padded[512:cut], padded[cut:]) if p]
+        assert got[i]["feature"] == plain_feature(parts) and got[i]["n_pages"] == len(parts)
+        schemes = [p.compression for p in tiff.read(files[i])]
+        assert schemes == [tiff.PACKBITS, tiff.DEFLATE, tiff.LZW][: len(parts) - 1] + [tiff.LZW]
     files = media.encode(docs).withColumnRenamed("doc_id", "id")
     assert media.page_rows(files).count() == sum(got[i]["n_pages"] for i, _ in rows)
     assert media.page_rows(spark.createDataFrame([(1, None)], "id long, media binary")).first()["error"]
@@ -464,6 +526,82 @@ def test_a_radius_that_buckets_do_not_cover_is_refused(spark):
         simhash.links(spark.createDataFrame([(0, 0), (15, 1)], "fp long, node long"), 4)
 
 
+def near_copies(rng, n):
+    """Texts of about 100 words with a few words changed, and unrelated ones."""
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    out = []
+    for _ in range(n):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 140))]
+        for _ in range(rng.randint(1, 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 2)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            out.append(" ".join(copy))
+    return out
+
+
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("rows_of_tile", [simhash.TILE_ROWS, 2])
+def test_similar_texts(spark, docs, rows, none, monkeypatch, rows_of_tile):
+    monkeypatch.setattr(simhash, "TILE_ROWS", rows_of_tile)
+    monkeypatch.setattr(simhash, "MOST_TILES", 4)
+    texts = [t for _, t in dict(rows).items()] + near_copies(random.Random(9), 60)
+    own = [simhash.wide_fingerprint(t, 5) for t in texts]
+    radius = simhash.wide_radius(0.8)
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if set(own[i][1].tolist()) & set(own[j][1].tolist())
+              and sum((int(a) ^ int(b)).bit_count() for a, b in zip(own[i][0], own[j][0], strict=True)) <= radius]
+    want = roots(len(texts), linked)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+    assert got == dict(enumerate(want))
+    sets = [five_words(t) for t in texts]
+    alike = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0 for i in range(len(texts)) for j in range(i)]
+    same = [want[i] == want[j] for i in range(len(texts)) for j in range(i)]
+    assert sum(a >= 0.8 for a in alike) > 40 and all(s for a, s in zip(alike, same, strict=True) if a >= 0.8)
+    assert not any(s for a, s in zip(alike, same, strict=True) if a < 0.4)
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and kept.count() >= len({want[i] for i, _ in rows})
+    assert simhash.similar(none).count() == simhash.representatives(none).count() == 0
+
+
+def test_a_wide_fingerprint_has_the_majority_of_each_mix():
+    text = "One two  three four\tfive six seven ONE two three four five"
+    words = text.lower().split()
+    values = sorted({xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(len(words) - 4)})
+
+    def mixed(x, salt):
+        x = (x + salt * 0x9E3779B97F4A7C15) % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    bits, keys = simhash.wide_fingerprint(text, 5)
+    for k, got in enumerate(bits.tolist()):
+        own = [mixed(v, 2 + k) for v in values]
+        assert got == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
+    factors = [mixed(i, 1) | 1 for i in range(simhash.BANDS * simhash.BAND_ROWS)]
+    least = [min(mixed(v, 9) * f % 2**64 for v in values) for f in factors]
+    for band, got in enumerate(keys.tolist()):
+        key = band
+        for x in least[simhash.BAND_ROWS * band : simhash.BAND_ROWS * (band + 1)]:
+            key = mixed(key ^ x, 5)
+        assert got == key
+
+
+def test_links_through_rows_without_an_id(spark):
+    """Three texts in a chain, the middle one without an id, meet through it; bits count as ever."""
+    base = 0x0123456789ABCDEF
+    df = spark.createDataFrame([(f, f) for f in (base, base ^ 7, base ^ 7 ^ 0x700)], "fp long, node long")
+    edges = simhash.links(df)
+    nodes = spark.createDataFrame([(base, 1), (base ^ 7, None), (base ^ 7 ^ 0x700, 3)], "node long, doc_id long")
+    found = simhash._with_components(nodes, nodes.select("node", "doc_id"), edges).select("node", "component_id").collect()
+    assert {r["component_id"] for r in found} == {1} and len(found) == 3
+
+
 def test_representatives_keep_rows_without_an_id(spark):
     docs = spark.createDataFrame([(None, "a text that no other row has at all"), (1, "quite another one with words"), (2, "quite another one with words")], "doc_id long, text string")
     assert sorted(r["text"][:5] for r in simhash.representatives(docs).collect()) == ["a tex", "quite"]
