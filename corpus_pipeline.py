@@ -27,7 +27,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest ``doc_id`` stays."""
+    """Of each group of texts that share about four fifths of their five-word shingles the smallest ``doc_id`` stays."""
     return simhash.representatives(docs)
 
 
