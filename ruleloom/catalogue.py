@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.functions.scalar import items_text, kl_bernoulli, powerset, uniform
+from ruleloom.functions.scalar import items_text, kl_bernoulli, uniform
 from ruleloom.operators import bicluster, evaluation, graph, rules, sampling, sets
 from ruleloom.plans import greedy
 from ruleloom.sources import relations
 from ruleloom.sources.relations import docs
-from ruleloom.sources.scratch import stored
+from ruleloom.sources.scratch import release, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,13 +58,17 @@ def query(sql: str | None = None):
     return add
 
 
-def _space(spark: SparkSession, sf_dir: str, cache: dict = {}):  # noqa: B006  kept for the session
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in cache:
+_SPACES = relations.Kept(lambda kept: release(*kept[1:]))
+
+
+def _space(spark: SparkSession, sf_dir: str):
+    """The documents' relations with the labels' sample space and the rows that contain its sets; kept until the files change."""
+    def make():
         d = docs(spark, sf_dir)
         space = stored(graph.sample_space(d.y, d.vocab_y, LEAST))
-        cache[key] = d, space, stored(sets.containment_division(d.y, space))
-    return cache[key]
+        return d, space, stored(sets.containment_division(d.y, space))
+
+    return _SPACES.get(spark, [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")], (sf_dir,), make)
 
 
 def _covered(d) -> DataFrame:
@@ -118,9 +122,9 @@ def label_frequency(spark, sf_dir):
     return sets.frequency(d.y).join(d.vocab_y, "item").select("name", "freq")
 
 
-@query(DOCS + " SELECT item, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS rids FROM y GROUP BY 1")
+@query(DOCS + " SELECT item, rid // 1024 AS block, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS rids FROM y GROUP BY 1, 2")
 def inverted_index(spark, sf_dir):
-    return sets.inverted_index(docs(spark, sf_dir).y).select("item", F.array_join(F.transform("rids", lambda r: r.cast("string")), ",").alias("rids"))
+    return sets.inverted_index(docs(spark, sf_dir).y, 1024).select("item", "block", F.array_join(F.transform("rids", lambda r: r.cast("string")), ",").alias("rids"))
 
 
 @query(DOCS + " SELECT rid, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) AS items, count(*) AS n FROM x GROUP BY 1")
@@ -154,10 +158,16 @@ def onehot_categories(spark, sf_dir):
     return relations.category_cells(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", ["c_mktsegment", "c_nationkey"])
 
 
-@query("SELECT o_orderkey AS rid, 'o_orderstatus=' || o_orderstatus AS name, 'feature' AS kind FROM orders WHERE (SELECT count(DISTINCT o_orderstatus) FROM orders) BETWEEN 3 AND 14 UNION ALL SELECT o_orderkey, 'o_orderpriority=' || o_orderpriority, 'feature' FROM orders WHERE (SELECT count(DISTINCT o_orderpriority) FROM orders) BETWEEN 3 AND 14 UNION ALL SELECT o_orderkey, 'o_orderstatus=' || o_orderstatus, 'label' FROM orders WHERE (SELECT count(DISTINCT o_orderstatus) FROM orders) < 3")
+def _classified_sql(table: str, key: str, columns: list[str]) -> str:
+    """Every column as a feature (3 to 14 distinct values) or a label (fewer)."""
+    return " UNION ALL ".join(
+        f"SELECT DISTINCT {key} AS rid, '{c}=' || {c} AS name, CASE WHEN d < 3 THEN 'label' ELSE 'feature' END AS kind "
+        f"FROM {table}, (SELECT count(DISTINCT {c}) AS d FROM {table}) WHERE d < 15 AND {c} IS NOT NULL" for c in columns)
+
+
+@query(_classified_sql("orders", "o_orderkey", ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]))
 def csv_classification(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey")
-    x, y = relations.csv_cells(table, "o_orderkey")
+    x, y = relations.csv_cells(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderkey")
     return x.withColumn("kind", F.lit("feature")).unionByName(y.withColumn("kind", F.lit("label")))
 
 
@@ -322,14 +332,16 @@ def draw_inverse_cdf(spark, sf_dir):
     return sampling.draw_inverse(sampling.support_distribution(assign, space, area=True).select("sid", "w"), 2000, 5, "sid")
 
 
-LINES = """s AS (SELECT l_orderkey AS rid, list_sort(list_distinct(list(CAST(l_partkey % 6 AS INT)))) AS items FROM lineitem GROUP BY 1),
-m AS (SELECT CAST(i AS INT) AS mask, [b FOR b IN range(6) IF (i >> b) & 1 = 1] AS items FROM range(1, 64) t(i)),
-a AS (SELECT rid, array_to_string(m.items, ',') AS items, len(m.items) AS len FROM s JOIN m ON list_has_all(s.items, m.items))"""
+LINES = """s AS (SELECT l_orderkey AS rid, list_sort(list_distinct(list(CAST(l_partkey % 12 AS INT)))) AS items FROM lineitem GROUP BY 1),
+m AS (SELECT rid, items, unnest(range(1, CAST(pow(2, len(items)) AS BIGINT))) AS mask FROM s),
+p AS (SELECT rid, [items[b + 1] FOR b IN range(len(items)) IF (mask >> b) & 1 = 1] AS own FROM m),
+a AS (SELECT rid, array_to_string(own, ',') AS items, len(own) AS len FROM p)"""
 
 
 def _orders(spark, sf_dir):
+    """Parts of orders by their key's remainder; an order has up to seven of twelve."""
     table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return sets.rows_as_sets(table.select(F.col("l_orderkey").alias("rid"), (F.col("l_partkey") % 6).cast("int").alias("item")))
+    return sets.rows_as_sets(table.select(F.col("l_orderkey").alias("rid"), (F.col("l_partkey") % 12).cast("int").alias("item")))
 
 
 @query(LINES + ", c AS (SELECT items, count(*) AS n FROM a GROUP BY 1) SELECT items, CAST(n AS DOUBLE) AS w, round(n / sum(n) OVER (), 6) AS proba FROM c")
@@ -377,25 +389,27 @@ def boley_pair_distribution(spark, sf_dir):
     return _rounded(sampling.pair_distribution(rows, rows.where("rid < 8"), full=True), "pos", "neg")
 
 
-@query(PAIR + ", t0 AS (SELECT i AS t FROM range(64) a(i)), e AS (SELECT pos, neg, p, q, unnest(p) AS item FROM p WHERE d > 0), own AS (SELECT pos, neg, t, list(item) AS own FROM e, t0 WHERE NOT list_contains(q, item) AND "
-       + U32.format("'9|' || pos || '|' || neg || '|' || t || '|' || item") + " < 0.5 GROUP BY 1, 2, 3), o AS (SELECT pos, neg, arg_min(own, t) AS own FROM own GROUP BY 1, 2), b AS (SELECT pos, neg, list(item) AS b FROM e WHERE list_contains(q, item) AND "
-       + U32.format("'9|' || pos || '|' || neg || '|both|' || item") + " < 0.5 GROUP BY 1, 2) SELECT pos, neg, array_to_string(list_sort(list_concat(own, coalesce(b, []))), ',') AS pattern FROM o LEFT JOIN b USING (pos, neg)")
+#: A subset that is not empty: its first item by a truncated geometric draw, the later ones by halves.
+FILLED = """CASE WHEN len({own}) > 0 THEN list_concat([{own}[{first}]], list_filter({own}[{first} + 1:], lambda i: {u} < 0.5)) END"""
+FIRST = "CAST(least(floor(-log2(1 - {u} * (1 - pow(2, -len({own}))))) + 1, len({own})) AS INT)"
+
+
+@query(PAIR + ", o AS (SELECT *, list_sort(list_filter(p, lambda i: NOT list_contains(q, i))) AS own, list_intersect(p, q) AS common FROM p WHERE d > 0), fi AS (SELECT *, "
+       + FIRST.format(u=U32.format("'9|' || pos || '|' || neg || '|first'"), own="own") + " AS first FROM o), re AS (SELECT pos, neg, "
+       + FILLED.format(own="own", first="first", u=U32.format("'9|' || pos || '|' || neg || '|' || i")) + " AS own, list_filter(common, lambda i: "
+       + U32.format("'9|' || pos || '|' || neg || '|both|' || i") + " < 0.5) AS b FROM fi) SELECT pos, neg, array_to_string(list_sort(list_concat(own, b)), ',') AS pattern FROM re")
 def pair_pattern_draw(spark, sf_dir):
+    """All pairs of nations that differ: 25 rows, an input of fixed size."""
     rows = _nations(spark, sf_dir)
-    pairs = rows.where("rid < 8").select(F.col("rid").alias("pos"), F.col("items").alias("p")).join(rows.where("rid >= 8").select(F.col("rid").alias("neg"), F.col("items").alias("q")), F.size(F.array_except("p", "q")) > 0)
+    pos = rows.where("rid < 8").select(F.col("rid").alias("pos"), F.col("items").alias("p"))
+    pairs = pos.join(rows.where("rid >= 8").select(F.col("rid").alias("neg"), F.col("items").alias("q")), F.size(F.array_except("p", "q")) > 0)
     return sampling.pair_patterns(pairs, 9, "pos", "neg").select("pos", "neg", items_text("pattern").alias("pattern"))
 
 
-@query()
-def greedy_tail_draw(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return sampling.greedy_tails(sets.rows_as_sets(d.y), graph.cooccurrence(d.y, d.y), 200, 11).select("draw", "rid", items_text().alias("items"))
-
-
-@query(LINES + " SELECT rid, CASE WHEN rid % 5 = 0 THEN CAST(len(items) AS DOUBLE) ELSE 1 END AS tight, round(sqrt(CASE WHEN rid % 5 = 0 THEN len(items) ELSE 6 - len(items) END), 6) AS original FROM s")
+@query(LINES + " SELECT rid, CASE WHEN rid % 5 = 0 THEN CAST(len(items) AS DOUBLE) ELSE 1 END AS tight, round(sqrt(CASE WHEN rid % 5 = 0 THEN len(items) ELSE 12 - len(items) END), 6) AS original FROM s")
 def proposal_weights(spark, sf_dir):
     rows = _orders(spark, sf_dir)
-    return sampling.proposal_weights(rows, rows.where("rid % 5 = 0"), 6).select("rid", "tight", F.round("original", 6).alias("original"))
+    return sampling.proposal_weights(rows, rows.where("rid % 5 = 0"), 12).select("rid", "tight", F.round("original", 6).alias("original"))
 
 
 @query(LINES + " SELECT rid, round(len(items) * ln(2), 6) AS log_freq, round(ln(len(items)) + (len(items) - 1) * ln(2), 6) AS log_area FROM s")
@@ -405,27 +419,29 @@ def row_pattern_weights(spark, sf_dir):
     return both.select("rid", F.round("log_w", 6).alias("log_freq"), F.round("log_area", 6).alias("log_area"))
 
 
-@query("s AS (SELECT user_id AS chain, CAST(event_id AS INT) AS step, CAST(event_id % 13 AS INT) AS pos, CAST(user_id % 17 AS INT) AS neg, CAST(event_id % 5 + 1 AS DOUBLE) AS w, CAST(event_id % 7 + 5 AS DOUBLE) AS bound, "
-       + U32.format("'3|' || event_id") + """ AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+@query(NATIONS.format(8) + """, r AS (SELECT rid, list(item) AS items FROM f GROUP BY 1),
+e AS (SELECT user_id AS chain, event_id, CAST(user_id % 25 AS INT) AS pos, CAST(event_id * 7 % 25 AS INT) AS neg FROM events),
+s AS (SELECT chain, CAST(event_id AS INT) AS step, pos, neg, CAST(coalesce(len(list_filter(a.items, lambda i: NOT list_contains(coalesce(b.items, []), i))), 0) AS DOUBLE) AS w,
+  CAST(greatest(coalesce(len(a.items), 0), 1) AS DOUBLE) AS bound, """
+       + U32.format("'3|' || event_id") + """ AS u, row_number() OVER (PARTITION BY chain ORDER BY event_id) AS k FROM e LEFT JOIN r a ON a.rid = pos LEFT JOIN r b ON b.rid = neg),
 fold(chain, k, step, pos, neg, w, bound, ratio, accepted) AS (SELECT DISTINCT chain, CAST(0 AS BIGINT), 0, 0, 0, CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), false FROM s UNION ALL
   SELECT chain, k, step, pos, neg, CASE WHEN u < ratio THEN w ELSE old_w END, CASE WHEN u < ratio THEN bound ELSE old_bound END, ratio, u < ratio
   FROM (SELECT s.*, o.w AS old_w, o.bound AS old_bound, s.w * o.bound / (s.bound * o.w) AS ratio FROM fold o JOIN s ON s.chain = o.chain AND s.k = o.k + 1))
 SELECT chain, step, pos, neg, round(ratio, 6) AS ratio, accepted FROM fold WHERE k > 0""")
 def cftp_trace(spark, sf_dir):
-    """One chain per user over all events."""
+    """One chain per user over all events: candidates are pairs of nations, weighted by the items that only the first has, bounded by all its items."""
+    rows = _nations(spark, sf_dir)
     steps = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("user_id").alias("chain"), F.col("event_id").cast("int").alias("step"), (F.col("event_id") % 13).cast("int").alias("pos"), (F.col("user_id") % 17).cast("int").alias("neg"),
-        (F.col("event_id") % 5 + 1).alias("w"), (F.col("event_id") % 7 + 5).alias("bound"), uniform(F.lit(3), F.col("event_id")).alias("u"))
+        F.col("user_id").alias("chain"), "event_id", (F.col("user_id") % 25).cast("int").alias("pos"), (F.col("event_id") * 7 % 25).cast("int").alias("neg"))
+    # 25 rows
+    steps = steps.join(F.broadcast(rows.select(F.col("rid").alias("pos"), F.col("items").alias("p"))), "pos", "left")
+    steps = steps.join(F.broadcast(rows.select(F.col("rid").alias("neg"), F.col("items").alias("q"))), "neg", "left")
+    none = F.array().cast("array<int>")
+    steps = steps.select("chain", F.col("event_id").cast("int").alias("step"), "pos", "neg", F.size(F.array_except(F.coalesce("p", none), F.coalesce("q", none))).alias("w"),
+                         F.greatest(F.size(F.coalesce("p", none)), F.lit(1)).alias("bound"), uniform(F.lit(3), F.col("event_id")).alias("u"))
     return sampling.chain_trace(steps, "chain").withColumn("ratio", F.round("ratio", 6))
 
 
-@query()
-def random_cliques(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    edges = graph.confidence_graph(d.x)
-    return graph.walk_cliques(edges, d.vocab_x.select(F.col("item").alias("id"))).select("start", items_text().alias("items"))
-
-
 @query(TOP + ", a AS (SELECT rule_id, count(*) AS a FROM cells GROUP BY 1), s AS (SELECT p.rule_id AS r1, q.rule_id AS r2, count(*) AS i FROM cells p JOIN cells q USING (rid, item) WHERE p.rule_id < q.rule_id GROUP BY 1, 2) SELECT p.rule_id AS r1, q.rule_id AS r2, round(1 - coalesce(i / (p.a + q.a - i), 0), 6) AS distance FROM a p JOIN a q ON p.rule_id < q.rule_id LEFT JOIN s ON r1 = p.rule_id AND r2 = q.rule_id")
 def rule_distance(spark, sf_dir):
     d, top = docs(spark, sf_dir), _top(spark, sf_dir, 20)
@@ -548,15 +564,23 @@ def row_skew(spark, sf_dir):
     return sampling.normalised(weights).select("rid", F.round(F.col("proba") * 1e6, 4).alias("share"))
 
 
-@query("SELECT CAST(i AS INT) AS p, CAST(j AS INT) AS q, round(CASE WHEN i <= j THEN 0 ELSE i / 50 * ln(i / j) + CASE WHEN i = 50 THEN 0 ELSE (1 - i / 50) * ln((1 - i / 50) / (1 - j / 50)) END END, 6) AS kl FROM range(0, 51) a(i), range(1, 50) b(j)")
-def kl_grid(spark, sf_dir):
-    grid = spark.range(51).select(F.col("id").cast("int").alias("p")).crossJoin(spark.range(1, 50).select(F.col("id").cast("int").alias("q")))
-    return grid.select("p", "q", F.round(kl_bernoulli(F.col("p") / F.lit(50.0), F.col("q") / F.lit(50.0)), 6).alias("kl"))
+@query("""a AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2),
+s AS (SELECT *, n / sum(n) OVER (PARTITION BY c_nationkey) AS p, sum(n) OVER (PARTITION BY c_mktsegment) / sum(n) OVER () AS q FROM a)
+SELECT c_nationkey, c_mktsegment, round(CASE WHEN p <= q THEN 0 ELSE p * ln(p / q) + CASE WHEN p >= 1 THEN 0 ELSE (1 - p) * ln((1 - p) / (1 - q)) END END, 6) AS kl FROM s""")
+def kl_segments(spark, sf_dir):
+    """How far a nation's share of each segment is above the share over all."""
+    from pyspark.sql import Window
+
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    # one row per nation and segment
+    total = lambda *c: F.sum("n").over(Window.partitionBy(*(c or [F.lit(0)])))
+    kl = kl_bernoulli(F.col("n") / total("c_nationkey"), total("c_mktsegment") / total())
+    return own.select("c_nationkey", "c_mktsegment", F.round(kl, 6).alias("kl"))
 
 
-@query("SELECT array_to_string([b FOR b IN range(6) IF (i >> b) & 1 = 1], ',') AS items FROM range(1, 64) t(i)")
+@query(LINES + " SELECT DISTINCT items FROM a")
 def powersets(spark, sf_dir):
-    return spark.range(1).select(F.explode(powerset(F.sequence(F.lit(0), F.lit(5)))).alias("items")).select(items_text().alias("items"))
+    return sampling.powerset_assign(_orders(spark, sf_dir)).select(items_text().alias("items")).distinct()
 
 
 VOTE = "m AS (SELECT DISTINCT l_orderkey % 9 AS cluster, l_orderkey AS rid FROM lineitem), cells AS (SELECT DISTINCT l_orderkey AS rid, CAST(l_suppkey % 12 AS INT) AS item FROM lineitem)"
@@ -588,11 +612,6 @@ def block_adjacency(spark, sf_dir):
     return bicluster.adjacency(found, found)
 
 
-@query("SELECT p / 20 AS p, q / 20 AS q, round(abs(p / 20 - 0.8) + abs(q / 20 - 0.1), 6) AS gap FROM range(1, 20) a(p), range(1, 20) b(q) WHERE p > q")
-def pq_grid(spark, sf_dir):
-    return bicluster.density_grid(0.8, 0.1, 20, spark).select("p", "q", F.round("gap", 6).alias("gap"))
-
-
 @query(TOP + ", a AS (SELECT rule_id, count(*) AS mc FROM cells GROUP BY 1) SELECT rule_id, mc, round(mc * kl, 6) AS v1, round(sqrt(mc) * kl, 6) AS v3, round(CASE WHEN mc > 0 THEN kl ELSE 0 END + 10 * mc, 6) AS submod FROM top JOIN stats USING (h, t) JOIN a USING (rule_id)")
 def greedy_first_step(spark, sf_dir):
     d, top = docs(spark, sf_dir), _top(spark, sf_dir, 20)
@@ -635,13 +654,6 @@ for _version, (_objective, _lambd) in GREEDY.items():
     ORACLES[f"greedy_{_version}"] = _greedy_sql(_objective, 4)
 
 
-@query()
-def prune_greedy_head(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    found = sampling.greedy_head(d.x, d.y.where("item = 0").select("rid"), None, d.n)
-    return spark.createDataFrame([(i, item) for i, item in enumerate(found)], "place int, item int")
-
-
 #: Queries whose work and output are linear in the cells, again over all tokens.
 LINEAR = (rule_stats, rule_topk, item_frequency, rows_as_sets, filter_rows_with_labels, dataset_shape, head_distribution)
 
@@ -655,8 +667,11 @@ for _fn in LINEAR:
     ORACLES[f"{_fn.__name__}_all"] = ORACLES[_fn.__name__].replace(" LIMIT 60)", ")", 1)
 
 
-@query(DOCS.replace(" LIMIT 60)", ")") + " SELECT name, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS rids FROM x JOIN vocab USING (item) GROUP BY 1")
+@query(DOCS.replace(" LIMIT 60)", ")") + " SELECT name, rid // 65536 AS block, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS rids FROM x JOIN vocab USING (item) GROUP BY 1, 2")
 def token_index_all(spark, sf_dir):
-    """Posting lists of all tokens."""
+    """Posting lists of all tokens, in blocks of row numbers."""
     d = docs(spark, sf_dir, None)
-    return sets.inverted_index(d.x).join(d.vocab_x, "item").select("name", F.array_join(F.transform("rids", lambda r: r.cast("string")), ",").alias("rids"))
+    return sets.inverted_index(d.x).join(d.vocab_x, "item").select("name", "block", F.array_join(F.transform("rids", lambda r: r.cast("string")), ",").alias("rids"))
+
+
+from ruleloom import catalogue_learning  # noqa: E402, F401  it registers more queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def forms_clique(edges: DataFrame, ids: list[int], node: int) -> bool:
     return edges.where(F.col("u").isin(ids) & (F.col("v") == node)).select("u").distinct().count() == len(set(ids))
 
 
-def probable_cliques(ids: DataFrame, edges: DataFrame, least: float, most_items: int = 64) -> DataFrame:
+def probable_cliques(ids: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """``items, len, proba`` of all node sets whose edge probabilities multiply to ``least`` or more; single nodes have 1.
 
     Level by level: a clique grows by a larger neighbour of its last node whose map of smaller neighbours supplies the
@@ -68,7 +70,7 @@ def probable_cliques(ids: DataFrame, edges: DataFrame, least: float, most_items:
     adjacent = kept.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("u", "proba"))).alias("adj"))
     level = ids.select(F.array("id").alias("items"), F.col("id").alias("last"), F.lit(1.0).alias("proba"))
     out = level
-    for _ in range(most_items - 1):
+    while True:  # a clique has no more items than there are nodes
         grown = level.join(kept.select(F.col("u").alias("last"), "v"), "last").join(adjacent, "v")
         factor = F.aggregate("items", F.col("proba"), lambda p, i: p * F.coalesce(F.element_at("adj", i), F.lit(0.0)))
         level = stored(grown.select(F.concat("items", F.array("v")).alias("items"), F.col("v").alias("last"), factor.alias("proba")).where(F.col("proba") >= least))
@@ -97,7 +99,7 @@ def walk_cliques(edges: DataFrame, starts: DataFrame, seed: int = 0) -> DataFram
     maps = stored(edges.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct("v", "proba"))).alias("adj")))
     level = starts.select(F.col("id").alias("start"), F.array("id").alias("items"), F.col("id").alias("u"))
     done = None
-    for step in range(64):
+    for step in itertools.count():  # a walk visits no node twice
         near = level.join(maps, "u", "left").withColumn("options", F.filter(F.map_entries("adj"), lambda e: (uniform(F.lit(seed), F.col("start"), F.lit(step), e["key"]) < e["value"]) & ~F.array_contains("items", e["key"])))
         scored = F.transform("options", lambda e: F.struct((F.ln(e["value"]) - F.ln(-F.ln(uniform(F.lit(seed), F.lit("c"), F.col("start"), F.lit(step), e["key"])))).alias("g"), e["key"].alias("v")))
         chosen = near.select("start", "items", F.array_max(scored)["v"].alias("v"))
@@ -109,4 +111,10 @@ def walk_cliques(edges: DataFrame, starts: DataFrame, seed: int = 0) -> DataFram
         if grown.isEmpty():
             return done
         level = grown
-    return done.unionByName(level.select("start", "items"))
+
+
+def neighbour_lists(together: DataFrame) -> DataFrame:
+    """``a, items, counts``: what occurs with each item, the rarest pair first, ties to the smaller item."""
+    pairs = F.array_sort(F.collect_list(F.struct("n", "b")))
+    own = together.where("a <> b").groupBy("a").agg(pairs.alias("p"))
+    return own.select("a", F.transform("p", lambda x: x["b"]).alias("items"), F.transform("p", lambda x: x["n"]).alias("counts"))

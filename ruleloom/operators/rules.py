@@ -15,6 +15,14 @@ def canonical(rules: DataFrame) -> DataFrame:
     return sort.groupBy("head", "tail").agg(F.min("rule_id").alias("rule_id")).select("rule_id", "head", "tail")
 
 
+def validated(rules: DataFrame, x: DataFrame, vocab_x: DataFrame, vocab_y: DataFrame) -> DataFrame:
+    """The rules whose head some row has; an item outside its vocabulary raises ``ValueError``."""
+    for side, vocab in (("head", vocab_x), ("tail", vocab_y)):
+        if not rules.select(F.explode(side).alias("item")).join(vocab, "item", "left_anti").isEmpty():
+            raise ValueError(f"a {side} has an item outside the vocabulary")
+    return rules.join(covers(x, rules, "head").select("rule_id").distinct(), "rule_id", "left_semi")
+
+
 def covers(cells: DataFrame, rules: DataFrame, side: str) -> DataFrame:
     """``rid, rule_id`` of rows that have all items of a side."""
     return containment_division(cells, rules.select(F.col("rule_id").alias("sid"), F.col(side).alias("items"))).withColumnRenamed("sid", "rule_id")
@@ -43,6 +51,13 @@ def statistics(rules: DataFrame, x: DataFrame, y: DataFrame, n: int) -> DataFram
     return _derived(counted, n)
 
 
+def evaluation_batch(rules: DataFrame, x: DataFrame, y: DataFrame, n: int) -> DataFrame:
+    """``statistics`` with each rule's F1 and its quality alone, divergence times label area."""
+    out = statistics(rules, x, y, n)
+    p, r = F.col("precision"), F.col("recall")
+    return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))).withColumn("quality", F.col("kl") * F.col("area"))
+
+
 def rectangles(rules: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
     """``rule_id, rid, item``: label cells of the rows where head and tail hold."""
     return covers(x, rules, "head").join(covers(y, rules, "tail"), ["rid", "rule_id"]).join(rules.select("rule_id", F.explode("tail").alias("item")), "rule_id").select("rule_id", "rid", "item")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.functions.scalar import bernoulli_subset, powerset, uniform
+from ruleloom.functions.scalar import bernoulli_subset, filled_subset, powerset, uniform
+from ruleloom.operators.sets import items_of
 from ruleloom.sources.scratch import stored
 
 
@@ -64,9 +65,17 @@ def head_distribution(assign: DataFrame, y: DataFrame, n_rows: int) -> DataFrame
     return w.withColumn("proba", F.col("w") / F.sum("w").over(Window.partitionBy("tail")))
 
 
+#: Pairs of rows that the distributions over pairs take.
+MOST_PAIRS = 50_000_000
+
+
 def pair_distribution(rows: DataFrame, target: DataFrame, full: bool = False) -> DataFrame:
     """``pos, neg, w, proba`` over positive and negative rows ``(rid, items)``: items only the positive has, or with
-    ``full`` the patterns only it contains. A small-input check; samplers use the closed forms."""
+    ``full`` the patterns only it contains. All pairs are met: a check for small inputs, more than ``MOST_PAIRS`` raise ``ValueError``;
+    samplers use the closed forms."""
+    n, n_pos = rows.count(), rows.join(target.select("rid"), "rid", "left_semi").count()
+    if n_pos * (n - n_pos) > MOST_PAIRS:
+        raise ValueError("too many pairs of rows")
     flag = rows.join(target.select("rid").withColumn("y", F.lit(True)), "rid", "left")
     pos = flag.where("y").select(F.col("rid").alias("pos"), F.col("items").alias("p"))
     neg = flag.where("y IS NULL").select(F.col("rid").alias("neg"), F.col("items").alias("q"))
@@ -135,17 +144,51 @@ def draw_rows(weights: DataFrame, draws: int, seed: int, key: str, buckets: int
     return picks.join(spans, "bucket").where("at >= lo AND at < hi").select("draw", key)
 
 
-def pair_patterns(pairs: DataFrame, seed: int, *key: str, attempts: int = 64) -> DataFrame:
-    """Adds ``pattern`` to ``pairs(p, q, *key)``: half of the items only ``p`` has, never none of them, and half of the shared ones.
-
-    An empty first part is drawn anew; of ``attempts`` draws the first that holds an item counts.
-    """
+def pair_patterns(pairs: DataFrame, seed: int, *key: str) -> DataFrame:
+    """Adds ``pattern`` to ``pairs(p, q, *key)``: half of the items only ``p`` has, never none of them, and half of the shared ones."""
     keys = [F.lit(seed), *map(F.col, key)]
-    tries = F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda t: F.filter(F.array_except("p", "q"), lambda i: uniform(*keys, t, i) < 0.5))
-    own = F.try_element_at(F.filter(tries, lambda s: F.size(s) > 0), F.lit(1))
+    own = filled_subset(F.array_sort(F.array_except("p", "q")), *keys)
     return pairs.withColumn("pattern", F.array_sort(F.concat(own, bernoulli_subset(F.array_intersect("p", "q"), *keys, F.lit("both")))))
 
 
+def pair_draws(x: DataFrame, target: DataFrame, rows: DataFrame, draws: int, seed: int, buckets: int = 1024) -> DataFrame:
+    """``draw, item, pos, neg``: pairs of a positive and a negative row in proportion to the number of items only the positive has.
+
+    A pair and one such item are drawn at once: the item in proportion to positives with it times negatives without it, then a
+    row of either sort. Rows are drawn by counts of hash buckets and inside a bucket, so no pair of rows is formed but those drawn.
+    """
+    at = (F.conv(F.substring(F.md5(F.col("rid").cast("string")), 1, 8), 16, 10).cast("long") % buckets).alias("bucket")
+    flag = rows.select("rid").join(target.select("rid").distinct().withColumn("y", F.lit(True)), "rid", "left").select("rid", F.coalesce("y", F.lit(False)).alias("y"), at)
+    flag = stored(flag)
+    held = x.join(flag, "rid")
+    n_neg = flag.where("NOT y").count()
+    by_item = held.groupBy("item").agg(F.count_if("y").alias("plus"), F.count_if(~F.col("y")).alias("minus"))
+    items = draw_inverse(by_item.select("item", (F.col("plus") * (F.lit(n_neg) - F.col("minus"))).cast("double").alias("w")), draws, seed, "item")
+    drawn = stored(items)
+
+    def chosen(side: str, cells: DataFrame, counts: DataFrame) -> DataFrame:
+        """A row of ``cells(item, bucket, rid)`` for each draw; ``counts(item, bucket, n)`` are the rows in each bucket."""
+        upto = F.sum("n").over(Window.partitionBy("item").orderBy("bucket"))
+        spans = counts.where("n > 0").withColumn("before", upto - F.col("n"))
+        total = counts.groupBy("item").agg(F.sum("n").alias("total"))
+        rank = drawn.join(total, "item").withColumn("rank", F.floor(uniform(F.lit(seed), F.lit(side), F.col("draw")) * F.col("total")))
+        place = rank.join(spans, "item").where("rank >= before AND rank < before + n").select("draw", "item", "bucket", (F.col("rank") - F.col("before")).alias("k"))
+        numbered = place.join(cells, ["item", "bucket"]) if side == "pos" else (
+            place.join(flag.where("NOT y").select("bucket", "rid"), "bucket").join(cells.select("item", "rid"), ["item", "rid"], "left_anti"))
+        order = F.row_number().over(Window.partitionBy("draw").orderBy("rid")) - 1
+        return numbered.withColumn("at", order).where("at = k").select("draw", F.col("rid").alias(side))
+
+    positive = held.where("y").select("item", "bucket", "rid")
+    negative = held.where("NOT y").select("item", "bucket", "rid")
+    having = negative.groupBy("item", "bucket").agg(F.count("*").alias("h"))
+    sizes = flag.where("NOT y").groupBy("bucket").agg(F.count("*").alias("size"))
+    # items that were drawn times a fixed number of buckets
+    every = drawn.select("item").distinct().crossJoin(F.broadcast(sizes))
+    lacking = every.join(having, ["item", "bucket"], "left").select("item", "bucket", (F.col("size") - F.coalesce("h", F.lit(0))).alias("n"))
+    pos = chosen("pos", positive, positive.groupBy("item", "bucket").agg(F.count("*").alias("n")))
+    return drawn.join(pos, "draw").join(chosen("neg", negative, lacking), "draw").select("draw", "item", "pos", "neg")
+
+
 def greedy_tails(rows: DataFrame, together: DataFrame, draws: int, seed: int) -> DataFrame:
     """``draw, rid, items``: tails grown inside rows ``(rid, items)`` drawn in proportion to the total size of their patterns.
 
@@ -154,7 +197,7 @@ def greedy_tails(rows: DataFrame, together: DataFrame, draws: int, seed: int) ->
     one join over all draws.
     """
     n = F.size("items")
-    weights = rows.where("size(items) > 0").select("rid", (n * F.pow(F.lit(2.0), n - 1)).alias("w"))
+    weights = row_pattern_weights(rows.where("size(items) > 0"), area=True)
     drawn = draw_rows(weights, draws, seed, "rid").join(rows, "rid").withColumn("items", F.array_sort("items"))
     level_at = uniform(F.lit(seed), F.lit("size"), F.col("draw")) * (n * (n - 1) / 2)
     size = F.size(F.filter(F.sequence(F.lit(1), n), lambda i: i * (i - 1) / 2 <= level_at)) + F.lit(1)
@@ -168,10 +211,28 @@ def greedy_tails(rows: DataFrame, together: DataFrame, draws: int, seed: int) ->
     return level.select("draw", "rid", F.array_sort("chosen").alias("items"))
 
 
-def draw_row_patterns(rows: DataFrame, draws: int, seed: int) -> DataFrame:
-    """``draw, items``: a weighted row, then each of its items with one half; empty outcomes redraw the row (here: are skipped)."""
-    weights = row_pattern_log_weights(rows).select("rid", F.exp(F.col("log_w")).alias("w"))
-    return draw_rows(weights, draws, seed, "rid").join(rows, "rid").select("draw", bernoulli_subset("items", F.lit(seed), F.col("draw")).alias("items")).where("size(items) > 0")
+def row_pattern_weights(rows: DataFrame, area: bool = False) -> DataFrame:
+    """``rid, w``: a row's number of patterns without the empty one, or their total size, relative to the largest row's, so that rows of any
+    length have weights."""
+    n = F.size("items")
+    log = F.col("log_w") if area else F.col("log_w") + F.ln(1 - F.pow(F.lit(2.0), -n))
+    own = row_pattern_log_weights(rows.where("size(items) > 0"), area).join(rows, "rid").select("rid", log.alias("log_w"))
+    # one row
+    return own.crossJoin(F.broadcast(own.agg(F.max("log_w").alias("_top")))).select("rid", F.exp(F.col("log_w") - F.col("_top")).alias("w"))
+
+
+def draw_row_patterns(rows: DataFrame, draws: int, seed: int, area: bool = False) -> DataFrame:
+    """``draw, items``: patterns in proportion to their support, or with ``area`` to support times size; none is empty.
+
+    A row is drawn by the weight of its patterns. By support its non-empty subsets are equally likely; by area one item is there
+    and each other with one half, which makes a subset as likely as it is large.
+    """
+    drawn = draw_rows(row_pattern_weights(rows, area), draws, seed, "rid").join(rows, "rid").withColumn("items", F.array_sort("items"))
+    key = (F.lit(seed), F.col("draw"))
+    if not area:
+        return drawn.select("draw", filled_subset(F.col("items"), *key).alias("items"))
+    sure = F.element_at("items", (F.floor(uniform(*key, F.lit("sure")) * F.size("items")) + 1).cast("int"))
+    return drawn.withColumn("sure", sure).select("draw", F.filter("items", lambda i: (i == F.col("sure")) | (uniform(*key, i) < 0.5)).alias("items"))
 
 
 def uniform_items(vocab: DataFrame, draws: int, seed: int) -> DataFrame:
@@ -179,50 +240,99 @@ def uniform_items(vocab: DataFrame, draws: int, seed: int) -> DataFrame:
     return draw_inverse(vocab.select("item", F.lit(1.0).alias("w")), draws, seed, "item")
 
 
-def chain_trace(steps: DataFrame, *chain: str) -> DataFrame:
+def chain_trace(steps: DataFrame, chain: str = "chain") -> DataFrame:
     """``step, pos, neg, ratio, accepted`` of a replay of each ``chain`` over ``steps(step, pos, neg, w, bound, u)``.
 
     ``w`` is a candidate pair's weight and ``bound`` its proposal weight; the first candidate is taken and a later one when ``u``
-    is below w bound' / (bound w'), primes being the current pair's. One fold over the ordered array of a chain's steps; chains run side by side.
+    is below w bound' / (bound w'), primes being the current pair's. A chain's steps arrive in order and only the current pair is held, so a
+    long chain takes time but no memory; chains run side by side.
     """
-    ordered = steps.groupBy(*chain).agg(F.array_sort(F.collect_list(F.struct("step", "pos", "neg", F.col("w").cast("double").alias("w"), F.col("bound").cast("double").alias("bound"), F.col("u").cast("double").alias("u")))).alias("s"))
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("bound"), F.array().cast("array<struct<step:int,pos:int,neg:int,ratio:double,accepted:boolean>>").alias("log"))
-
-    def take(acc, c):
-        ratio = c["w"] * acc["bound"] / (c["bound"] * acc["w"])
-        yes = c["u"] < ratio
-        row = F.struct(c["step"].cast("int").alias("step"), c["pos"].cast("int").alias("pos"), c["neg"].cast("int").alias("neg"), ratio.alias("ratio"), yes.alias("accepted"))
-        return F.struct(F.when(yes, c["w"]).otherwise(acc["w"]).alias("w"), F.when(yes, c["bound"]).otherwise(acc["bound"]).alias("bound"), F.concat(acc["log"], F.array(row)).alias("log"))
-
-    return ordered.select(*chain, F.explode(F.aggregate("s", start, take, lambda a: a["log"])).alias("r")).select(*chain, "r.*")
-
-
-def greedy_head(x: DataFrame, target: DataFrame, items: list[int] | None, n_rows: int, gamma: float = 0.5, epsilon: float = 0.1) -> list[int]:
-    """Best prefix of a greedy item order: each step adds the item of ``items`` with the largest
-    (covered positives - gamma covered negatives) / item frequency, ties to the smaller item, until coverage falls
-    below ``epsilon`` of the positives. Without ``items`` every item of a positive row is a candidate, or every item
-    where positive rows have none. Each step is one aggregate, of which one row reaches the driver."""
+    import pyarrow as pa
+
+    kind = steps.schema[chain].dataType.simpleString()
+    ddl = f"{chain} {kind}, step int, pos int, neg int, ratio double, accepted boolean"
+    ordered = steps.select(chain, "step", "pos", "neg", *(F.col(c).cast("double").alias(c) for c in ("w", "bound", "u")))
+
+    def run(batches):
+        last, held = run, (1.0, 1.0)  # no chain is named so
+        for batch in batches:
+            out: list[tuple] = []
+            for own, step, pos, neg, w, bound, u in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != last:
+                    last, held = own, (1.0, 1.0)
+                ratio = w * held[1] / (bound * held[0])
+                out.append((own, step, pos, neg, ratio, u < ratio))
+                if u < ratio:
+                    held = (w, bound)
+            names = (chain, "step", "pos", "neg", "ratio", "accepted")
+            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=list(names))
+
+    return ordered.repartition(chain).sortWithinPartitions(chain, "step").mapInArrow(run, ddl)
+
+
+def greedy_head(x: DataFrame, target: DataFrame, universe: DataFrame | None = None, relative: bool = True, gamma: float = 0.5, epsilon: float = 0.1) -> list[int]:
+    """Best prefix of a greedy item order: each step adds the item with the largest gain, covered positives - gamma covered negatives,
+    divided by the item's frequency if ``relative``; ties go to the smaller item. The first item is always taken; the order ends when
+    the rows covered fall below ``epsilon`` of the positives.
+
+    Candidates are ``universe(item)``: by default every item of a positive row, or every item where positive rows have none. Each step is one
+    aggregate, of which one row reaches the driver."""
     flag = target.select("rid").withColumn("y", F.lit(1))
     n_pos = flag.count()
-    cells = x.where(F.col("item").isin(items)) if items is not None else x
-    if items is None:
-        positive = x.join(flag, "rid", "left_semi").select("item").distinct()
-        cells = x.join(positive, "item", "left_semi") if not positive.isEmpty() else x
+    pruned = items_of(x, target) if universe is None else universe.select("item").distinct()
+    cells = x if universe is None and pruned.isEmpty() else x.join(pruned, "item", "left_semi")
     cells = stored(cells.join(flag, "rid", "left").select("rid", "item", F.coalesce("y", F.lit(0)).alias("y")))
     freq = stored(cells.groupBy("item").agg(F.count("*").alias("freq")))
     chosen, best = [], (float("-inf"), 0)
     while True:
         counts = cells.groupBy("item").agg(F.sum("y").alias("p"), F.count("*").alias("n")).join(freq, "item")
-        gain = (F.col("p") - F.lit(gamma) * (F.col("n") - F.col("p"))) / F.col("freq")
+        gain = F.col("p") - F.lit(gamma) * (F.col("n") - F.col("p"))
+        gain = F.round(gain / F.col("freq") if relative else gain, 9)
         found = counts.select("item", "n", gain.alias("gain")).orderBy(F.desc("gain"), "item").limit(1).collect()
-        if not found or found[0]["n"] < epsilon * n_pos:
+        if not found or chosen and found[0]["n"] < epsilon * n_pos:
             break
         item = found[0]["item"]
         chosen.append(item)
         own = cells.where(F.col("item") == item).select("rid")
         cells = cells.where(F.col("item") != item).join(own, "rid", "left_semi")
-        if len(chosen) % 4 == 0:
+        if len(chosen) % 2 == 0:
             cells = stored(cells)
         if found[0]["gain"] > best[0]:
             best = (found[0]["gain"], len(chosen))
     return chosen[: best[1]]
+
+
+def weights_after_naive(weights: DataFrame, assign: DataFrame, space: DataFrame, rows: DataFrame, items: list[int]) -> DataFrame:
+    """``rid, w``: row weights less one for every contained set and item of ``items`` in it, in the rows of ``rows(rid)``.
+
+    Not idempotent: what was covered before is taken off again. ``counters_after`` is the update to use."""
+    hit = assign.join(rows.select("rid"), "rid", "left_semi").join(space.select("sid", F.explode("items").alias("item")).where(F.col("item").isin(items)), "sid")
+    off = hit.groupBy("rid").agg(F.count("*").alias("off"))
+    return weights.join(off, "rid", "left").select("rid", (F.col("w") - F.coalesce("off", F.lit(0))).alias("w"))
+
+
+def counters_after(counters: DataFrame, rows: DataFrame, items: list[int]) -> DataFrame:
+    """``rid, item, cnt`` less the counters of ``items`` in the rows of ``rows(rid)``; covering a cell twice changes nothing.
+
+    Only counters that are still there are touched, so an update needs neither the sets nor what was covered before."""
+    gone = counters.where(F.col("item").isin(items)).join(rows.select("rid"), "rid", "left_semi").select("rid", "item")
+    return counters.join(gone, ["rid", "item"], "left_anti")
+
+
+def counter_weights(counters: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rid, w, proba`` of all rows from their counters."""
+    own = counters.groupBy("rid").agg(F.sum("cnt").alias("area"))
+    return normalised(rows.join(own, "rid", "left").select("rid", F.coalesce("area", F.lit(0)).cast("double").alias("w")))
+
+
+def sets_in_rows(drawn: DataFrame, assign: DataFrame, space: DataFrame, covered: DataFrame, seed: int) -> DataFrame:
+    """``draw, rid, sid``: a set of each drawn row ``(draw, rid)``, in proportion to its items that ``covered(rid, item)`` lacks.
+
+    A row without any such item raises ``NoMoreSamples``."""
+    rows = drawn.select("rid").distinct()
+    weights = uncovered(assign.join(rows, "rid", "left_semi"), space, covered).groupBy("rid", "sid").agg(F.count("*").alias("w"))
+    if not rows.join(weights, "rid", "left_anti").isEmpty():
+        raise NoMoreSamples("a row has no uncovered item")
+    score = F.ln("w") - F.ln(-F.ln(uniform(F.lit(seed), F.col("draw"), F.col("rid"), F.col("sid"))))
+    return drawn.join(weights, "rid").groupBy("draw", "rid").agg(F.max_by("sid", F.struct(score, F.col("sid"))).alias("sid"))

@@ -6,6 +6,7 @@ scratch folder once.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.operators import graph, rules, sampling, sets
 from ruleloom.operators.sampling import NoMoreSamples
-from ruleloom.sources.scratch import stored
+from ruleloom.sources.scratch import release, stored
 
 
 class InsufficientCandidates(Exception):
@@ -37,6 +38,44 @@ class Config:
     seed: int = 12345
 
 
+#: Defaults by version, as the factories of the learners have them.
+DEFAULTS: dict[str, dict] = {
+    "v1": {"n_tails": 100, "n_heads": 10, "lambd": 10.0, "tolerance": 1e-3},
+    "v2": {"n_tails": 10, "n_heads": 1, "lambd": 10.0, "n_max_rules": 10},
+    "v3": {"n_tails": 10, "n_heads": 1, "lambd": 10.0, "n_max_rules": 10},
+    "submod": {"n_tails": 10, "n_heads": 1, "lambd": 10.0, "n_max_rules": 10},
+}
+
+
+def configured(version: str, **changes) -> Config:
+    """The defaults of a version with ``changes``; an unknown version raises ``ValueError``."""
+    if version not in DEFAULTS:
+        raise ValueError(f"unknown version {version}; known are " + ", ".join(DEFAULTS))
+    return Config(version=version, **(DEFAULTS[version] | changes))
+
+
+class Learner:
+    """``fit`` and ``predict`` of one configuration on datasets."""
+
+    def __init__(self, config: Config):
+        self.config, self.selected = config, Selected()
+
+    def fit(self, train) -> Learner:
+        self.selected = fit(train.x, train.y, train.vocab_x, train.vocab_y, train.n, self.config)
+        return self
+
+    def rules(self, spark: SparkSession) -> DataFrame:
+        return self.selected.frame(spark).select("rule_id", "head", "tail")
+
+    def predict(self, data) -> DataFrame:
+        return predict(data.x, self.rules(data.x.sparkSession))
+
+
+def learner(version: str, **changes) -> Learner:
+    """A learner with a version's defaults and ``changes``."""
+    return Learner(configured(version, **changes))
+
+
 #: Objective of a rule by version, from columns mc (marginal coverage), kl and div (sum of distances to the selected).
 OBJECTIVES: dict[str, Callable[[float], Column]] = {
     "v1": lambda lambd: F.col("mc") * F.col("kl") + F.lit(lambd) * F.col("div"),
@@ -114,43 +153,128 @@ def set_objective(selected: DataFrame, x: DataFrame, y: DataFrame, n: int, lambd
     return gained + lambd * spread
 
 
-def candidates(x: DataFrame, y: DataFrame, vocab_x: DataFrame, vocab_y: DataFrame, n: int, covered: DataFrame, config: Config, round_: int = 0) -> DataFrame:
-    """Sampled rules: tails by uncovered area, then heads for each tail by the discriminative distribution."""
-    y_space = stored(graph.sample_space(y, vocab_y, config.min_label_proba))
-    y_assign = stored(sets.containment_division(y, y_space))
-    weights = sampling.uncovered_area_distribution(y_assign, y_space, covered)
+@dataclass
+class Spaces:
+    """Sample spaces of features and labels, and the rows that contain their sets; built once for all rounds."""
+
+    x: DataFrame
+    x_rows: DataFrame
+    y: DataFrame
+    y_rows: DataFrame
+
+
+def spaces(x: DataFrame, y: DataFrame, vocab_x: DataFrame, vocab_y: DataFrame, config: Config) -> Spaces:
+    own = []
+    for cells, vocab, least in ((x, vocab_x, config.min_feature_proba), (y, vocab_y, config.min_label_proba)):
+        space = stored(graph.sample_space(cells, vocab, least))
+        own += [space, stored(sets.containment_division(cells, space))]
+    return Spaces(*own)
+
+
+def candidates(own: Spaces, n: int, covered: DataFrame, config: Config, round_: int = 0) -> DataFrame:
+    """``rule_id, head, tail``: tails drawn by uncovered area, then heads for each tail by the discriminative distribution; repeated
+    draws are one rule. Tails that all rows have give none."""
+    weights = sampling.uncovered_area_distribution(own.y_rows, own.y, covered)
     if weights.where("w > 0").isEmpty():
         raise NoMoreSamples("all labels are covered")
-    tails = sampling.draw_inverse(weights.select("sid", "w"), config.n_tails, config.seed + round_, "sid").select("sid").distinct().persist()
-    x_space = stored(graph.sample_space(x, vocab_x, config.min_feature_proba))
-    x_assign = stored(sets.containment_division(x, x_space))
-    tail_rows = y_assign.join(tails, "sid").select("rid", F.col("sid").alias("item"))
-    heads = sampling.draw_per_group(sampling.head_distribution(x_assign, tail_rows, n).select("tail", "sid", "w"), config.n_heads, config.seed + round_, "tail", "sid").select("tail", "sid").distinct()
-    out = heads.join(x_space.select("sid", F.col("items").alias("head")), "sid").join(y_space.select(F.col("sid").alias("tail"), F.col("items").alias("t")), "tail")
+    tails = sampling.draw_inverse(weights.select("sid", "w"), config.n_tails, config.seed + round_, "sid").select("sid").distinct()
+    tail_rows = own.y_rows.join(tails, "sid").select("rid", F.col("sid").alias("item"))
+    found = sampling.head_distribution(own.x_rows, tail_rows, n).select("tail", "sid", "w")
+    heads = sampling.draw_per_group(found, config.n_heads, config.seed + round_, "tail", "sid").select("tail", "sid").distinct()
+    out = heads.join(own.x.select("sid", F.col("items").alias("head")), "sid").join(own.y.select(F.col("sid").alias("tail"), F.col("items").alias("t")), "tail")
     return rules.canonical(out.select(F.xxhash64("head", "t").alias("rule_id"), "head", F.col("t").alias("tail")))
 
 
-def fit(x: DataFrame, y: DataFrame, vocab_x: DataFrame, vocab_y: DataFrame, n: int, config: Config) -> Selected:
-    """Learn a rule set. Each round samples candidates against the coverage so far and selects one; v1 then selects again
-    from all candidates seen and keeps the better set; the other versions stop after ``n_max_rules`` (10) rules."""
-    rounds = config.n_max_rules or (100 if config.version == "v1" else 10)
-    chosen, pool, covered = Selected(), None, y.limit(0)
-    for k in range(rounds):
+def _spread(cells: DataFrame, areas: DataFrame, chosen: DataFrame, n_chosen: int) -> DataFrame:
+    """``rule_id, div``: summed rectangle distance of candidates to ``chosen(step, rid, item)``. A pair that shares no cell has distance 1, so
+    only pairs that share some are met."""
+    sizes = chosen.groupBy("step").agg(F.count("*").alias("b"))
+    shared = cells.join(chosen, ["rid", "item"]).groupBy("rule_id", "step").agg(F.count("*").alias("i")).join(sizes, "step").join(areas, "rule_id")
+    alike = shared.groupBy("rule_id").agg(F.sum(F.col("i") / (F.col("a") + F.col("b") - F.col("i"))).alias("s"))
+    return areas.join(alike, "rule_id", "left").select("rule_id", (F.lit(float(n_chosen)) - F.coalesce("s", F.lit(0.0))).alias("div"))
+
+
+class Choice:
+    """Rules chosen so far and the label cells of each."""
+
+    def __init__(self, x: DataFrame, y: DataFrame, n: int, config: Config):
+        self.x, self.y, self.n, self.config, self.selected = x, y, n, config, Selected()
+        self.cells = stored(y.limit(0).select(F.lit(0).alias("step"), "rid", "item"))
+
+    def covered(self) -> DataFrame:
+        return self.cells.select("rid", "item").distinct()
+
+    def described(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Divergence and rectangles of candidates, for one or more choices among them."""
+        stats = rules.statistics(found, self.x, self.y, self.n).select("rule_id", "head", "tail", "kl")
+        return stored(stats), stored(rules.rectangles(found, self.x, self.y))
+
+    def best(self, stats: DataFrame, cells: DataFrame) -> dict | None:
+        """The candidate of the best objective, ties (to nine digits) by tail, then head."""
+        areas = stats.select("rule_id").join(cells.groupBy("rule_id").agg(F.count("*").alias("a")), "rule_id", "left").fillna(0, ["a"])
+        spread = _spread(cells, areas, self.cells, len(self.selected.steps))
+        scored = step_scores(stats, cells, self.covered(), spread, self.config)
+        found = scored.withColumn("objective", F.round("objective", 9)).orderBy(F.desc("objective"), "tail", "head").limit(1).collect()
+        return found[0].asDict() if found else None
+
+    def add(self, row: dict, cells: DataFrame) -> None:
+        step = len(self.selected.steps)
+        self.selected.steps.append({"step": step} | {k: row[k] for k in ("rule_id", "head", "tail", "objective", "mc")})
+        own = cells.where(F.col("rule_id") == row["rule_id"]).select(F.lit(step).alias("step"), "rid", "item")
+        before = self.cells
+        self.cells = stored(before.unionByName(own))
+        release(before)
+
+
+def first_round(own: Spaces, x: DataFrame, y: DataFrame, n: int, config: Config) -> tuple[Selected, DataFrame | None]:
+    """Chosen rules, and all candidates met.
+
+    Each step draws candidates against the coverage so far and adds the best of them. It ends at ``n_max_rules``, when all labels are
+    covered, or, for v1 without ``n_max_rules``, when the best candidate covers a share of ``tolerance`` or less of the label cells."""
+    choice, pool = Choice(x, y, n, config), None
+    total = y.count()
+    for k in itertools.count():
+        if config.n_max_rules is not None and k >= config.n_max_rules:
+            break
         try:
-            fresh = stored(candidates(x, y, vocab_x, vocab_y, n, covered, config, k))
+            fresh = stored(candidates(own, n, choice.covered(), config, k))
         except NoMoreSamples:
             break
         pool = fresh if pool is None else stored(rules.canonical(pool.unionByName(fresh)))
-        got = select(pool, x, y, n, config, len(chosen.steps) + 1)
-        if len(got.steps) <= len(chosen.steps):
+        stats, cells = choice.described(fresh)
+        row = choice.best(stats, cells)
+        if row is None or config.version == "v1" and config.n_max_rules is None and row["mc"] <= config.tolerance * total:
             break
-        chosen = got
-        covered = rules.rectangles(chosen.frame(x.sparkSession).select("rule_id", "head", "tail"), x, y).select("rid", "item").distinct()
-    if config.version == "v1" and pool is not None and chosen.steps:
-        again = select(pool, x, y, n, config, len(chosen.steps), distinct=False)
-        value = [set_objective(s.frame(x.sparkSession).select("rule_id", "head", "tail").dropDuplicates(["rule_id"]), x, y, n, config.lambd) for s in (chosen, again)]
-        chosen = again if value[1] > value[0] else chosen
-    return chosen
+        choice.add(row, cells)
+        release(stats, cells)
+    return choice.selected, pool
+
+
+def second_round(pool: DataFrame | None, budget: int, x: DataFrame, y: DataFrame, n: int, config: Config, distinct: bool = False) -> Selected:
+    """``budget`` rules chosen anew from all candidates; one may be chosen again unless ``distinct``. No candidates raise ``InsufficientCandidates``."""
+    if pool is None or pool.isEmpty():
+        raise InsufficientCandidates("no candidates")
+    choice = Choice(x, y, n, config)
+    stats, cells = choice.described(pool)
+    for _ in range(budget):
+        taken = [s["rule_id"] for s in choice.selected.steps]
+        row = choice.best(stats.where(~F.col("rule_id").isin(taken)) if distinct and taken else stats, cells)
+        if row is None:
+            break
+        choice.add(row, cells)
+    return choice.selected
+
+
+def fit(x: DataFrame, y: DataFrame, vocab_x: DataFrame, vocab_y: DataFrame, n: int, config: Config) -> Selected:
+    """Learn a rule set: ``first_round``, and for v1 a ``second_round`` from all candidates, of which the set with the better objective is
+    kept, the second one where they are equal."""
+    own = spaces(x, y, vocab_x, vocab_y, config)
+    chosen, pool = first_round(own, x, y, n, config)
+    if config.version != "v1" or not chosen.steps:
+        return chosen
+    again = second_round(pool, len(chosen.steps), x, y, n, config)
+    value = [set_objective(s.frame(x.sparkSession).select("rule_id", "head", "tail").dropDuplicates(["rule_id"]), x, y, n, config.lambd) for s in (chosen, again)]
+    return chosen if value[0] > value[1] else again
 
 
 def predict(x: DataFrame, model: DataFrame) -> DataFrame:

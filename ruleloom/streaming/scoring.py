@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_RULES = 10_000
+
+
 def predict_stream(rows: DataFrame, model: DataFrame) -> DataFrame:
     """``rid, items`` of streaming rows ``(rid, items)``: tails of the rules whose head a row contains.
 
-    The rule set is a model of at most some hundred rules, so it is sent to every task.
+    The rule set is sent to every task; more than ``MOST_RULES`` rules raise ``ValueError``.
     """
+    if model.count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
     hit = rows.join(F.broadcast(model.select("head", "tail")), F.size(F.array_except("head", "items")) == 0)
     return hit.select("rid", F.explode("tail").alias("item"))
 

@@ -48,32 +48,45 @@ def test_predict(spark):
 
 
 def test_containment(spark):
-    rows = cells(spark, [range(6), (1, 4, 5), (1, 5)])
-    space = spark.createDataFrame([(0, [1, 4, 5]), (1, [1, 2, 3]), (2, [4]), (3, [5])], "sid int, items array<int>")
-    want = {(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 2), (1, 3), (2, 3)}
+    rows = cells(spark, [(2, 3, 7), (3, 7, 8, 9), (), (7,)])
+    space = spark.createDataFrame([(0, [3, 7]), (1, [7]), (2, [8, 3]), (3, [2, 9]), (4, [11]), (5, [7, 3, 9]), (6, [3, 7, 11])], "sid int, items array<int>")
+    want = {(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (1, 5), (3, 1)}
     assert {tuple(r) for r in sets.containment_division(rows, space).collect()} == want
     assert {tuple(r) for r in sets.containment_loop(sets.rows_as_sets(rows), space).collect()} == want
+    assert {tuple(r) for r in sets.containment_prefix(rows, space).collect()} == want
+    assert sets.containment_prefix(rows, space.limit(0)).count() == 0
 
 
 def test_set_search(spark):
-    space = spark.createDataFrame(list(enumerate([[1, 2, 3, 5], [1, 2, 5], [1, 2, 5, 6], [4], [4, 8, 9], [11, 15, 22]])), "sid int, items array<int>")
+    space = spark.createDataFrame([(0, [2]), (1, [2, 6]), (2, [6, 2, 7]), (3, [7, 10]), (4, [3])], "sid int, items array<int>")
     ids = lambda df: sorted(r["sid"] for r in df.collect())
-    assert ids(sets.search_supersets(space, [1, 5])) == [0, 1, 2]
-    assert ids(sets.search_subsets(space, [1, 2, 3, 4, 5])) == [0, 1, 3]
-    assert ids(sets.search_exact(space, [9, 8, 4])) == [4] and ids(sets.search_exact(space, [])) == ids(sets.search_subsets(space, [])) == []
+    assert ids(sets.search_supersets(space, [6, 2])) == [1, 2]
+    assert ids(sets.search_subsets(space, [2, 6, 3])) == [0, 1, 4]
+    assert ids(sets.search_exact(space, [7, 6, 2])) == [2] and ids(sets.search_exact(space, [])) == ids(sets.search_subsets(space, [])) == []
     with pytest.raises(ValueError):
         sets.search_supersets(space, [])
 
 
-@pytest.mark.parametrize("least,n", [(0.9, 4), (0.5, 10), (0.125, 14), (0.5**6, 15)])
-def test_cliques(spark, least, n):
-    edges = spark.createDataFrame([(u, v, 0.5) for u in range(4) for v in range(u + 1, 4)], "u int, v int, proba double")
-    assert graph.probable_cliques(spark.range(4).select(F.col("id").cast("int")), edges, least).count() == n
+def test_cliques(spark):
+    """A triangle of 0.8, 0.9 and 0.5 with a tail of 0.7: products by hand."""
+    edges = spark.createDataFrame([(0, 1, 0.8), (0, 2, 0.9), (1, 2, 0.5), (2, 3, 0.7)], "u int, v int, proba double")
+    nodes = spark.range(5).select(F.col("id").cast("int"))
+    found = lambda least: {tuple(r["items"]): round(r["proba"], 9) for r in graph.probable_cliques(nodes, edges, least).collect()}
+    single = {(i,): 1.0 for i in range(5)}
+    assert found(0.95) == single and found(0.75) == single | {(0, 1): 0.8, (0, 2): 0.9}
+    assert found(0.36) == single | {(0, 1): 0.8, (0, 2): 0.9, (1, 2): 0.5, (2, 3): 0.7, (0, 1, 2): 0.36}
+
+
+def test_cliques_of_any_size(spark):
+    n = 70
+    edges = spark.createDataFrame([(u, u + 1, 1.0) for u in range(n - 1)] + [(u, v, 1.0) for u in range(4) for v in range(u + 2, 4)], "u int, v int, proba double")
+    found = graph.probable_cliques(spark.range(n).select(F.col("id").cast("int")), edges, 0.9)
+    assert found.agg(F.max("len")).first()[0] == 4 and found.count() == n + (n - 1 + 3) + 4 + 1
 
 
 def test_connectivity(spark):
-    edges = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.7), (1, 2, 0.3), (2, 1, 0.4)], "u int, v int, proba double")
-    assert [round(r["proba"], 9) for r in graph.connectivity_graph(edges).orderBy("u").collect()] == [0.85, 0.58]
+    edges = spark.createDataFrame([(0, 1, 0.2), (1, 0, 0.6), (0, 3, 1.0), (3, 0, 0.1)], "u int, v int, proba double")
+    assert [(r["u"], r["v"], round(r["proba"], 9)) for r in graph.connectivity_graph(edges).orderBy("u", "v").collect()] == [(0, 1, 0.68), (0, 3, 1.0)]
 
 
 def test_walks_end_in_cliques(spark):
@@ -87,7 +100,7 @@ def test_walks_end_in_cliques(spark):
 
 def test_greedy_head(spark):
     x = cells(spark, [(0, 1), (0, 1), (0, 2), (2,), (1, 2)])
-    assert sampling.greedy_head(x, spark.range(2).toDF("rid"), [0, 1, 2], 5) == [0, 1]
+    assert sampling.greedy_head(x, spark.range(2).toDF("rid")) == [0, 1]
 
 
 def test_uncovered_area(spark):
@@ -100,21 +113,29 @@ def test_uncovered_area(spark):
 
 
 def test_discriminative_heads(spark):
-    x = cells(spark, [(0, 1), (0,), (2, 3), (1, 2, 3), (1, 2), (2,)])
-    target = spark.range(3).toDF("rid")
-    assign = cells(spark, [(0, 1), (0,), (2, 3, 5), (1, 2, 3, 5), (0, 1, 4), (2,)]).withColumnRenamed("item", "sid")
-    got = sampling.head_distribution(assign, target.select("rid", F.lit(0).alias("item")), 6).collect()
-    assert {r["sid"]: r["w"] for r in got} == {0: 4, 1: 1, 2: 1, 3: 2, 5: 2}
-    full = sampling.powerset_heads(sets.rows_as_sets(x), target).collect()
-    assert {tuple(r["items"]): r["w"] for r in full} == {(0,): 6, (1,): 1, (3,): 2, (0, 1): 3, (2, 3): 2}
-    pairs = sampling.pair_distribution(sets.rows_as_sets(x), target, full=True).collect()
-    assert {(r["pos"], r["neg"]): r["w"] for r in pairs} == {(0, 3): 2, (0, 4): 2, (0, 5): 3, (1, 3): 1, (1, 4): 1, (1, 5): 1, (2, 4): 2, (2, 5): 2}
+    """Positives {a, b} and {b}, negatives {b, c}, {a} and {}: weights are positives with a set times negatives without it."""
+    x = cells(spark, [(0, 1), (1,), (1, 2), (0,), ()])
+    target = spark.range(2).toDF("rid")
+    got = sampling.head_distribution(x.withColumnRenamed("item", "sid"), target.select("rid", F.lit(0).alias("item")), 5).collect()
+    assert {r["sid"]: (r["w"], round(r["proba"], 6)) for r in got} == {0: (2, round(2 / 6, 6)), 1: (4, round(4 / 6, 6))}
+    rows = sets.rows_as_sets(x).unionByName(spark.createDataFrame([(4, [])], "rid long, items array<int>"))
+    full = sampling.powerset_heads(rows, target).collect()
+    assert {tuple(r["items"]): r["w"] for r in full} == {(0,): 2, (1,): 4, (0, 1): 3}
+    pairs = sampling.pair_distribution(rows, target, full=True).collect()
+    assert {(r["pos"], r["neg"]): r["w"] for r in pairs} == {(0, 2): 2, (0, 3): 2, (0, 4): 3, (1, 3): 1, (1, 4): 1}
 
 
 def test_chain_trace(spark):
-    steps = spark.createDataFrame([(0, 0, 2, 2.0, 2.0, 0.5), (1, 1, 2, 2.0, 2.0, 0.5), (2, 1, 3, 1.0, 4.0, 0.9)], "step int, pos int, neg int, w double, bound double, u double")
-    got = sampling.chain_trace(steps).orderBy("step").collect()
-    assert [(r["ratio"], r["accepted"]) for r in got] == [(1.0, True), (1.0, True), (0.25, False)]
+    rows = [(c, *r) for c in (7, None) for r in ((0, 0, 2, 2.0, 2.0, 0.5), (1, 1, 2, 2.0, 2.0, 0.5), (2, 1, 3, 1.0, 4.0, 0.9))]
+    steps = spark.createDataFrame(rows, "chain int, step int, pos int, neg int, w double, bound double, u double")
+    got = sampling.chain_trace(steps).orderBy("chain", "step").collect()
+    assert [(r["ratio"], r["accepted"]) for r in got] == [(1.0, True), (1.0, True), (0.25, False)] * 2
+    long = spark.range(30_000).selectExpr("0 AS chain", "int(id) AS step", "1 AS pos", "2 AS neg", "1.0 + id % 3 AS w", "1.0 AS bound", "0.5 AS u")
+    w, accepted = 1.0, 0
+    for i in range(30_000):
+        if 0.5 < (1 + i % 3) / w:
+            w, accepted = 1.0 + i % 3, accepted + 1
+    assert sampling.chain_trace(long).where("accepted").count() == accepted
 
 
 def test_metrics_over_the_whole_vocabulary(spark):
@@ -218,16 +239,16 @@ def test_pair_patterns_hold_an_item_of_the_first_only(spark):
     assert len({frozenset(s) for s in got}) == 6
 
 
-def best_prefix(own, target, items, gamma=0.5, epsilon=0.1):
+def best_prefix(own, target, items, gamma=0.5, epsilon=0.1, relative=True):
     """The greedy head in plain Python: over the rows' sets ``own``."""
     left = sorted(set(items))
     rows, chosen, gains = dict(own), [], []
-    freq = {i: sum(i in s for s in own.values()) for i in left}
+    freq = {i: sum(i in s for s in own.values()) if relative else 1 for i in left}
     while left:
-        score = {i: (sum(i in s for r, s in rows.items() if r in target) - gamma * sum(i in s for r, s in rows.items() if r not in target)) / freq[i] for i in left}
+        score = {i: round((sum(i in s for r, s in rows.items() if r in target) - gamma * sum(i in s for r, s in rows.items() if r not in target)) / freq[i], 9) for i in left}
         item = max(left, key=lambda i: (score[i], -i))
         rows = {r: s for r, s in rows.items() if item in s}
-        if len(rows) < epsilon * len(target) or not rows:
+        if chosen and len(rows) < epsilon * len(target) or not rows:
             break
         chosen.append(item)
         gains.append(score[item])
@@ -235,33 +256,19 @@ def best_prefix(own, target, items, gamma=0.5, epsilon=0.1):
     return chosen[: gains.index(max(gains)) + 1] if gains else []
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_greedy_head_takes_every_item_of_a_positive_row(spark, seed):
+@pytest.mark.parametrize("relative", [True, False])
+def test_greedy_head_takes_every_item_of_a_positive_row(spark, relative):
     import random
 
-    rng = random.Random(seed)
+    rng = random.Random(int(relative))
     own = {r: {i for i in range(40) if rng.random() < (0.9 if i in (27, 31) and r < 30 else 0.2)} for r in range(90)}
     target = set(range(30))
     x = spark.createDataFrame([(r, i) for r, s in own.items() for i in s], "rid long, item int")
     positive = {i for r in target for i in own[r]}
-    got = sampling.greedy_head(x, spark.range(30).toDF("rid"), None, 90)
-    assert got == best_prefix(own, target, positive) and set(got) & {27, 31}
-    apart = x.where("rid >= 30")
-    assert sampling.greedy_head(apart, spark.range(30).toDF("rid"), None, 90) == best_prefix({r: s for r, s in own.items() if r >= 30}, target, range(40))
-
-
-def test_prune_greedy_head_query(spark):
-    from pathlib import Path
-
-    from ruleloom import catalogue
-
-    sf = "/root/testdata/sf0.001"
-    if not Path(sf).exists():
-        pytest.skip("no tables")
-    d = relations.docs(spark, sf)
-    own: dict = {}
-    for r in d.x.collect():
-        own.setdefault(r["rid"], set()).add(r["item"])
-    target = {r["rid"] for r in d.y.where("item = 0").collect()}
-    want = best_prefix(own, target, {i for r in target for i in own.get(r, ())})
-    assert [r["item"] for r in catalogue.QUERIES["prune_greedy_head"](spark, sf).orderBy("place").collect()] == want
+    rows = spark.range(30).toDF("rid")
+    got = sampling.greedy_head(x, rows, relative=relative)
+    assert got == best_prefix(own, target, positive, relative=relative) and set(got) & {27, 31}
+    apart = {r: s for r, s in own.items() if r >= 30}
+    assert sampling.greedy_head(x.where("rid >= 30"), rows, relative=relative) == best_prefix(apart, target, range(40), relative=relative)
+    some = spark.createDataFrame([(3,), (4,), (31,)], "item int")
+    assert sampling.greedy_head(x, rows, some, relative=relative) == best_prefix(own, target, [3, 4, 31], relative=relative)
