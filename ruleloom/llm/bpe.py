@@ -1,14 +1,16 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split at ASCII white space, where the tokenizer splits as well. A block of documents keeps its
+Spark splits the texts at ASCII white space, where the tokenizer splits as well. A block of documents keeps its
 distinct words and, per document, the positions of its words in that list. The words are dealt by hash, each
 distinct one is encoded once, and the ids come back to the block by position. The tokenizer has
-no decoder, so decoding joins each id with its piece and puts a space between pieces; this too is done
+no decoder, so decoding joins each id with its piece, ids being the row numbers of the piece table, and puts a space between pieces; this too is done
 once per distinct word. A word occurs at most once per block, so even the most frequent one adds
-only one row per block to its partition, and nothing grows with its occurrences.
+only one row per block to its partition, and nothing grows with its occurrences. A task forgets its words when it holds more than ``MOST_WORDS``, so its
+memory is bounded; a word that comes again then is encoded again.
 
-Defined cases: null and empty texts and texts of white space only have no ids and decode to the empty text;
-special-token strings inside a text are special tokens, as in the library; repeated rows give repeated results.
+Defined cases: null and empty texts and texts of white space only have no ids and decode to the empty text; a text of any length is encoded whole, in the
+block of the documents around it; special-token strings inside a text are special tokens, as in the library; repeated rows give repeated results; rows with a
+null ``doc_id`` keep it; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,15 +21,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import arrow_schema, shuffle_width
 
-BLOCK_CHARS = 32_000_000
-_SPACES = str.maketrans("\t\n\r", "   ")
+BLOCK_CHARS, MOST_WORDS = 32_000_000, 1_000_000
 _DOCS = "doc_ids: binary, nulls: binary, lengths: binary, indexes: array<binary>, buckets: binary"
 _BLOCKS = f"route int, block string, bucket int, words binary, docs struct<{_DOCS}>"
 _CODED = f"block string, bucket int, counts binary, ids binary, docs struct<{_DOCS}>"
@@ -75,16 +78,23 @@ class _Block:
     """Documents as word numbers; the numbers are dealt anew by frequency when the block closes."""
 
     def __init__(self, buckets: int, serial: int):
-        self.buckets, self.serial, self.size = buckets, serial, 0
+        self.buckets, self.serial, self.chars = buckets, serial, 0
         self.ids: list = []
+        self.lengths: list[np.ndarray] = []
         self.found: list[np.ndarray] = []
         self.numbers = _Numbers()
 
-    def add(self, doc_id: int | None, text: str) -> None:
-        words = text.translate(_SPACES).split(" ")
-        self.ids.append(doc_id)
-        self.found.append(np.fromiter(map(self.numbers.__getitem__, filter(None, words)), np.uint32))
-        self.size += len(text) + 1
+    def add(self, doc_ids: list, words: pa.ListArray) -> None:
+        """Documents and their split texts; empty words do not count. A list's offsets need not begin at 0."""
+        found = words.flatten().dictionary_encode()
+        known = np.array([self.numbers[w] if w else -1 for w in found.dictionary.to_pylist()], np.int64)
+        numbers = known[found.indices.to_numpy()] if len(known) else np.zeros(0, np.int64)
+        real = numbers >= 0
+        ends = np.concatenate([[0], np.cumsum(real)])
+        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))])
+        self.ids += doc_ids
+        self.found.append(numbers[real].astype(np.uint32))
+        self.lengths.append(np.diff(ends[offsets]).astype(np.uint32))
 
     def rows(self) -> list[dict]:
         """The documents, and a row of words for each bucket; named by content, so that a recomputed block is the same."""
@@ -102,7 +112,7 @@ class _Block:
         docs = {
             "doc_ids": _small(np.array([0 if i is None else i for i in self.ids], np.int64)),
             "nulls": _small(bytes(i is None for i in self.ids)),
-            "lengths": _small(np.array([len(f) for f in self.found], np.uint32)),
+            "lengths": _small(np.concatenate(self.lengths)),
             "indexes": _planes(rank[flat]),
             "buckets": _small(own),
         }
@@ -115,19 +125,23 @@ class _Block:
 def blocks(docs: DataFrame, buckets: int) -> DataFrame:
     """Word blocks of ``docs(doc_id, text)``: a row of documents as word numbers and a row per bucket of distinct words."""
     schema = arrow_schema(docs.sparkSession, _BLOCKS)
+    words = F.split(F.translate("text", "\t\n\r", "   "), " ").alias("words")
 
     def run(batches):
         block = _Block(buckets, 0)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                block.add(doc_id, text.as_py() or "")
-                if block.size >= BLOCK_CHARS:
+            # a few documents at a time, so that blocks close near their size
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
+                block.chars += sum(part.column(2).to_pylist())
+                block.add(part.column(0).to_pylist(), part.column(1))
+                if block.chars >= BLOCK_CHARS:
                     yield pa.RecordBatch.from_pylist(block.rows(), schema)
                     block = _Block(buckets, block.serial + 1)
         if block.ids:
             yield pa.RecordBatch.from_pylist(block.rows(), schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _BLOCKS)
+    return docs.select("doc_id", words, F.coalesce(F.length("text"), F.lit(0)).alias("n")).mapInArrow(run, _BLOCKS)
 
 
 def word_ids(parts: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -144,6 +158,8 @@ def word_ids(parts: DataFrame, tokenizer_path: str) -> DataFrame:
                     continue
                 raw = row["words"]
                 words = zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
+                if len(table) + len(words) > MOST_WORDS:
+                    table.clear()
                 fresh = [w for w in words if w not in table]
                 for word, got in zip(fresh, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in fresh], add_special_tokens=False), strict=True):
                     table[word] = np.array(got.ids, np.uint32).tobytes()
@@ -154,13 +170,26 @@ def word_ids(parts: DataFrame, tokenizer_path: str) -> DataFrame:
     return parts.mapInArrow(run, _CODED)
 
 
-def _pieces(path: str, cache: dict = {}) -> list[bytes]:  # noqa: B006  one per worker
+def _pieces(path: str, cache: dict = {}) -> pa.Array:  # noqa: B006  one per worker
+    """The piece of each id, by row number."""
     if path not in cache:
         tokenizer = _tokenizer(path)
-        cache[path] = [(tokenizer.id_to_token(i) or "").encode() for i in range(tokenizer.get_vocab_size())]
+        cache[path] = pa.array([tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())], pa.string())
     return cache[path]
 
 
+def _joined(texts: pa.Array, lengths: np.ndarray) -> pa.Array:
+    """Runs of ``lengths`` texts with spaces between them."""
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts), " ")
+
+
+def _runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``values[start : start + count]`` for every start and count, one after the other."""
+    before = np.cumsum(counts) - counts
+    return values[np.repeat(starts - before, counts) + np.arange(counts.sum())]
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, texts: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, with ``texts`` also ``ids`` (the
     little-endian unsigned 32-bit bytes) and ``decoded``."""
@@ -174,36 +203,42 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, texts: bool = False) ->
         pieces = _pieces(tokenizer_path)
         rows = block.to_pylist()
         (row,) = (r["docs"] for r in rows if r["docs"] is not None)
-        places = np.argsort(_large(row["buckets"], np.uint16), kind="stable").tolist()
-        coded: list[bytes] = [b""] * len(places)
-        decoded: list[bytes] = [b""] * len(places)
-        at = 0
-        for _, counts, raw in sorted((r["bucket"], r["counts"], r["ids"]) for r in rows if r["docs"] is None):
-            ids = _large(raw, np.uint32)
-            shown = list(map(pieces.__getitem__, ids.tolist()))
-            raw, start = ids.tobytes(), 0
-            for n in _large(counts, np.uint32).tolist():
-                coded[places[at]] = raw[4 * start : 4 * (start + n)]
-                decoded[places[at]] = b" ".join(shown[start : start + n])
-                start += n
-                at += 1
-        if at != len(places):
+        parts = sorted((r["bucket"], r["counts"], r["ids"]) for r in rows if r["docs"] is None)
+        # words stand bucket by bucket; ``place`` is where a word number stands
+        order = np.argsort(_large(row["buckets"], np.uint16), kind="stable")
+        counts = np.concatenate([np.zeros(0, np.int64), *(_large(c, np.uint32) for _, c, _ in parts)]).astype(np.int64)
+        if len(counts) != len(order):
             raise RuntimeError("a block lost words")
-        silent = not all(decoded)  # words of characters that the tokenizer drops
-        numbers, start = _unplaned(row["indexes"]), 0
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ids = np.concatenate([np.zeros(0, np.uint32), *(_large(i, np.uint32) for _, _, i in parts)])
+        starts = np.cumsum(counts) - counts
+        shown = _joined(pieces.take(pa.array(ids)), counts)
+        numbers, lengths = place[_unplaned(row["indexes"])], _large(row["lengths"], np.uint32).astype(np.int64)
+        nulls = zstandard.ZstdDecompressor().decompress(row["nulls"])
+        doc_ids = [None if null else i for i, null in zip(_large(row["doc_ids"], np.int64).tolist(), nulls, strict=True)]
         out: dict[str, list] = {f.name: [] for f in schema}
-        for doc_id, null, length in zip(_large(row["doc_ids"], np.int64).tolist(), zstandard.ZstdDecompressor().decompress(row["nulls"]), _large(row["lengths"], np.uint32).tolist(), strict=True):
-            own = numbers[start : start + length].tolist()
-            start += length
-            raw = b"".join(map(coded.__getitem__, own))
-            text = b" ".join(filter(None, map(decoded.__getitem__, own)) if silent else map(decoded.__getitem__, own))
-            out["doc_id"].append(None if null else doc_id)
-            out["n_tokens"].append(len(raw) // 4)
-            out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(text).hexdigest())
-            if texts:
-                out["ids"].append(raw)
-                out["decoded"].append(text.decode())
+        first, ends = 0, np.cumsum(lengths)
+        while first < len(doc_ids):
+            # documents of about a million words at a time, one at least
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 1_000_000, side="right")))
+            own = numbers[ends[first] - lengths[first] : ends[last - 1]]
+            tokens = _runs(ids, starts[own], counts[own]).astype("<u4")
+            upto = np.concatenate([[0], np.cumsum(counts[own])])
+            bounds = upto[np.concatenate([[0], ends[first:last] - ends[first] + lengths[first]])].tolist()
+            heard = counts[own] > 0  # words of characters that the tokenizer drops are silent
+            n_heard = np.diff(np.concatenate([[0], np.cumsum(heard)])[np.concatenate([[0], ends[first:last] - ends[first] + lengths[first]])])
+            texts_ = _joined(shown.take(pa.array(own[heard])), n_heard).to_pylist()
+            raw = tokens.tobytes()
+            for doc_id, start, end, text in zip(doc_ids[first:last], bounds, bounds[1:], texts_, strict=False):
+                out["doc_id"].append(doc_id)
+                out["n_tokens"].append(end - start)
+                out["ids_sha256"].append(hashlib.sha256(raw[4 * start : 4 * end]).hexdigest())
+                out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
+                if texts:
+                    out["ids"].append(raw[4 * start : 4 * end])
+                    out["decoded"].append(text)
+            first = last
         return pa.Table.from_pydict(out, schema)
 
     return coded.groupBy("block").applyInArrow(join_back, ddl)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.sources.scratch import stored
+from ruleloom.sources.scratch import release, stored
 
 __all__ = ["arrow_schema", "batch_map", "components", "documents", "labels", "shuffle_width", "stored"]
 
@@ -50,7 +50,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star contractions, each a map-side combined minimum and a join that
     adaptive execution can split at a hub. Every round is written to the shared scratch folder, so a lost
-    executor costs one round at most. Self loops and repeated edges are harmless; nodes without edges are
+    executor costs one round at most, and deletes the one before. Self loops and repeated edges are harmless; nodes without edges are
     not returned.
     """
 
@@ -69,7 +69,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        current = stored(small)
+        last, current = current, stored(small)
+        release(last)
         after = shape(current)
         if after == before:
             break
