@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ruleloom.llm import exact, packing, quality, secrets, simhash
 from ruleloom.llm.catalogue import vocabulary
 from ruleloom.llm.common import documents, labels, stored
+from ruleloom.sources.scratch import mark, release, release_since
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +56,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each reading what the one before wrote to the shared folder."""
+    """All stages in turn, each reading what the one before wrote to the shared folder.
+
+    When a stage's result is written, its input and whatever else it wrote are deleted."""
     docs = documents(spark, sf_dir)
     for position, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, last = mark(), docs
+        docs = stage(spark, last, sf_dir)
         if position < len(STAGES) - 1:
             docs = stored(docs)
+            release(last)
+            release_since(before, docs)
     return docs
