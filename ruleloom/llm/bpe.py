@@ -195,7 +195,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, texts: bool = False) ->
     little-endian unsigned 32-bit bytes) and ``decoded``."""
     buckets = min(shuffle_width(docs.sparkSession), 65_535)
     # a bucket is one part of the distinct words and is read by one task
-    coded = word_ids(blocks(docs, buckets).repartition(buckets, "route"), tokenizer_path)
+    coded = word_ids(blocks(docs, buckets).repartitionById(buckets, F.col("route")), tokenizer_path)
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary, decoded string" if texts else "")
     schema = arrow_schema(docs.sparkSession, ddl)
 
