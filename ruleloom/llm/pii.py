@@ -6,7 +6,7 @@ mixed separators, and the same with one separator. Each candidate has discrete f
 the table of feature combinations over all documents, its size bounded by the features' values whatever the corpus.
 
 The base formats do not decide alone what the trees learn. Weak labels: a candidate is a positive example if it meets a base span or a telling
-word ("phone", "account", ...) stands before it. The checks behind base spans (Luhn sums, octets up to 255, domains' alphabets) are no features. And every
+word ("phone", "account", ...) stands before it, in the text since the last candidate of the kind. The checks behind base spans (Luhn sums, octets up to 255, domains' alphabets) are no features. And every
 positive example also counts without its marks, the plus sign and the telling word, so that formats are learned which mostly occur with a mark but
 are written without it as well. Thresholds are calibrated per kind: trees of one half of the documents score the other half's cells, and the
 lowest score whose cells and all above reach ``PRECISION`` on the weak labels is the kind's threshold.
@@ -43,6 +43,8 @@ PLAIN_NUMBER = r"(?<![0-9A-Za-z])[0-9]++(?:([ .-])[0-9]++(?:\1[0-9]++)*+)?+(?![0
 _TELLING = "(?i)(?:phone|tel|call|fax|mobile|card|visa|credit|account|ssn|passport|mail|contact|address|addr|host|ip)[^A-Za-z]{0,3}$"
 KINDS = ("email", "ip", "card", "phone", "contact", "number")
 ROUNDS, RATE, PRECISION, CONTEXT = 24, 0.4, 0.9, 24
+#: Numbers summed in one go, and the most blocks of a text by which base spans are looked up.
+RUN, BLOCKS = 256, 512
 #: Feature names and their largest value; the smallest is 0. Kinds of candidates: 0 number, 1 mail, 2 number of one separator.
 FEATURES = {"kind": 2, "digits": 20, "separators": 3, "plus": 1, "groups": 5, "telling": 1, "before": 2, "after": 2, "domain": 1, "dull": 1}
 #: Features that a positive example is also learned without.
@@ -54,14 +56,27 @@ def _cut(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
+def _running(steps: Column) -> Column:
+    """Running sums of an array of numbers; long arrays by parts of ``RUN`` numbers, as appending copies the array."""
+    plain = lambda a: F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda k: plain(F.slice(steps, k * RUN + 1, F.lit(RUN))))
+    before = plain(F.transform(parts, lambda p: F.element_at(p, -1)))
+    # one element more than parts; the last has no partner and is left out
+    moved = F.zip_with(parts, before, lambda p, b: F.transform(F.filter(p, lambda x, i: i > 0), lambda x: x + b))
+    long = F.flatten(F.filter(moved, lambda p: p.isNotNull()))
+    return F.when(F.size(steps) <= RUN, F.filter(plain(steps), lambda x, i: i > 0)).otherwise(long)
+
+
 def _places(name: str) -> Column:
-    """``array<struct<s, e, m>>`` from the matches ``_h<name>`` and the gaps ``_g<name>``: places follow from the lengths.
+    """``array<struct<s, e, m, before, after>>`` from the matches ``_h<name>`` and the gaps ``_g<name>``: places follow from the lengths, and what
+    stands before and after a match is the end and the beginning of the gaps around it.
 
     The arrays are arguments of the functions and not captured in a lambda, which would compute them once per element.
     """
     steps = F.zip_with(f"_h{name}", f"_g{name}", lambda m, g: F.length(g) + F.coalesce(F.length(m), F.lit(0)))
-    ends = F.aggregate(steps, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    spans = F.zip_with(f"_h{name}", F.filter(ends, lambda e, i: i > 0), lambda m, e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m")))
+    told = F.zip_with(f"_h{name}", f"_g{name}", lambda m, g: F.struct(m.alias("m"), F.right(g, F.lit(CONTEXT)).alias("before")))
+    told = F.zip_with(told, F.slice(f"_g{name}", F.lit(2), F.size(f"_g{name}")), lambda x, g: F.struct(x["m"].alias("m"), x["before"].alias("before"), F.left(g, F.lit(1)).alias("after")))
+    spans = F.zip_with(told, _running(steps), lambda x, e: F.struct((e - F.length(x["m"])).alias("s"), e.cast("int").alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
     return F.filter(spans, lambda x: x["m"].isNotNull())
 
 
@@ -89,7 +104,7 @@ def _found(df: DataFrame) -> DataFrame:
                    F.when(t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), t).alias("_long"),
                    F.when(t.contains("+"), t).alias("_plus"),
                    F.when(t.rlike(r"[0-9](?:[ ().-]{0,2}[0-9]){6}"), t).alias("_number"))
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,m:string,before:string,after:string>>")
     cuts = {"email": ("_mail", EMAIL), "ip": ("_dots", IP), "card": ("_long", CARD), "phone": ("_plus", PHONE), "mails": ("_mail", MAIL_LIKE), "numbers": ("_number", NUMBER_LIKE), "plain": ("_number", PLAIN_NUMBER)}
     df = df.select("*", *(c.alias(f"_{k}{name}") for name, (column, pattern) in cuts.items() for k, c in zip("hg", _cut(F.col(column), pattern), strict=True)))
     df = df.select("*", *(F.coalesce(_places(name), none).alias(f"_{name}") for name in cuts))
@@ -98,20 +113,23 @@ def _found(df: DataFrame) -> DataFrame:
                    F.filter("_phone", lambda x: _digits(x["m"]).between(8, 15)).alias("phone"),
                    F.filter("_card", lambda x: _digits(x["m"]).between(16, 19)).alias("_sized"))
     df = df.withColumn("card", F.filter("_sized", lambda x: _luhn(x["m"])))
-    df = df.withColumn("_base", F.transform(F.concat("email", "ip", "card", "phone"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    df = df.withColumn("_every", F.transform(F.concat("email", "ip", "card", "phone"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    # base spans by block of the text, so that a candidate is compared with those near it
+    df = df.withColumn("_width", F.greatest(F.lit(1024), F.ceil(F.coalesce(F.length(t), F.lit(0)) / BLOCKS)).cast("int"))
+    last = F.when(F.size("_every") > 0, F.floor(F.coalesce(F.length(t), F.lit(0)) / F.col("_width"))).otherwise(0).cast("int")
+    df = df.withColumn("_base", F.transform(F.sequence(F.lit(0), last), lambda k: F.filter("_every", lambda x: (x["s"] < (k + 1) * F.col("_width")) & (x["e"] > k * F.col("_width")))))
     df = df.withColumn("_plain", F.filter("_plain", lambda c: _digits(c["m"]) >= 7))
-    wide = F.concat(*(_all_described(t, name, kind) for kind, name in enumerate(("_numbers", "_mails", "_plain"))))
+    wide = F.concat(*(_all_described(name, kind) for kind, name in enumerate(("_numbers", "_mails", "_plain"))))
     return df.withColumn("wide", wide)
 
 
-def _all_described(text: Column, name: str, kind: int) -> Column:
-    return F.transform(name, lambda c: _described(text, c, kind))
+def _all_described(name: str, kind: int) -> Column:
+    return F.transform(name, lambda c: _described(c, kind))
 
 
-def _described(text: Column, c: Column, kind: int) -> Column:
-    m = c["m"]
-    before = text.substr(F.greatest(c["s"] - CONTEXT, F.lit(0)) + 1, F.least(c["s"], F.lit(CONTEXT)))
-    last, after = F.right(before, F.lit(1)), text.substr(c["e"] + 1, F.lit(1))
+def _described(c: Column, kind: int) -> Column:
+    m, before, after = c["m"], c["before"], F.coalesce(c["after"], F.lit(""))
+    last = F.right(before, F.lit(1))
 
     def side(x: Column) -> Column:
         return F.when((x == "") | x.rlike(r"\s"), 0).when(x.rlike("[A-Za-z0-9]"), 2).otherwise(1)
@@ -119,7 +137,9 @@ def _described(text: Column, c: Column, kind: int) -> Column:
     plain = F.translate(m, "0123456789", "")
     separators = F.when(plain == "", 0).when(F.translate(plain, ".", "") == "", 1).when(F.translate(plain, " -", "") == "", 2).otherwise(3)
     groups = F.size(F.filter(F.split(m, "[^0-9]+", -1), lambda g: g != ""))
-    met = F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
+    first, past = F.floor(c["s"] / F.col("_width")), F.floor((c["e"] - 1) / F.col("_width"))
+    near = F.slice("_base", (first + 1).cast("int"), (past - first + 1).cast("int"))
+    met = F.exists(near, lambda block: F.exists(block, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
     number = {
         "digits": F.least(_digits(m), F.lit(20)), "separators": separators, "groups": F.least(groups, F.lit(5)), "plus": m.startswith("+").cast("int"),
         "dull": (F.size(F.array_distinct(F.split(F.regexp_replace(m, "[^0-9]", ""), ""))) <= 3).cast("int")}

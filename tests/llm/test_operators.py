@@ -55,6 +55,17 @@ def test_pii_runs_of_thousands(spark):
     assert got[0]["n_ip"] == 1500 and got[1]["n_card"] == 0 and got[2]["n_email"] == 0 and got[3]["n_phone"] == 1
 
 
+def test_pii_of_texts_with_thousands_of_spans(spark):
+    import time
+
+    text = " ".join(f"a{i}@b{i}.org +1 (415) 555-{i % 10000:04d} 10.0.{i % 256}.{i % 300}" for i in range(5000))
+    began = time.time()
+    got = pii.find(spark.createDataFrame([(0, text)], "doc_id long, text string"), ([], {})).collect()[0]
+    assert time.time() - began < 40
+    found = sorted(spans(text, PII), key=lambda s: (s[1], s[0]))
+    assert got["base_sha256"] == SHA(",".join(f"{PII[k][0]}:{s}:{e}" for s, k, e in found).encode())
+
+
 def test_boosting_adds_what_context_tells():
     cell = dict.fromkeys(pii.FEATURES, 0)
     both = [c | {"fold": k} for k in (0, 1) for c in (cell | {"separators": 2, "yes": 99, "no": 1}, cell | {"yes": 1, "no": 99})]
