@@ -254,7 +254,8 @@ def _scored(trees: list[tuple], c: Column) -> Column:
 def fit(docs: DataFrame) -> Model:
     """Boosted trees and thresholds from all candidates of ``docs(text)``; at most two rows per feature combination are collected."""
     fold = F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold")
-    rows = _found(docs.select("text")).select(fold, F.explode("wide").alias("c")).select("fold", "c.met", *(F.col(f"c.{n}") for n in FEATURES))
+    # an inner explode infers a filter that repeats the whole expression below it
+    rows = _found(docs.select("text")).select(fold, F.explode_outer("wide").alias("c")).where("c IS NOT NULL").select("fold", "c.met", *(F.col(f"c.{n}") for n in FEATURES))
     yes = F.col("met") | (F.col("telling") == 1)
     cells = rows.groupBy(*FEATURES, "fold").agg(F.count_if(yes).alias("yes"), F.count_if(~yes).alias("no"))
     return boost([r.asDict() for r in cells.orderBy(*FEATURES, "fold").collect()])
