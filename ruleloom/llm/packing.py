@@ -6,8 +6,9 @@ taking the remainder so that all later pieces fill a sequence each. The plan run
 with the documents. A piece then takes its slot by a join on its rank within its length; ranks come
 from counts per (length, salt), so one length held by a third of all pieces is ranked by many tasks.
 
-Defined cases: null and empty texts are the single id 0; repeated rows are packed as often as they occur;
-an empty table gives an empty result; ties within a length are broken by ``doc_id`` and piece.
+Defined cases: null and empty texts are the single id 0; texts of any length are encoded whole; repeated rows are packed as often as they occur;
+rows with a null ``doc_id`` are packed like others and keep it; an empty table gives an empty result; ties within a length are broken by ``doc_id`` and
+piece; columns other than ``doc_id`` and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
