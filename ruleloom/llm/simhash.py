@@ -6,7 +6,7 @@ on one of four 12-bit parts of the other 48 bits, so each fingerprint enters 16
 linked pair shares one.
 
 ``similar``: for a Jaccard similarity of sets of five-word shingles, 0.8 by default, 64 bits are too coarse. Fingerprints have 512 bits, and
-texts link when they differ in no more bits than pairs of that similarity do, one and a half standard deviations allowed. Buckets for so many bits do not exist, so texts
+texts link when they differ in no more bits than pairs of that similarity do, two and a half standard deviations allowed. Buckets for so many bits do not exist, so texts
 meet where one of 20 bands of four least shingle values is equal, which pairs of that similarity miss once in 30,000 times.
 
 A bucket of more than ``TILE_ROWS`` fingerprints is dealt over the pairs of its tiles: up to ``MOST_TILES`` tiles, more only where a tile would
@@ -208,9 +208,9 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFra
 
 
 def wide_radius(least: float) -> int:
-    """Bits of a wide fingerprint in which texts of Jaccard similarity ``least`` differ on average, and one and a half standard deviations more."""
+    """Bits of a wide fingerprint in which texts of Jaccard similarity ``least`` differ on average, and two and a half standard deviations more."""
     share = math.acos(2 * least / (1 + least)) / math.pi
-    return math.floor(64 * WIDE * share + 1.5 * math.sqrt(64 * WIDE * share * (1 - share)))
+    return math.floor(64 * WIDE * share + 2.5 * math.sqrt(64 * WIDE * share * (1 - share)))
 
 
 def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
