@@ -523,6 +523,29 @@ def test_redaction_takes_long_keys_blocks_and_tokens_whole():
     assert secrets.redact_text(public) == public
 
 
+def test_novelty_spans_hold_whole_values_of_any_length():
+    """Every reported value is whole: none of its characters is left, and what stands around it is."""
+    import string
+
+    rng = random.Random(12)
+    letters = string.ascii_letters + string.digits
+    frames = ["credential -> {}", "bearer {} and more", "clientid={}; next", "private key '{}'", "see /token/{} there", "pwd\t{}\nlast line", "authorization: {}.", "xaccess_key_id{}"]
+    seen = 0
+    for n in (16, 17, 31, 40, 64, 300, 573, 1000, 10_000, 100_000):
+        for frame in frames:
+            value = "a1B2" + "".join(rng.choice(letters) for _ in range(n - 4))
+            text = frame.format(value)
+            found = secrets.novel_spans(text, secrets.base_spans(text))
+            for start, _, end in found:
+                # at a token's beginning, to its end
+                assert end == frame.index("{}") + n and not (start and text[start - 1].isalnum()), (frame, n, start, end)
+            seen += bool(found)
+            if found:
+                clean = secrets.redact_text(text)
+                assert value not in clean and not any(value[i : i + 6] in clean for i in range(0, n - 5, 5)) and clean.endswith(frame.split("{}")[1])
+    assert seen >= 70
+
+
 def test_secret_scan_is_linear_in_hard_texts():
     import time
 
