@@ -9,6 +9,7 @@ the terminals below are written as partial owners, the other subtrees stay in pl
 Each merging task then inserts its partition's strings in byte order into one trie and adds partial owners up. In that order a subtree
 left of the last string is complete, so beyond ``SPILL_BYTES`` complete subtrees are spilled as results and the path of the last string stays. Owners go back
 to the documents by length, hash and SHA-256 of the full string; that join's document side may be hot, adaptive execution splits it.
+``keep_first`` needs the owners only, so its map tasks write no keys and their terminals go to the merging tasks without a table between.
 
 Defined cases: null and empty texts are equal; texts of any length are compared whole; equal texts tie towards the smallest ``doc_id``; a null ``doc_id`` loses
 against any other, and a text that only such rows have is kept by them; rows repeated with one ``doc_id`` are kept or dropped together; an empty table gives an
@@ -198,8 +199,8 @@ def _batches(terminals: Iterator[Terminal], schema: pa.Schema, most: int = 8 <<
         yield _columns(rows, schema)
 
 
-def _map_side(docs: DataFrame) -> DataFrame:
-    """A key per row of ``docs(doc_id, text)`` and partial owners of the distinct texts, from one reading."""
+def _map_side(docs: DataFrame, keys: bool = True) -> DataFrame:
+    """Partial owners of the distinct texts of ``docs(doc_id, text)`` and, with ``keys``, a key per row, from one reading."""
     schema, parts, most = arrow_schema(docs.sparkSession, _BOTH), shuffle_width(docs.sparkSession), SPILL_BYTES
 
     def run(batches):
@@ -209,10 +210,12 @@ def _map_side(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 body = normalise(text.as_py())
                 key = key_of(body)
-                own.append((doc_id, *key, None, None, None))
+                if keys:
+                    own.append((doc_id, *key, None, None, None))
                 tries.insert(key, body, doc_id)
                 yield from _batches(iter(tries.spill()), schema)
-            yield _columns(own, schema)
+            if keys:
+                yield _columns(own, schema)
         yield from _batches(tries.rest(), schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, _BOTH)
@@ -249,6 +252,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose normalised text no smaller ``doc_id`` has, all columns kept."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
+    """The rows of ``docs`` whose normalised text no smaller ``doc_id`` has, all columns kept.
+
+    The owners are the rows that stay, so no document is met by its key and nothing is written on the way."""
+    kept = _merged(_map_side(docs, keys=False)).select(F.col("owner").alias("_keep")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")

@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 
 from ruleloom.llm import bpe, exact, language, media, packing, pii, quality, secrets, simhash, suffix, tiff
 from ruleloom.llm.catalogue import vocabulary
+from ruleloom.sources.scratch import mark
 
 from .conftest import crc
 
@@ -241,6 +242,22 @@ def test_spilling_changes_nothing(docs, monkeypatch):
     assert sorted(map(tuple, exact.exact_dedup(docs).collect())) == want
 
 
+@pytest.mark.parametrize("most", [exact.SPILL_BYTES, 100])
+def test_keep_first_writes_nothing_on_the_way(spark, docs, rows, monkeypatch, most):
+    monkeypatch.setattr(exact, "SPILL_BYTES", most)
+    more = [(None, "only rows without an identifier have this"), (None, rows[9][1]), (9, rows[8][1])]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    before = mark()
+    got = exact.keep_first(every)
+    assert mark() == before
+    groups = defaultdict(list)
+    for i, t in [*rows, *more]:
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
+    first = {min((i for i in ids if i is not None), default=None) for ids in groups.values()}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i, t)) for i, t in [*rows, *more] if i in first)
+    assert mark() == before
+
+
 def test_bpe(docs, rows, none):
     from tokenizers import Tokenizer
 
